@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "simhash", "decontaminate")
+MODULES = ("language", "quality", "simhash", "decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
