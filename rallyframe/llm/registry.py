@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat", "language", "quality", "simhash", "decontaminate")
+MODULES = ("chat", "language", "secrets", "quality", "simhash", "decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
