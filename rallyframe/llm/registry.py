@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat", "language", "secrets", "quality", "token_files", "pitman_yor", "simhash", "decontaminate")
+MODULES = ("suffix_dedup", "chat", "language", "secrets", "quality", "token_files", "pitman_yor", "simhash", "decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
