@@ -18,8 +18,8 @@ UNKNOWN to the unknown word and the rest to the V words alike.
    10 ** (-score / n_tokens).
 4. Scoring: frequent words and contexts are looked up in the broadcast tables. Each other word needs its count: a task
    gives, for each such word hash in up to GROUP_BYTES of its texts, the places of the texts that hold it; these rows
-   are joined with the table of counts and summed for each text, with partial sums first. Frequent words never enter
-   that join, so no key in it is hot.
+   are joined with the table of counts, go back to their group, and are summed for each text there. Frequent words never
+   enter that join, so no key in it is hot.
 
 Words are compared by 64-bit hash. Cases: a null or wordless text is the end alone; rows without an id are scored, but
 not learned from and not held out; repeated rows and ids are texts of their own; without training texts every word is
@@ -47,7 +47,7 @@ SEATED = 48
 #: Tasks that the contexts are dealt out to.
 SEATINGS = 64
 GROUP_BYTES, GROUP_DOCS = 24 << 20, 1 << 16
-#: Occurrences that a task sums up at once.
+#: Distinct keys that a task counts before it gives them out.
 HELD = 1 << 22
 
 END_HASH = np.uint64(0x0E4D)
@@ -270,38 +270,39 @@ def word_groups(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def summed_by_text(words: DataFrame, model: Model) -> DataFrame:
-    """words: grp, c, held. grp, place, and the sums over the text's words that aren't frequent."""
+    """words: grp, c, held. grp, place, and the sums over the text's words that aren't frequent. A group's rows meet in one
+    task; they are as many as GROUP_BYTES of text have distinct words."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def scan(it):
-        held, size = [], 0
+        grp, sums = None, None
 
         def out():
-            grp, c, many, place = [], [], [], []
-            for b in held:
-                data, off = common.flat(b["held"])
-                grp.append(np.asarray(b["grp"]))
-                c.append(np.asarray(b["c"]))
-                many.append(np.diff(off) // 2)
-                place.append(np.frombuffer(data.tobytes(), "<u2").astype(np.int64))
-            grp, c, many, place = map(np.concatenate, (grp, c, many, place))
-            groups, g = np.unique(grp, return_inverse=True)
-            keys, k = np.unique(np.repeat(g, many) << 16 | place, return_inverse=True)
-            values = [np.bincount(k, np.repeat(x, many), len(keys)) for x in (c > 0, np.log10(c + 0.5), np.log10(shared.value.parent(c)))]
-            columns = [groups[keys >> 16], keys & 0xFFFF, values[0].astype(np.int64), *values[1:]]
+            place = np.flatnonzero(sums[0])
+            columns = [np.full(len(place), grp), place, *(x[place] for x in sums[1:])]
+            columns[2] = columns[2].astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["grp", "place", "known", "base", "p"])
 
         for batch in it:
-            held.append(batch)
-            size += batch["held"].nbytes // 2
-            if size >= HELD:
-                yield out()
-                held, size = [], 0
-        if held:
+            groups, c = np.asarray(batch["grp"]), np.asarray(batch["c"])
+            data, off = common.flat(batch["held"])
+            many = np.diff(off) // 2
+            place = np.frombuffer(data.tobytes(), "<u2")
+            values = np.ones(len(c)), c > 0, np.log10(c + 0.5), np.log10(shared.value.parent(c))
+            edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
+            for a, b in zip(edge, edge[1:]):
+                if groups[a] != grp:
+                    if grp is not None:
+                        yield out()
+                    grp, sums = groups[a], np.zeros((4, GROUP_DOCS))
+                at = place[off[a] // 2 : off[b] // 2]
+                for total, x in zip(sums, values):
+                    total += np.bincount(at, np.repeat(x[a:b], many[a:b]), GROUP_DOCS)
+        if grp is not None:
             yield out()
 
-    parts = words.mapInArrow(scan, "grp long, place long, known long, base double, p double")
-    return parts.groupBy("grp", "place").agg(*(F.sum(c).alias(c) for c in ("known", "base", "p")))
+    dealt = words.repartition("grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(scan, "grp long, place long, known long, base double, p double")
 
 
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
