@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,60 +39,76 @@ LIMIT = 18
 BLOCK = 1 << 16
 CHECK = 512
 PART_IDS = 1 << 26
-#: Segments whose ids a task keeps.
+#: Segments, and pieces of them, whose ids a task keeps from each of two rounds.
 KEPT = 300_000
 
 
+class Kept(dict):
+    """Values made on demand. Of the keys of the last two rounds, those that are asked for again stay."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+_MARKS = ".,;:!?%&*#$|"
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
+_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_BLANK = chr(_CHARS[32])
+
+
 class Encoder:
     """ids of whole texts as little-endian bytes. A space before a character that is no white space always starts a new
-    piece, so the text is cut there and every distinct segment is encoded once."""
+    piece, so a text is cut there, and the ids of segments and of the pieces that the tokenizer cuts them into are kept."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.size = max(max(vocab.values()), end_id) + 1
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.normalizer is not None:
+            raise ValueError("a tokenizer that changes the text")
+        self.size = max(max(tokenizer.get_vocab().values()), end_id) + 1
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.bytes_of = np.zeros(self.size, np.int64)
-        for piece, i in vocab.items():
-            self.bytes_of[i] = len(piece)  # a character of the byte-level alphabet for each byte
-        self.end = np.array([end_id], self.type).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def learn(self, segments: list[str]) -> None:
-        """Encode segments (each without its leading space) in runs, and cut the ids where the segments' bytes end."""
-        for i in range(0, len(segments), 4096):
-            run = segments[i : i + 4096]
-            ids = np.array(self.tokenizer.encode("".join([" " + s for s in run]), add_special_tokens=False).ids, self.type)
-            at = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
-            ends = np.cumsum([len(s.encode()) + 1 for s in run])
-            cut = np.searchsorted(at, ends)
-            if not (at[cut] == ends).all():
-                raise ValueError("a tokenizer whose pieces cross a space")
-            for s, a, b in zip(run, [0, *cut[:-1].tolist()], cut.tolist()):
-                self.known[s] = ids[a:b].tobytes()
+        self.end = self.packed([end_id])
+        cut, model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+        self.pieces = Kept(lambda piece: self.packed([t.id for t in model.tokenize(piece)]), KEPT)
+        self.heads = lambda text: b"".join([self.pieces[p] for p, _ in cut(text)])
+        plain = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.pre_tokenizer.use_regex
+
+        def segment(text: str) -> bytes:
+            word = text.rstrip(_MARKS)
+            if plain and word.isalpha() and max(word) < "\u0250":  # letters, then marks: two pieces
+                piece = self.pieces[_BLANK + word.encode().decode("latin-1").translate(_CHARS)]
+                return piece + self.pieces[text[len(word) :]] if len(word) < len(text) else piece
+            return self.heads(" " + text)
+
+        self.segments = Kept(segment, KEPT)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.type.itemsize == 2 else "I", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
+        out = []
         for t in texts:
             if not t:
-                cut.append(("", []))
-            elif re.search(r" (?:\s|$)", t):
+                out.append(self.end)
+                continue
+            if re.search(r" (?:\s|$)", t):
                 head, *rest = re.split(r"(?= [^\s])", t)
-                cut.append((head, [s[1:] for s in rest]))
+                rest = [s[1:] for s in rest]
             else:
                 head, *rest = t.split(" ")
-                cut.append((head, rest))
-        if len(self.known) > KEPT:
-            self.known.clear()
-        self.learn(list({s for _, rest in cut for s in rest if s not in self.known}))
-        get = self.known.__getitem__
-        return [(self.whole(head) if head else b"") + b"".join(map(get, rest)) + self.end for head, rest in cut]
+            out.append(self.heads(head) + b"".join(map(self.segments.__getitem__, rest)) + self.end)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

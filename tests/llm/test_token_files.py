@@ -25,7 +25,7 @@ def rows(df):
     return sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in df.collect())
 
 
-TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n b  \n", "don't  stop 's", "\x1c x \x1d", "   x", "é 　中文 \U0001f3be", "<|endoftext|> a<|endoftext|>", "12 345  6", "word " * 70_000, "-" * 3000, "tab\t x"]
+TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n b  \n", "don't  stop 's", "\x1c x \x1d", "   x", "é 　中文 \U0001f3be", "<|endoftext|> a<|endoftext|>", "12 345  6", "word " * 70_000, "-" * 3000, "tab\t x", "the. cat!! naïve, Straße&&& \xad x\xady ²x x² ǅ it's, l'eau. a.b ..c ＡＢ ,;: ɐ. THE!! %%% |"]
 
 
 def test_cases(spark):
