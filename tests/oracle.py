@@ -1,0 +1,33 @@
+"""Compares a query's rows with those of its SQL on the same tables."""
+
+import math
+from pathlib import Path
+
+import duckdb
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else f"{v:.9g}"
+    return str(v)
+
+
+def connection(sf_dir):
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for p in Path(sf_dir).iterdir():
+        source = f"{p}/*.parquet" if p.is_dir() else str(p)
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{source}')")
+    return con
+
+
+def same(df, sql, sf_dir):
+    cur = connection(sf_dir).execute(sql)
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    order = sorted(names)
+    want = sorted(tuple(plain(r[names.index(c)]) for c in order) for r in cur.fetchall())
+    got = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
+    assert len(got) == len(want)
+    assert got == want, [x for x in zip(got, want) if x[0] != x[1]][:3]
+    return len(got)
