@@ -58,7 +58,7 @@ def project(h: Matrix | Column, x: Column, y: Column, places: int | None = 4) ->
     g = (lambda i, j: h[i][j]) if isinstance(h, Column) else (lambda i, j: F.lit(float(h[i][j])))
     w = g(2, 0) * x + g(2, 1) * y + g(2, 2)
     px, py = (F.try_divide(g(i, 0) * x + g(i, 1) * y + g(i, 2), w) for i in (0, 1))
-    return (F.round(px, places), F.round(py, places)) if places is not None else (px, py)
+    return (fixed(px, places), fixed(py, places)) if places is not None else (px, py)
 
 
 def inverse(h: Matrix) -> Matrix:

@@ -142,8 +142,8 @@ bounces AS (SELECT * FROM placed WHERE place = 1)"""
 
 def _court_sql(source: str, name: str) -> str:
     return f"""{name}_xy AS (
-  SELECT *, round((CAST({AFFINE[0][0]!r} AS DOUBLE) * x + CAST(0 AS DOUBLE) * y + CAST({AFFINE[0][2]!r} AS DOUBLE)) / (CAST(0 AS DOUBLE) * x + CAST(0 AS DOUBLE) * y + CAST(1 AS DOUBLE)), 4) AS court_x,
-    round((CAST(0 AS DOUBLE) * x + CAST({AFFINE[1][1]!r} AS DOUBLE) * y + CAST({AFFINE[1][2]!r} AS DOUBLE)) / (CAST(0 AS DOUBLE) * x + CAST(0 AS DOUBLE) * y + CAST(1 AS DOUBLE)), 4) AS court_y
+  SELECT *, round((CAST({AFFINE[0][0]!r} AS DOUBLE) * x + CAST(0 AS DOUBLE) * y + CAST({AFFINE[0][2]!r} AS DOUBLE)) / (CAST(0 AS DOUBLE) * x + CAST(0 AS DOUBLE) * y + CAST(1 AS DOUBLE)) * CAST(10000 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS court_x,
+    round((CAST(0 AS DOUBLE) * x + CAST({AFFINE[1][1]!r} AS DOUBLE) * y + CAST({AFFINE[1][2]!r} AS DOUBLE)) / (CAST(0 AS DOUBLE) * x + CAST(0 AS DOUBLE) * y + CAST(1 AS DOUBLE)) * CAST(10000 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS court_y
   FROM {source}
 ),
 {name} AS (
@@ -301,7 +301,7 @@ ORACLE = {
     "line_calls": f"WITH {CALLS_SQL} SELECT * FROM calls",
     "call_summary": f"""WITH {CALLS_SQL} SELECT zone, count(*) AS bounces, count(*) FILTER (accepted) AS accepted, count(*) FILTER (accepted AND call = 'IN') AS calls_in,
       count(*) FILTER (accepted AND call = 'OUT') AS calls_out, count(*) FILTER (accepted AND near_line) AS near_line FROM calls GROUP BY zone""",
-    "projective_points": f"""WITH {TRACKS_SQL}, p AS (SELECT event_id, round({_P[0]} / {_P[2]}, 4) AS court_x, round({_P[1]} / {_P[2]}, 4) AS court_y FROM tracks)
+    "projective_points": f"""WITH {TRACKS_SQL}, p AS (SELECT event_id, round({_P[0]} / {_P[2]} * CAST(10000 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS court_x, round({_P[1]} / {_P[2]} * CAST(10000 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS court_y FROM tracks)
       SELECT event_id, court_x, court_y, CASE WHEN court_y < 11.885 THEN 'near' ELSE 'far' END AS side, TRUE AS back_x, TRUE AS back_y FROM p""",
     "reprojection_error": f"""WITH {TRACKS_SQL} SELECT track_id, round(avg(sqrt((frame_number % 3 * CAST(0.1 AS DOUBLE)) * (frame_number % 3 * CAST(0.1 AS DOUBLE)) + (frame_number % 2 * CAST(0.2 AS DOUBLE)) * (frame_number % 2 * CAST(0.2 AS DOUBLE)))), 6) AS mean_error,
       count(*) AS points FROM tracks GROUP BY track_id""",
