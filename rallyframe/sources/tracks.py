@@ -41,7 +41,8 @@ def load_trajectory(spark: SparkSession, path: str) -> DataFrame:
     point = T.StructType.fromDDL("frame_number long, timestamp_seconds double, x double, y double, predicted boolean, source string, confidence double, segment_id int")
     schema = T.StructType([T.StructField("trajectory", T.ArrayType(point))])
     raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("video", F.input_file_name())
-    checked = raw.where(F.when(F.col("trajectory").isNull(), F.raise_error(F.concat(F.lit("no trajectory in "), "video")).cast("boolean")).otherwise(True))
+    missing = F.raise_error(F.concat(F.lit("no trajectory in "), "video")).cast(T.ArrayType(point))
+    checked = raw.withColumn("trajectory", F.coalesce("trajectory", missing))
     return checked.select("video", F.inline("trajectory")).withColumn("predicted", F.coalesce("predicted", F.lit(False)))
 
 
