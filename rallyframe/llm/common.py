@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds at once, but for a single longer text.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

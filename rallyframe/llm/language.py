@@ -29,6 +29,8 @@ NAME, SQL = "op3_language_filters", None
 SHARE = 1e-5
 NEAR = 0.5
 SLOT_BITS = 20
+#: Bytes of text that a task holds at once: its letters and trigrams take some sixty times as much.
+CHUNK_BYTES = 1 << 20
 HASHES = 3
 #: The pipeline rejects documents whose best language explains less than this share of their trigrams.
 LEAST_SCORE = 0.3
@@ -112,7 +114,7 @@ def learned(train: DataFrame) -> Filters:
 
     def count(it):
         own: dict[str, list] = {}
-        for batch in common.batches(it):
+        for batch in common.batches(it, limit=CHUNK_BYTES):
             lang = np.array(batch["lang"].to_pylist(), object)
             v, n, _ = trigrams(batch["text"])
             owner = np.repeat(lang, n)
@@ -151,7 +153,7 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     shared = docs.sparkSession.sparkContext.broadcast(learned(rows.where(~held & F.col("lang").isNotNull())))
 
     def scan(it):
-        for batch in common.batches(it):
+        for batch in common.batches(it, limit=CHUNK_BYTES):
             lang, score = shared.value.predict(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -170,7 +172,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(learned(train))
 
     def scan(it):
-        for batch in common.batches(it):
+        for batch in common.batches(it, limit=CHUNK_BYTES):
             lang, score = shared.value.predict(batch["text"])
             yield batch.filter(pa.array((np.array(lang) != "und") & (score >= LEAST_SCORE)))
 
