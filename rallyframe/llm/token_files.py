@@ -39,8 +39,8 @@ LIMIT = 18
 BLOCK = 1 << 16
 CHECK = 512
 PART_IDS = 1 << 26
-#: Segments, and pieces of them, whose ids a task keeps from each of two rounds.
-KEPT = 300_000
+#: Segments whose ids a task keeps from each of two rounds.
+KEPT = 500_000
 
 
 class Kept(dict):
@@ -68,7 +68,7 @@ _BLANK = chr(_CHARS[32])
 
 class Encoder:
     """ids of whole texts as little-endian bytes. A space before a character that is no white space always starts a new
-    piece, so a text is cut there, and the ids of segments and of the pieces that the tokenizer cuts them into are kept."""
+    piece, so a text is cut there, and the ids of segments are kept."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
@@ -78,24 +78,31 @@ class Encoder:
             raise ValueError("a tokenizer that changes the text")
         self.size = max(max(tokenizer.get_vocab().values()), end_id) + 1
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.end = self.packed([end_id])
-        cut, model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
-        self.pieces = Kept(lambda piece: self.packed([t.id for t in model.tokenize(piece)]), KEPT)
-        self.heads = lambda text: b"".join([self.pieces[p] for p, _ in cut(text)])
+        code = "H" if self.type.itemsize == 2 else "I"
+        self.end = array(code, [end_id]).tobytes()
+        cut, ids_of = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         plain = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.pre_tokenizer.use_regex
 
+        def heads(text: str) -> bytes:
+            return array(code, [t.id for piece, _ in cut(text) for t in ids_of(piece)]).tobytes()
+
         def segment(text: str) -> bytes:
             word = text.rstrip(_MARKS)
-            if plain and word.isalpha() and max(word) < "\u0250":  # letters, then marks: two pieces
-                piece = self.pieces[_BLANK + word.encode().decode("latin-1").translate(_CHARS)]
-                return piece + self.pieces[text[len(word) :]] if len(word) < len(text) else piece
-            return self.heads(" " + text)
-
+            if plain and word.isalpha():  # letters, then marks: two pieces
+                if word.isascii():
+                    ids = [t.id for t in ids_of(_BLANK + word)]
+                elif max(word) < "\u0250":
+                    ids = [t.id for t in ids_of(_BLANK + word.encode().decode("latin-1").translate(_CHARS))]
+                else:
+                    return heads(" " + text)
+                own = array(code, ids).tobytes()
+                return own + self.marks[text[len(word) :]] if len(word) < len(text) else own
+            return heads(" " + text)
+
+        self.heads = heads
+        self.marks = Kept(lambda marks: array(code, [t.id for t in ids_of(marks)]).tobytes(), KEPT)
         self.segments = Kept(segment, KEPT)
 
-    def packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.type.itemsize == 2 else "I", ids).tobytes()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for t in texts:
