@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from rallyframe.config import CourtConfig, TrackerConfig
 from rallyframe.functions import geometry as G
 
-CANDIDATE = "struct<x double, y double, confidence double, score double, id long>"
+
+
+def fixed(v: float | None, places: int = 3) -> float | None:
+    """Half away from zero after scaling, as geometry.fixed does in plans."""
+    return None if v is None else math.copysign(math.floor(abs(v) * 10**places + 0.5), v) / 10**places
 
 
 def frames_with_candidates(frames: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -80,8 +84,7 @@ class SmoothedBall:
                 self.time = time if self.at is not None else self.time
             source = "predicted" if self.at is not None else "lost"
         x, y = self.at if self.at is not None else (None, None)
-        r = lambda v: None if v is None else round(v, 3)
-        return r(x), r(y), r(self.v[0]), r(self.v[1]), source, self.missed
+        return fixed(x), fixed(y), fixed(self.v[0]), fixed(self.v[1]), source, self.missed
 
     def register(self, at, time):
         a, b = self.config.position_alpha, self.config.velocity_alpha
@@ -150,7 +153,7 @@ class KalmanBall:
                 self.axes, source = None, "lost"
                 return None, None, 0.0, 0.0, source, self.missed
             source = "predicted"
-        return *(round(a.p, 3) for a in self.axes), *(round(a.v, 3) for a in self.axes), source, self.missed
+        return *(fixed(a.p) for a in self.axes), *(fixed(a.v) for a in self.axes), source, self.missed
 
 
 class SegmentedBall:

@@ -1,4 +1,4 @@
-"""Queries over trackers. The folds have no SQL; the speeds over their points have."""
+"""Queries over trackers. Smoothed and Kalman balls have recursive SQL; the other folds are tested by their goldens."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.operators import court, trackers
 from rallyframe.operators import detections as D
-from rallyframe.plans.detection_queries import boxes
+from rallyframe.plans.detection_queries import BOXES_SQL, boxes
 from rallyframe.plans.track_queries import AFFINE, _court_sql
 from rallyframe.sources.tracks import TRACKS_SQL, event_tracks
 
@@ -78,9 +78,72 @@ QUERIES = {
     for f in (smoothed_ball, kalman_ball, segmented_ball, stable_labels, zone_players, court_players, track_summary, trajectory_segments, windowed_player_speed, median_ball_speed)
 }
 
+_FRAMES_SQL = f"""{BOXES_SQL},
+found AS (SELECT frame_number, list(struct_pack(x := center_x, y := center_y, confidence := confidence, score := ranking_score) ORDER BY ranking_score DESC, candidate_id) AS c FROM ranked GROUP BY 1),
+frames AS (
+  SELECT video_id, f.frame_number, f.frame_number / CAST(25 AS DOUBLE) AS t, row_number() OVER (PARTITION BY video_id ORDER BY f.frame_number) AS n, coalesce(c, []) AS c
+  FROM (SELECT DISTINCT video_id, frame_number FROM boxes) f LEFT JOIN found USING (frame_number)
+)"""
+
+_D = "CAST(sqrt((o.x - px) * (o.x - px) + (o.y - py) * (o.y - py)) AS DOUBLE)"
+
+SMOOTHED_SQL = f"""{_FRAMES_SQL},
+ball AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS seen_at, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy, 0 AS missed, '' AS source FROM frames
+  UNION ALL
+  SELECT video_id, n, frame_number,
+    CASE WHEN one IS NOT NULL THEN nx WHEN missed + 1 > 8 THEN NULL ELSE px END, CASE WHEN one IS NOT NULL THEN ny WHEN missed + 1 > 8 THEN NULL ELSE py END,
+    CASE WHEN one IS NOT NULL THEN t WHEN missed + 1 > 8 OR px IS NULL THEN NULL ELSE t END,
+    CASE WHEN one IS NULL THEN CASE WHEN missed + 1 > 8 THEN 0 ELSE vx END WHEN x IS NULL THEN 0 WHEN t - seen_at >= 0.001 THEN CAST(0.55 AS DOUBLE) * (nx - x) / (t - seen_at) + (1 - CAST(0.55 AS DOUBLE)) * vx ELSE vx END,
+    CASE WHEN one IS NULL THEN CASE WHEN missed + 1 > 8 THEN 0 ELSE vy END WHEN x IS NULL THEN 0 WHEN t - seen_at >= 0.001 THEN CAST(0.55 AS DOUBLE) * (ny - y) / (t - seen_at) + (1 - CAST(0.55 AS DOUBLE)) * vy ELSE vy END,
+    CASE WHEN one IS NOT NULL THEN 0 ELSE missed + 1 END, CASE WHEN one IS NOT NULL THEN 'detected' WHEN missed + 1 > 8 OR px IS NULL THEN 'lost' ELSE 'predicted' END
+  FROM (
+    SELECT *, CASE WHEN x IS NULL THEN one.x ELSE CAST(0.65 AS DOUBLE) * one.x + (1 - CAST(0.65 AS DOUBLE)) * x END AS nx, CASE WHEN x IS NULL THEN one.y ELSE CAST(0.65 AS DOUBLE) * one.y + (1 - CAST(0.65 AS DOUBLE)) * y END AS ny
+    FROM (
+      SELECT *, CASE WHEN px IS NULL THEN c[1] ELSE c[-list_max(list_filter(list_transform(c, lambda o, i: CASE WHEN {_D} <= 180 THEN
+        struct_pack(s := round(CAST(0.55 AS DOUBLE) * o.score + CAST(0.45 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), 1 - {_D} / 180), 4), k := -i) END), lambda v: v IS NOT NULL)).k] END AS one
+      FROM (
+        SELECT b.* EXCLUDE (n, frame_number, source), f.n, f.frame_number, f.t, f.c, CASE WHEN seen_at IS NULL OR f.t - seen_at <= 0 THEN x ELSE x + vx * (f.t - seen_at) END AS px, CASE WHEN seen_at IS NULL OR f.t - seen_at <= 0 THEN y ELSE y + vy * (f.t - seen_at) END AS py
+        FROM ball b JOIN frames f ON f.video_id = b.video_id AND f.n = b.n + 1
+      )
+    )
+  )
+),
+tracked AS (
+  SELECT video_id, frame_number, round(x * 1000) / CAST(1000 AS DOUBLE) AS x, round(y * 1000) / CAST(1000 AS DOUBLE) AS y, round(vx * 1000) / CAST(1000 AS DOUBLE) AS vx, round(vy * 1000) / CAST(1000 AS DOUBLE) AS vy, source, missed FROM ball WHERE n > 0
+)"""
+
+KALMAN_SQL = f"""{_FRAMES_SQL},
+ball AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy,
+    CAST(0 AS DOUBLE) AS ka, CAST(0 AS DOUBLE) AS kb, CAST(0 AS DOUBLE) AS kc, CAST(NULL AS DOUBLE) AS seen_at, 0 AS missed, '' AS source FROM frames
+  UNION ALL
+  SELECT video_id, n, frame_number, CASE WHEN one IS NULL THEN CASE WHEN px IS NULL OR missed + 1 >= 10 THEN NULL ELSE px END WHEN px IS NULL THEN one.x ELSE px + pa / (pa + 25) * (one.x - px) END,
+    CASE WHEN one IS NULL THEN CASE WHEN px IS NULL OR missed + 1 >= 10 THEN NULL ELSE py END WHEN px IS NULL THEN one.y ELSE py + pa / (pa + 25) * (one.y - py) END,
+    CASE WHEN px IS NULL OR (one IS NULL AND missed + 1 >= 10) THEN 0 WHEN one IS NULL THEN vx ELSE vx + pb / (pa + 25) * (one.x - px) END,
+    CASE WHEN px IS NULL OR (one IS NULL AND missed + 1 >= 10) THEN 0 WHEN one IS NULL THEN vy ELSE vy + pb / (pa + 25) * (one.y - py) END,
+    CASE WHEN one IS NULL THEN pa WHEN px IS NULL THEN 1000 ELSE pa - pa * pa / (pa + 25) END, CASE WHEN one IS NULL THEN pb WHEN px IS NULL THEN 0 ELSE pb - pa * pb / (pa + 25) END,
+    CASE WHEN one IS NULL THEN pc WHEN px IS NULL THEN 1000 ELSE pc - pb * pb / (pa + 25) END,
+    t, CASE WHEN one IS NULL THEN missed + 1 ELSE 0 END, CASE WHEN one IS NOT NULL THEN 'detected' WHEN px IS NULL OR missed + 1 >= 10 THEN 'lost' ELSE 'predicted' END
+  FROM (
+    SELECT *, c[-list_max(list_filter(list_transform(c, lambda o, i: CASE WHEN px IS NULL THEN struct_pack(s := o.confidence, k := -i) WHEN {_D} < 150 THEN
+      struct_pack(s := o.confidence * (1 - CAST(0.3 AS DOUBLE) * least(CAST(1 AS DOUBLE), {_D} / 150)), k := -i) END), lambda v: v IS NOT NULL)).k] AS one
+    FROM (
+      SELECT b.* EXCLUDE (n, frame_number, source), f.n, f.frame_number, f.t, f.c, x + vx * (f.t - seen_at) AS px, y + vy * (f.t - seen_at) AS py,
+        ka + 2 * (f.t - seen_at) * kb + (f.t - seen_at) * (f.t - seen_at) * kc + 10 AS pa, kb + (f.t - seen_at) * kc AS pb, kc + 100 AS pc
+      FROM ball b JOIN frames f ON f.video_id = b.video_id AND f.n = b.n + 1
+    )
+  )
+)"""
+
 _STEPS = "sqrt((court_x - lag(court_x) OVER w) * (court_x - lag(court_x) OVER w) + (court_y - lag(court_y) OVER w) * (court_y - lag(court_y) OVER w))"
 
 ORACLE = {
+    "kalman_ball": f"""WITH RECURSIVE {KALMAN_SQL} SELECT video_id, frame_number, round(x * 1000) / CAST(1000 AS DOUBLE) AS x, round(y * 1000) / CAST(1000 AS DOUBLE) AS y,
+      round(vx * 1000) / CAST(1000 AS DOUBLE) AS vx, round(vy * 1000) / CAST(1000 AS DOUBLE) AS vy, source, missed FROM ball WHERE n > 0""",
+    "smoothed_ball": f"WITH RECURSIVE {SMOOTHED_SQL} SELECT * FROM tracked",
+    "track_summary": f"""WITH RECURSIVE {SMOOTHED_SQL} SELECT video_id, count(*) FILTER (source = 'detected') AS detected, count(*) FILTER (source = 'predicted') AS predicted, count(*) FILTER (source = 'lost') AS lost,
+      max_by(vx, frame_number) AS last_vx, max_by(vy, frame_number) AS last_vy, max_by(missed, frame_number) AS last_missed FROM tracked GROUP BY 1""",
     "windowed_player_speed": f"""WITH {TRACKS_SQL}, {_court_sql("tracks", "located")},
       s AS (SELECT *, timestamp_seconds - lag(timestamp_seconds) OVER w AS dt, {_STEPS} AS d, row_number() OVER w AS place FROM located WINDOW w AS (PARTITION BY track_id ORDER BY timestamp_seconds, frame_number)),
       k AS (SELECT *, sum(CASE WHEN dt > 0 AND d < 5 THEN d END) OVER r / sum(CASE WHEN dt > 0 AND d < 5 THEN dt END) OVER r * CAST(3.6 AS DOUBLE) AS kmh FROM s WINDOW r AS (PARTITION BY track_id ORDER BY timestamp_seconds, frame_number ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
