@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import common
 
-NAME, SQL = "op10_wu_manber", None
+NAME = "op10_wu_manber"
 
 WINDOW = 13
 PATTERN_BYTES = 16 << 20
@@ -232,3 +232,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     return judged(find(docs, common.table(spark, sf_dir, "benchmark"))).where(~F.col("contaminated")).select(*docs.columns)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT item, least(len(w), {WINDOW}) AS n, unnest(list_transform(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS k
+  FROM b WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON n <= len(w)),
+hits AS (SELECT r, i, g.n, item FROM grams g JOIN windows x ON x.n = g.n AND x.k = array_to_string(g.w[g.i:g.i + g.n - 1], ' ')),
+words AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from rallyframe.llm import common, decontaminate
+from tests.llm.oracle import same
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -57,3 +58,8 @@ def test_table(spark):
     read = lambda t: [tuple(r) for r in common.table(spark, "/root/testdata/sf0.01", t).select(*((["doc_id"] if t == "documents" else ["item_id"]) + ["text"])).collect()]
     assert sorted(map(key, got)) == sorted(map(key, brute(read("documents"), read("benchmark"))))
     assert any(r.contaminated for r in got)
+
+
+def test_sql(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        assert same(decontaminate.query(spark, f"/root/testdata/{sf}"), decontaminate.SQL, f"/root/testdata/{sf}") > 0
