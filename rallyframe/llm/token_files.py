@@ -4,8 +4,7 @@
    id, and writes the ids to a table in the shared folder.
 2. The ids are counted (a partial count for each task, one row for each id of the vocabulary in the end), and the counts
    give the code lengths (package-merge, at most `LIMIT` bits), which give the canonical code.
-3. Documents are encoded, brought into ascending doc_id order by ranges, and written in blocks. What is shuffled is the
-   coded bits.
+3. The ids are brought into ascending doc_id order by ranges, coded, and written in blocks.
 
 A file is Parquet with a row for each block, in order: `part`, `block`, `first` (ids before it in its part), `doc_ids`
 (8 bytes each; null ids come first, `n_null` of them), `doc_tokens` (4 bytes each), `checks` (4 bytes each: the bit at which every
@@ -40,7 +39,7 @@ BLOCK = 1 << 16
 CHECK = 512
 PART_IDS = 1 << 26
 #: Segments whose ids a task keeps from each of two rounds.
-KEPT = 500_000
+KEPT = 900_000
 
 
 class Kept(dict):
@@ -66,6 +65,10 @@ _CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b
 _BLANK = chr(_CHARS[32])
 
 
+class Unsplit(Exception):
+    """A space that doesn't start a new piece: white space or nothing follows it."""
+
+
 class Encoder:
     """ids of whole texts as little-endian bytes. A space before a character that is no white space always starts a new
     piece, so a text is cut there, and the ids of segments are kept."""
@@ -87,6 +90,8 @@ class Encoder:
             return array(code, [t.id for piece, _ in cut(text) for t in ids_of(piece)]).tobytes()
 
         def segment(text: str) -> bytes:
+            if not text or text[0].isspace():
+                raise Unsplit
             word = text.rstrip(_MARKS)
             if plain and word.isalpha():  # letters, then marks: two pieces
                 if word.isascii():
@@ -104,17 +109,18 @@ class Encoder:
         self.segments = Kept(segment, KEPT)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+        get, out = self.segments.__getitem__, []
         for t in texts:
             if not t:
                 out.append(self.end)
                 continue
-            if re.search(r" (?:\s|$)", t):
-                head, *rest = re.split(r"(?= [^\s])", t)
-                rest = [s[1:] for s in rest]
-            else:
-                head, *rest = t.split(" ")
-            out.append(self.heads(head) + b"".join(map(self.segments.__getitem__, rest)) + self.end)
+            head, *rest = t.split(" ")
+            try:
+                own = b"".join(map(get, rest))
+            except Unsplit:
+                head, *rest = re.split(r"(?= \S)", t)
+                own = b"".join([get(s[1:]) for s in rest])
+            out.append(self.heads(head) + own + self.end)
         return out
 
 
@@ -258,8 +264,8 @@ def written_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(checks, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "checks", "bits"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PART_IDS)
-    coded = ids.mapInArrow(code, "doc_id long, n long, checks binary, bits binary")
-    ordered = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "bits")
+    # Ranges are found by a first look at the rows, so the ids are coded after they have been brought into order.
+    ordered = ids.repartitionByRange(parts, "doc_id").mapInArrow(code, "doc_id long, n long, checks binary, bits binary").sortWithinPartitions("doc_id", "n", "bits")
     ordered.mapInArrow(packed, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     common.dropped(spark, ids)
 
