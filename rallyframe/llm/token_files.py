@@ -38,8 +38,8 @@ LIMIT = 18
 BLOCK = 1 << 16
 CHECK = 512
 PART_IDS = 1 << 26
-#: Segments whose ids a task keeps from each of two rounds.
-KEPT = 900_000
+#: Segments whose ids a task keeps from each of two rounds; at its end it lets go of all.
+KEPT = 300_000
 
 
 class Kept(dict):
@@ -108,6 +108,11 @@ class Encoder:
         self.marks = Kept(lambda marks: array(code, [t.id for t in ids_of(marks)]).tobytes(), KEPT)
         self.segments = Kept(segment, KEPT)
 
+    def let_go(self) -> None:
+        for kept in (self.segments, self.marks):
+            kept.clear()
+            kept.old = {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         get, out = self.segments.__getitem__, []
         for t in texts:
@@ -234,6 +239,7 @@ def written_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
         for batch in common.batches(it, limit=1 << 20):
             ids = enc.encode(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        enc.let_go()
 
     ids = common.written(common.documents(docs, id_col, text_col).mapInArrow(tokenize, "doc_id long, ids binary"))
     kind = encoder(tokenizer).type
