@@ -54,18 +54,26 @@ def split_rally(frames, times, xs, ys, config: ShotConfig) -> list[list[int]]:
 
 
 def shot_points(rally_points: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
-    """The points of each shot in order; neighbouring shots share points. An ordered fold for each rally: where a shot ends
-    depends on where it began."""
+    """The points of each shot in order; neighbouring shots share points. An ordered fold, one call for the rallies of
+    a track: where a shot ends depends on where it began."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_seconds", "frame_number"], kind="stable").reset_index(drop=True)
-        shots = split_rally(*(pdf[c].tolist() for c in ("frame_number", "timestamp_seconds", "x", "y")), config)
-        out = pdf.iloc[[i for s in shots for i in s]].copy()
-        out["shot_in_rally"] = [k for k, s in enumerate(shots, 1) for _ in s]
-        out["place"] = [k for s in shots for k in range(len(s))]
+        pdf = pdf.sort_values(["rally_id", "timestamp_seconds", "frame_number"], kind="stable")
+        columns = [pdf[c].tolist() for c in ("frame_number", "timestamp_seconds", "x", "y")]
+        rally = pdf["rally_id"].tolist()
+        rows, shot, place = [], [], []
+        start = 0
+        for end in range(1, len(rally) + 1):
+            if end == len(rally) or rally[end] != rally[start]:
+                for k, s in enumerate(split_rally(*(c[start:end] for c in columns), config), 1):
+                    rows += [start + i for i in s]
+                    shot += [k] * len(s)
+                    place += range(len(s))
+                start = end
+        out = pdf.iloc[rows].assign(shot_in_rally=shot, place=place)
         return out[[c.split()[0] for c in SHOT_POINT.split(", ")]]
 
-    return rally_points.groupBy("track_id", "rally_id").applyInPandas(fold, SHOT_POINT)
+    return rally_points.groupBy("track_id").applyInPandas(fold, SHOT_POINT)
 
 
 def shot_features(shot_rows: DataFrame) -> DataFrame:
