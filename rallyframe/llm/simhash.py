@@ -60,14 +60,16 @@ def fingerprint_texts(column: pa.Array) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and on request text_hash."""
+    more = {"text_hash": F.xxhash64(F.col(text_col).cast("string"))} if hashed else {}
+    own = ["doc_id", *more]
 
     def scan(it):
         for batch in common.batches(it):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fingerprint_texts(batch["text"]))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in own), pa.array(fingerprint_texts(batch["text"]))], [*own, "fp"])
 
-    return common.documents(docs, id_col, text_col).mapInArrow(scan, "doc_id long, fp long")
+    return common.documents(docs, id_col, text_col, **more).mapInArrow(scan, ", ".join(f"{k} long" for k in [*own, "fp"]))
 
 
 def bucket_masks(blocks: int = BLOCKS, most: int = MOST_BITS) -> list[int]:
@@ -162,11 +164,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def kept_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """none, id, text_hash of the row that each class keeps (none: its id is null), and whether any such row repeats."""
+    prints = common.written(fingerprints(docs, hashed=True).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash", "fp"))
+    nodes = common.written(prints.groupBy("fp").agg(F.min(F.struct("none", "id", "text_hash")).alias("first")))
+    joined = components.roots(links(nodes))
+    rooted = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = common.written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    return kept, prints.join(kept, ["none", "id", "text_hash"], "left_semi").count() > kept.count()
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the smallest id; of rows that repeat that id, one. A class of which no
-    document has an id keeps one of its rows."""
-    found = common.written(classes(docs))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    rows, ids = kept.agg(F.count("*"), F.count_distinct(F.coalesce("kept_id", F.lit(0)), F.col("kept_id").isNull())).first()
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out if rows == ids else out.dropDuplicates(["doc_id"])
+    """One row of each class: that with the smallest id, of rows that share it that with the least hash of its text, and of
+    rows equal in both any one. A class of which no document has an id keeps one of its rows in the same way."""
+    kept, repeated = kept_rows(docs)
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    out = rows.join(kept, ["none", "id", "text_hash"], "left_semi")
+    if repeated:  # by another key than the join's, so that AQE may still split a row repeated very often
+        out = out.select("row", F.xxhash64("none", "id", "text_hash").alias("k"), F.col("text_hash").alias("h")).dropDuplicates(["k", "h"])
+    return out.select("row.*")

@@ -46,6 +46,16 @@ def test_cases(spark):
     assert len(ids) == len({c for _, _, c in got}) and len(set(ids)) == len(ids)
 
 
+def test_stage_keeps_one_row_of_each_class(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(6)]
+    docs = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, texts[4]), (9, texts[4]), (9, texts[5]), (4, texts[5]), (None, None), (None, "")]
+    kept = simhash.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(map(str, (r for r in got if r[1]))) == sorted(map(str, [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (4, texts[5])]))
+    assert len([r for r in got if not r[1]]) == 1
+
+
 def test_large_run_is_split_exactly():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**64, 3, dtype=np.uint64)
