@@ -8,14 +8,21 @@ name). As the parts add up to the period, every deadline is met, and in any pref
 block away from its share. The schedule repeats after one period, so only one period is computed, in one row of
 at most MAX_SOURCES sources, and the slot of any block follows from its number alone.
 
+More sources are dealt into groups of at most MAX_SOURCES sources of like weight (by a hash, with no order over all of them).
+A group has one period, in one row, as a source has parts in it; the groups are scheduled in the same way with the
+sums of their weights, in groups again if they are many. The slots that a group gets are the slots of its own schedule,
+so with two levels a source is less than two blocks away from its share in any prefix.
+
 The mix ends when every block has been placed; until then sources that run out start again, so no row is dropped.
 
 Cases: null and empty sources are one source; null ids share a block; rows that repeat an id share its block and stay
-separate; an empty table gives no rows; more than MAX_SOURCES sources are refused.
+separate; an empty table gives no rows; mixed() refuses more than MAX_SOURCES sources, mixed_any() takes any number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,24 +34,27 @@ PERIOD = 1024
 BLOCK_DOCS = 64
 TEMPER = 0.7
 MAX_SOURCES = PERIOD // 4
+#: Sources are grouped by the power of two of their weight; lighter ones than this many powers below the top are one class.
+WEIGHT_CLASSES = 40
 
 
 def source_of(col: str = "source") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def schedule(sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """source, n, blocks, parts, slots (those of its parts in the period), placed (blocks of it in the whole mix).
-
-    sizes: source, n. weights: a target for each source; those left out get one part."""
-    if sizes.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+def weighted(sizes: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """sizes with w, the weight of each source."""
     if weights is None:
-        weight = F.pow(F.col("n").cast("double"), F.lit(TEMPER))
-    else:
-        given = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v)))) if weights else F.create_map().cast("map<string,double>")
-        weight = F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0))
-    one = sizes.withColumn("w", weight).agg(F.array_sort(F.collect_list(F.struct("source", "n", "w"))).alias("s"))
+        return sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(TEMPER)))
+    given = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v)))) if weights else F.create_map().cast("map<string,double>")
+    return sizes.withColumn("w", F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0)))
+
+
+def periods(items: DataFrame) -> DataFrame:
+    """source, n, g, parts, slots: one period for each group g of at most MAX_SOURCES items.
+
+    items: source, n, w, g."""
+    one = items.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("source", "n", "w"))).alias("s"))
     total = F.greatest(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"]), F.lit(1e-300))
     one = one.withColumn("quota", F.transform("s", lambda x: (PERIOD - F.size("s")) * x["w"] / total))
     whole = F.transform("quota", lambda q: F.floor(q).cast("int") + 1)
@@ -65,41 +75,113 @@ def schedule(sizes: DataFrame, weights: dict[str, float] | None = None) -> DataF
 
     zero = F.struct(F.transform("parts", lambda c: F.lit(0)).alias("next"), F.array().cast("array<int>").alias("out"))
     picks = F.aggregate(F.sequence(F.lit(0), F.lit(PERIOD - 1)), zero, step, lambda a: a["out"])
-    slots = one.where(F.size("s") > 0).select(F.posexplode(picks).alias("slot", "i")).groupBy("i").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    rows = one.select(F.posexplode(F.arrays_zip("s", "parts")).alias("i", "x")).select("i", "x.s.source", "x.s.n", "x.parts")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS))
-    rows = rows.join(slots, "i")
+    slots = one.where(F.size("s") > 0).select("g", F.posexplode(picks).alias("slot", "i")).groupBy("g", "i").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    rows = one.select("g", F.posexplode(F.arrays_zip("s", "parts")).alias("i", "x")).select("g", "i", "x.s.source", "x.s.n", "x.parts")
+    return rows.join(slots, ["g", "i"]).drop("i")
+
+
+def schedule(sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """source, n, blocks, parts, slots (those of its parts in the period), placed (blocks of it in the whole mix).
+
+    sizes: source, n. weights: a target for each source; those left out get one part."""
+    if sizes.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = periods(weighted(sizes, weights).withColumn("g", F.lit(""))).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS))
     end = F.max(slot_of(F.col("blocks") - 1) + 1).over(Window.partitionBy(F.lit(1)))
     rows = rows.withColumn("end", end)
     placed = F.floor(F.col("end") / PERIOD) * F.col("parts") + F.size(F.filter("slots", lambda t: t < F.col("end") % PERIOD))
     return rows.select("source", "n", "blocks", "parts", "slots", placed.alias("placed"))
 
 
+def grouped(items: DataFrame) -> DataFrame:
+    """items (source, n, w) with g: groups of at most MAX_SOURCES items of like weight, half as many on average."""
+    top = F.lit(items.agg(F.max("w")).first()[0] or 1.0)
+    binade = F.when(F.col("w") > 0, F.greatest(F.floor(F.log2(F.col("w") / top)).cast("int"), F.lit(-WEIGHT_CLASSES))).otherwise(-WEIGHT_CLASSES)
+    items = items.withColumn("binade", binade)
+    counts = items.groupBy("binade").count().collect()
+    spread = 1
+    while True:
+        deals = F.create_map(*(F.lit(x) for r in counts for x in (r.binade, spread * -(-r["count"] // (MAX_SOURCES // 2)))))
+        dealt = items.withColumn("g", F.concat_ws("/", "binade", F.pmod(F.xxhash64("source"), F.element_at(deals, F.col("binade")))))
+        if dealt.groupBy("g").count().agg(F.max("count")).first()[0] <= MAX_SOURCES:
+            return dealt.drop("binade")
+        spread *= 2
+
+
+def levels(items: DataFrame) -> DataFrame:
+    """source, n, levels (parts and slots in its group's period, in that of the group's group, and so on).
+
+    items: source, n, w, as a table; at least one row."""
+    rows = items.count()
+    level = F.array(F.struct("parts", "slots"))
+    if rows <= MAX_SOURCES:
+        return periods(items.withColumn("g", F.lit(""))).select("source", "n", level.alias("levels"))
+    items = common.written(grouped(items))
+    top = items.agg(F.max("w")).first()[0] or 1.0
+    whole = F.sum(F.round(F.col("w") / top * 1e15).cast("decimal(20,0)")).cast("double")  # in whole units: the same in any order
+    above = levels(common.written(items.groupBy(F.col("g").alias("source")).agg(F.lit(0).cast("long").alias("n"), whole.alias("w"))))
+    inner = periods(items.repartition(-(-rows // (8 * MAX_SOURCES)), "g"))
+    return inner.join(above.select(F.col("source").alias("g"), F.col("levels").alias("above")), "g").select("source", "n", F.concat(level, "above").alias("levels"))
+
+
+def slot_through(i: Column) -> Column:
+    """The slot of the i-th block of a source with `levels`: its slot in each period is its group's block in the next."""
+    return F.aggregate("levels", i.cast("long"), lambda s, x: (F.floor(s / x["parts"]) * PERIOD + F.get(x["slots"], (s % x["parts"]).cast("int"))).cast("long"))
+
+
+def schedule_in_groups(sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """source, n, blocks, levels, placed, for any number of sources, at least one."""
+    rows = common.written(levels(common.written(weighted(sizes, weights))).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS)))
+    end = F.lit(rows.agg(F.max(slot_through(F.col("blocks") - 1) + 1)).first()[0])
+    placed = F.aggregate(F.reverse("levels"), end.cast("long"), lambda e, x: (F.floor(e / PERIOD) * x["parts"] + F.size(F.filter(x["slots"], lambda t: t < e % PERIOD))).cast("long"))
+    return rows.select("source", "n", "blocks", "levels", placed.alias("placed"))
+
+
 def slot_of(i: Column) -> Column:
     """The slot of the i-th block of a source with `parts` and `slots`."""
     return F.floor(i / F.col("parts")) * PERIOD + F.get("slots", (i % F.col("parts")).cast("int"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with, in `mix`: source, block, copy and slot. A row for each time that a document is placed."""
-    sizes = docs.select(source_of(source_col).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
-    plan = F.broadcast(schedule(sizes, weights).select(F.struct("source", "blocks", "parts", "slots", "placed").alias("plan")))
+def sizes_of(docs: DataFrame, source_col: str) -> DataFrame:
+    return docs.select(source_of(source_col).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def dealt(docs: DataFrame, plan: DataFrame, slot: Callable[[Column], Column], id_col: str, source_col: str) -> DataFrame:
+    """docs with, in `mix`: source, block, copy and slot. A row for each time that a document is placed.
+
+    plan: plan (a struct with source, blocks, placed and what slot() reads)."""
     placed = docs.select(F.struct(*docs.columns).alias("row")).join(plan, F.coalesce(F.col("row")[source_col].cast("string"), F.lit("")) == F.col("plan.source"))
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("row")[id_col].cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     placed = placed.select("row", "plan.*").withColumn("block", number % F.col("blocks"))
     copies = F.floor((F.col("placed") - 1 - F.col("block")) / F.col("blocks"))
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
-    slot = slot_of(F.col("block") + F.col("copy") * F.col("blocks"))
-    return placed.select("row.*", F.struct("source", "block", "copy", slot.alias("slot")).alias("mix"))
+    at = slot(F.col("block") + F.col("copy") * F.col("blocks"))
+    return placed.select("row.*", F.struct("source", "block", "copy", at.alias("slot")).alias("mix"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """dealt() by one schedule; refuses more than MAX_SOURCES sources."""
+    plan = schedule(sizes_of(docs, source_col), weights).select(F.struct("source", "blocks", "parts", "slots", "placed").alias("plan"))
+    return dealt(docs, F.broadcast(plan), slot_of, id_col, source_col)
+
+
+def mixed_any(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """mixed(), and for more sources than it takes, dealt() by schedules in groups."""
+    sizes = common.written(sizes_of(docs, source_col))
+    if sizes.count() <= MAX_SOURCES:
+        plan = schedule(sizes, weights).select(F.struct("source", "blocks", "parts", "slots", "placed").alias("plan"))
+        return dealt(docs, F.broadcast(plan), slot_of, id_col, source_col)
+    plan = common.written(schedule_in_groups(sizes, weights).select(F.struct("source", "blocks", "levels", "placed").alias("plan")))
+    return dealt(docs, plan, slot_through, id_col, source_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(common.table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "mix.source", "mix.block", "mix.copy", "mix.slot")
+    return mixed_any(common.table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "mix.source", "mix.block", "mix.copy", "mix.slot")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix places it."""
-    return mixed(docs).select(*docs.columns)
+    return mixed_any(docs).select(*docs.columns)
 
 
 #: For `documents` as a table or CTE of that name with doc_id and source.

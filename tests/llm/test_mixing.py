@@ -42,6 +42,34 @@ def test_cases(spark):
         mixing.mixed(many)
 
 
+def test_any_number_of_sources(spark):
+    n = {f"s{i}": 1 + i % 7 + (3000 if i == 5 else 200 if i % 50 == 0 else 0) for i in range(600)}
+    docs = spark.createDataFrame([(f"{s}/{k}", s) for s, m in n.items() for k in range(m)], "doc_id string, source string")
+    out = mixing.mixed_any(docs).collect()
+    assert Counter(r.doc_id for r in out if r.mix.copy == 0) == Counter({f"{s}/{k}": 1 for s, m in n.items() for k in range(m)})
+    slots = {}
+    for r in out:
+        slots.setdefault(r.mix.slot, set()).add((r.mix.source, r.mix.block, r.mix.copy))
+    assert all(len(x) == 1 for x in slots.values())
+
+    plan = mixing.schedule_in_groups(spark.createDataFrame(list(n.items()), "source string, n long")).collect()
+    owner, end = {}, 0
+    for r in plan:
+        share, at = 1.0, []
+        for x in r.levels:
+            share *= x.parts / mixing.PERIOD
+        for i in range(r.placed):
+            t = i
+            for x in r.levels:
+                t = t // x.parts * mixing.PERIOD + x.slots[t % x.parts]
+            assert owner.setdefault(t, r.source) == r.source
+            at.append(t)
+        assert r.placed >= r.blocks == -(-n[r.source] // mixing.BLOCK_DOCS) and at == sorted(at)
+        assert all(i - 1e-9 - (t + 1) * share < 2 and (t + 1) * share - i - 1 < 2 for i, t in enumerate(at))
+        end = max(end, at[-1] + 1)
+    assert sorted(owner) == list(range(end)) and len(plan) == len(n)
+
+
 def test_sql(spark):
     for sf in ("sf0.001", "sf0.01"):
         path = f"/root/testdata/{sf}"
