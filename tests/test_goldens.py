@@ -170,6 +170,13 @@ def test_classifier(spark, tmp_path):
     assert {r.n for r in split} == {12}
 
 
+def test_classifier_sizes():
+    made = classifier.models()
+    forest, boosted = made["random_forest"], made["gradient_boosting"].getClassifier()
+    assert (made["logistic_regression"].getMaxIter(), forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter()) == (2000, 250, 30, 150)
+    assert classifier.models(trees=3)["random_forest"].getNumTrees() == 3
+
+
 def test_pixels(spark):
     yellow = np.zeros((20, 30, 3), np.uint8)
     yellow[:, :15] = (0, 255, 230)
