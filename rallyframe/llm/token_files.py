@@ -1,9 +1,9 @@
 """Token files: ids in canonical, length-limited Huffman code, in independent blocks with bit-offset checkpoints.
 
 1. Each task encodes its own whole texts with a public tokenizer (special strings are ordinary text), appends the end
-   id, and writes the ids to a table in the shared folder.
-2. The ids are counted (a partial count for each task, one row for each id of the vocabulary in the end), and the counts
-   give the code lengths (package-merge, at most `LIMIT` bits), which give the canonical code.
+   id, and writes the ids, and its counts of them, to a table in the shared folder.
+2. The counts of all tasks are added (one row for each id of the vocabulary) and give the code lengths (package-merge,
+   at most `LIMIT` bits), which give the canonical code.
 3. The ids are brought into ascending doc_id order by ranges, coded, and written in blocks.
 
 A file is Parquet with a row for each block, in order: `part`, `block`, `first` (ids before it in its part), `doc_ids`
@@ -12,16 +12,16 @@ A file is Parquet with a row for each block, in order: `part`, `block`, `first`
 whole documents, BLOCK ids or more but for the last of a part, so a block or, from a checkpoint on, any part of it can be
 decoded alone. The decoder looks up `LIMIT` bits at a time in one table, for all checkpoints at once.
 
-Cases: a null or empty text is the end id alone; rows that repeat an id are ordered by their coded bits; null ids come
-first; an empty table gives files without blocks, which read back as no rows.
+Cases: a null or empty text is the end id alone; rows that repeat an id are ordered by their number of ids, then by a hash
+of them (equal rows are interchangeable); null ids come first; an empty table gives files without blocks, which read back as no rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,95 +38,133 @@ LIMIT = 18
 BLOCK = 1 << 16
 CHECK = 512
 PART_IDS = 1 << 26
-#: Segments whose ids a task keeps from each of two rounds; at its end it lets go of all.
-KEPT = 300_000
-
-
-class Kept(dict):
-    """Values made on demand. Of the keys of the last two rounds, those that are asked for again stay."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+#: Pieces whose ids a worker keeps; it starts anew when they are as many.
+KEPT_BITS = 21
+
+
+class Seen:
+    """A hash table from 64-bit keys (not 0) to numbers, in arrays: open addressing, at most half full."""
+
+    def __init__(self, bits: int = KEPT_BITS):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: distinct, and not there yet."""
+        left, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[left[free]]  # of several keys the last one gets the slot
+            own = self.keys[slot] == keys[left]
+            self.values[slot[own]] = values[left[own]]
+            left, slot = left[~own], (slot[~own] + 1) & self.mask
 
 
-_MARKS = ".,;:!?%&*#$|"
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
 _CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-_BLANK = chr(_CHARS[32])
-
-
-class Unsplit(Exception):
-    """A space that doesn't start a new piece: white space or nothing follows it."""
+_ALPHA = np.zeros(256, bool)
+_ALPHA[[*range(65, 91), *range(97, 123)]] = True
+#: White space beyond ASCII, in UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where pieces start at the latest: cuts that the byte-level pre-tokenizer makes too, whatever stands around them. They are
+    made before white space and after a letter that no letter follows; of several white spaces before something else
+    the last one stands alone, or before it if it is a space. Texts with other white space than ASCII's stay whole."""
+    n = len(data)
+    space = common._SPACE[data]
+    before = np.zeros(n, bool)  # the byte before ends a letter for sure
+    before[1:] = _ALPHA[data[:-1]]
+    two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))) + 2
+    before[two[two < n]] = True
+    cut = before & (data < 128) & ~_ALPHA[data]
+    cut[1:] |= space[1:] & ~space[:-1]
+    cut[1:] |= ~space[1:] & space[:-1] & (data[:-1] != 32)
+    cut[1:-1] |= space[1:-1] & space[:-2] & ~space[2:]
+    first = off[:-1][np.diff(off) > 0]
+    last = first[1:] - 1  # the last byte of a text is followed by no byte of it
+    lone = last[space[last] & ~space[first[1:]]] if len(first) > 1 else last
+    lone = lone[lone > 0]
+    cut[lone] = space[lone] & ~space[lone - 1] | before[lone] & ~_ALPHA[data[lone]] & (data[lone] < 128)
+    if ((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3)).any():
+        for m in _WIDE_SPACE.finditer(data.tobytes()):
+            doc = int(np.searchsorted(off, m.start(), side="right")) - 1
+            cut[off[doc] : off[doc + 1]] = False
+    cut[first] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """ids of whole texts as little-endian bytes. A space before a character that is no white space always starts a new
-    piece, so a text is cut there, and the ids of segments are kept."""
+    """ids of whole texts. With a byte-level pre-tokenizer texts are cut where it cuts them, and the ids of pieces, which the
+    library's model gives, are kept by their 64-bit hash; with any other the library encodes whole texts."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.normalizer is not None:
-            raise ValueError("a tokenizer that changes the text")
-        self.size = max(max(tokenizer.get_vocab().values()), end_id) + 1
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.size = max(max(self.tokenizer.get_vocab().values()), end_id) + 1
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        code = "H" if self.type.itemsize == 2 else "I"
-        self.end = array(code, [end_id]).tobytes()
-        cut, ids_of = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-        plain = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.pre_tokenizer.use_regex
-
-        def heads(text: str) -> bytes:
-            return array(code, [t.id for piece, _ in cut(text) for t in ids_of(piece)]).tobytes()
-
-        def segment(text: str) -> bytes:
-            if not text or text[0].isspace():
-                raise Unsplit
-            word = text.rstrip(_MARKS)
-            if plain and word.isalpha():  # letters, then marks: two pieces
-                if word.isascii():
-                    ids = [t.id for t in ids_of(_BLANK + word)]
-                elif max(word) < "\u0250":
-                    ids = [t.id for t in ids_of(_BLANK + word.encode().decode("latin-1").translate(_CHARS))]
-                else:
-                    return heads(" " + text)
-                own = array(code, ids).tobytes()
-                return own + self.marks[text[len(word) :]] if len(word) < len(text) else own
-            return heads(" " + text)
-
-        self.heads = heads
-        self.marks = Kept(lambda marks: array(code, [t.id for t in ids_of(marks)]).tobytes(), KEPT)
-        self.segments = Kept(segment, KEPT)
+        self.end_id = end_id
+        before = self.tokenizer.pre_tokenizer
+        self.plain = self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        self.let_go()
 
     def let_go(self) -> None:
-        for kept in (self.segments, self.marks):
-            kept.clear()
-            kept.old = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, out = self.segments.__getitem__, []
-        for t in texts:
-            if not t:
-                out.append(self.end)
-                continue
-            head, *rest = t.split(" ")
-            try:
-                own = b"".join(map(get, rest))
-            except Unsplit:
-                head, *rest = re.split(r"(?= \S)", t)
-                own = b"".join([get(s[1:]) for s in rest])
-            out.append(self.heads(head) + own + self.end)
-        return out
+        """Forget all pieces; entry 0 is the end."""
+        self.seen, self.pool, self.edge = Seen(), [np.array([self.end_id], self.type)], [0, 1]
+
+    def ids_of(self, piece: str) -> list[int]:
+        tokenize = self.tokenizer.model.tokenize
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha() and max(word) < "\u0250":  # one piece
+            return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_CHARS))]
+        return [t.id for own, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece) for t in tokenize(own)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and how many each text has."""
+        if not self.plain:
+            found = self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)
+            ids = [np.array([*x.ids, self.end_id], self.type) for x in found]
+            return np.concatenate(ids), np.array([len(x) for x in ids])
+        data, off = common.flat(column)
+        start = cuts(data, off) if len(data) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(data))[: len(start)]
+        h = common.span_hash(common.prefix_hash(data), start, end) | np.uint64(1)
+        keys, one, piece = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.edge) + len(keys) > 1 << (KEPT_BITS - 1):
+            self.let_go()
+        entry = self.seen.find(keys)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = data.tobytes()
+            made = [self.ids_of(raw[a:b].decode()) for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())]
+            entry[new] = len(self.edge) - 1 + np.arange(len(new))
+            self.seen.add(keys[new], entry[new])
+            self.pool = [np.concatenate([*self.pool, np.fromiter(chain.from_iterable(made), self.type)])]
+            self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum([len(x) for x in made])])
+        pool, edge = self.pool[0], np.asarray(self.edge)
+        pieces = np.diff(np.searchsorted(start, off))
+        ends = np.cumsum(pieces + 1) - 1
+        told = np.zeros(len(start) + len(pieces), np.int64)  # the end of each text is entry 0
+        told[np.arange(len(start)) + np.repeat(np.arange(len(pieces)), pieces)] = entry[piece]
+        size = edge[told + 1] - edge[told]
+        upto = np.cumsum(size)
+        ids = pool[np.repeat(edge[told] - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        return ids, np.diff(np.concatenate([[0], upto[ends]]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -227,6 +265,10 @@ def from_bits(payload: bytes, checks: np.ndarray, count: np.ndarray, table: tupl
     return out
 
 
+#: What the first pass writes: a row for each document, and one with the counts of all ids for each task.
+IDS = "doc_id long, n long, ids binary, counts binary"
+IDS_NAMES = ["doc_id", "n", "ids", "counts"]
+CODED = ["doc_id", "n", "hash", "row", "checks", "bits"]
 BLOCKS = "part int, block int, first long, doc_ids binary, n_null int, doc_tokens binary, checks binary, payload binary"
 
 
@@ -236,26 +278,29 @@ def written_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
 
     def tokenize(it):
         enc = encoder(tokenizer)
-        for batch in common.batches(it, limit=1 << 20):
-            ids = enc.encode(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
-        enc.let_go()
-
-    ids = common.written(common.documents(docs, id_col, text_col).mapInArrow(tokenize, "doc_id long, ids binary"))
-    kind = encoder(tokenizer).type
+        counts = np.zeros(enc.size, np.int64)
+        for batch in common.batches(it):
+            ids, n = enc.encode(batch["text"])
+            counts += np.bincount(ids, minlength=enc.size)
+            at = np.concatenate([[0], np.cumsum(n)]) * enc.type.itemsize
+            held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), held.cast(pa.binary()), pa.nulls(len(n), pa.binary())], IDS_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], IDS_NAMES)
+
+    found = common.documents(docs, id_col, text_col).mapInArrow(tokenize, IDS).withColumns({"hash": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    table = common.written(found)
+    ids, kind = table.where("ids IS NOT NULL").drop("counts"), encoder(tokenizer).type
 
     def count(it):
-        own = np.zeros(0, np.int64)
+        own = np.zeros(encoder(tokenizer).size, np.int64)
         for batch in it:
-            new = np.bincount(np.frombuffer(common.flat(batch["ids"])[0].tobytes(), kind))
-            long, short = (own, new) if len(own) > len(new) else (new, own)
-            own = long.astype(np.int64)
-            own[: len(short)] += short
+            for x in batch["counts"].to_pylist():
+                own += np.frombuffer(x, np.int64)
         k = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[k])], ["id", "n"])
 
     counts = np.zeros(encoder(tokenizer).size, np.int64)
-    for i, n in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in table.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
     lengths = code_lengths(counts)
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths) if n], "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
@@ -267,13 +312,15 @@ def written_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
             data, off = common.flat(batch["ids"])
             n = np.diff(off) // kind.itemsize
             bits, checks = to_bits(np.frombuffer(data.tobytes(), kind).astype(np.int64), n, lengths, codes)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(checks, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "checks", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in CODED[:4]), pa.array(checks, pa.binary()), pa.array(bits, pa.binary())], CODED)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PART_IDS)
-    # Ranges are found by a first look at the rows, so the ids are coded after they have been brought into order.
-    ordered = ids.repartitionByRange(parts, "doc_id").mapInArrow(code, "doc_id long, n long, checks binary, bits binary").sortWithinPartitions("doc_id", "n", "bits")
+    # Ranges are found by a first look at the rows, so the ids are coded after they have been brought into order. They are cut
+    # by more than the id, so rows that share one (or have none) are spread.
+    order = ["doc_id", "n", "hash", "row"]
+    ordered = ids.repartitionByRange(parts, *order).mapInArrow(code, "doc_id long, n long, hash long, row long, checks binary, bits binary").sortWithinPartitions(*order)
     ordered.mapInArrow(packed, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
-    common.dropped(spark, ids)
+    common.dropped(spark, table)
 
 
 def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 import heapq
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from rallyframe.llm import common, token_files
@@ -61,6 +63,36 @@ def test_code_is_optimal_and_limited():
     assert (token_files.from_bits(b"".join(bits), np.array(at), np.array(lanes), token_files.decode_table(short)) == ids).all()
 
 
+def test_pieces_are_those_of_the_library():
+    rng = random.Random(4)
+    parts = ["a", "the", "s", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "'s", "'re", ".", ",", "1", "é", "ß", "×", "÷", "ª", "\xa0", "\x85", "\u3000", "\u2003", "中", "ж", "ɐ", "²", "\U0001f3be", "\xad", "<|endoftext|>", "Ω", "́", "_", "-"]
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    own = token_files.Encoder(PATH)
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(100)] + [None, ""]
+        ids, n = own.encode(pa.array(texts))
+        want = [x.ids + [2] for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_seen():
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(1, 2**64, 600, dtype=np.uint64) | np.uint64(1) << np.uint64(63))
+    seen = token_files.Seen(11)
+    seen.add(keys[:500], np.arange(500))
+    assert (seen.find(keys[:500]) == np.arange(500)).all() and (seen.find(keys[500:]) == -1).all()
+
+
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.range(10_000).selectExpr("cast(null AS long) AS doc_id", "repeat(concat('word ', id), 1 + id % 20) AS text")
+    path = common.shared_dir(spark)
+    token_files.written_files(df, path, PATH)
+    per_part = spark.read.parquet(f"{path}/blocks").selectExpr("part", "length(doc_ids) / 8 AS n").groupBy("part").sum("n").collect()
+    assert len(per_part) == 8 and max(r[1] for r in per_part) < 3000
+    assert rows(token_files.read_files(spark, path))[-1][0] == "None" and token_files.read_files(spark, path).count() == 10_000
+
+
 def test_table(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     assert rows(token_files.query(spark, "/root/testdata/sf0.01")) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
