@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame expressions only.
 
-The documents of a source are dealt into blocks of about BLOCK_DOCS by a hash of their id, so no row is shuffled and no
-source is collected. Target weights are whole parts of a period of slots: those given, or by default the sources' sizes to
-the power TEMPER. The i-th block of a source with c of the PERIOD parts is released at slot floor(i * PERIOD / c) and due
+The documents of a source are numbered in the order of a hash of their id, by ranges of (source, hash) whose counts are
+added up, so a source of any size is spread over tasks and is never collected; BLOCK_DOCS numbers in a row are a block,
+so all blocks but a source's last one are equally large. Target weights are whole parts of a period of slots: those given,
+or by default the sources' sizes to the power TEMPER; no source gets less than one part, so targets below 1 / PERIOD are
+rounded up to it. The i-th block of a source with c of the PERIOD parts is released at slot floor(i * PERIOD / c) and due
 by ceil((i + 1) * PERIOD / c); the released block with the earliest deadline gets the slot (ties: the first source by
 name). As the parts add up to the period, every deadline is met, and in any prefix of slots a source is less than one
 block away from its share. The schedule repeats after one period, so only one period is computed, in one row of
@@ -13,10 +15,14 @@ A group has one period, in one row, as a source has parts in it; the groups are
 sums of their weights, in groups again if they are many. The slots that a group gets are the slots of its own schedule,
 so with two levels a source is less than two blocks away from its share in any prefix.
 
-The mix ends when every block has been placed; until then sources that run out start again, so no row is dropped.
+The mix ends when every block has been placed; until then sources that run out start again, so no row is dropped. Weights
+far from the sizes make such a mix long: a source with a thousandth of the weight and most of the rows has all others
+repeated until it is through. `most_copies` bounds this: a block is then placed that often at most, and the slots of
+a source that is through stay empty.
 
-Cases: null and empty sources are one source; null ids share a block; rows that repeat an id share its block and stay
-separate; an empty table gives no rows; mixed() refuses more than MAX_SOURCES sources, mixed_any() takes any number.
+Cases: null and empty sources are one source; rows with null or equal ids are numbered one after the other and stay
+separate; an empty table gives no rows; a column `mix` of the input is replaced (stage() returns the input's columns
+only, whatever their names); mixed() refuses more than MAX_SOURCES sources, mixed_any() takes any number.
 """
 
 from __future__ import annotations
@@ -142,37 +148,59 @@ def slot_of(i: Column) -> Column:
     return F.floor(i / F.col("parts")) * PERIOD + F.get("slots", (i % F.col("parts")).cast("int"))
 
 
-def sizes_of(docs: DataFrame, source_col: str) -> DataFrame:
-    return docs.select(source_of(source_col).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
-
-
-def dealt(docs: DataFrame, plan: DataFrame, slot: Callable[[Column], Column], id_col: str, source_col: str) -> DataFrame:
-    """docs with, in `mix`: source, block, copy and slot. A row for each time that a document is placed.
-
-    plan: plan (a struct with source, blocks, placed and what slot() reads)."""
-    placed = docs.select(F.struct(*docs.columns).alias("row")).join(plan, F.coalesce(F.col("row")[source_col].cast("string"), F.lit("")) == F.col("plan.source"))
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("row")[id_col].cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    placed = placed.select("row", "plan.*").withColumn("block", number % F.col("blocks"))
+def numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables. row (all columns of docs), source, part, at: the rows in order of source and hash of the id, by ranges. source,
+    part, first, before, n: of each source and range, its first place and the source's rows in the ranges before."""
+    spark = docs.sparkSession
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), source_of(source_col).alias("source"), F.md5(key.cast("binary")).alias("hash"), key.alias("key"))
+    order = ["source", "hash", "key", "tie"]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    table = common.written(rows.select("row", "source", F.shiftright("at", 33).alias("part"), "at"))
+    counts = table.groupBy("source", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return table, common.written(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+
+
+def dealt(rows: DataFrame, ranges: DataFrame, plan: DataFrame, slot: Callable[[Column], Column], few: bool, most_copies: int | None) -> DataFrame:
+    """row, and in `mix`: source, block, copy and slot. A row for each time that a document is placed.
+
+    plan: plan (a struct with source, blocks, placed and what slot() reads). few: the ranges with their plans, which are as many
+    as partitions and sources, are bounded by MAX_SOURCES sources, so they are broadcast."""
+    known = ranges.select(F.col("source").alias("s"), F.col("part").alias("p"), "first", "before").join(plan, F.col("s") == F.col("plan.source"))
+    placed = rows.join(F.broadcast(known) if few else known, (F.col("part") == F.col("p")) & (F.col("source") == F.col("s")))
+    placed = placed.select("row", F.floor((F.col("at") - F.col("first") + F.col("before")) / BLOCK_DOCS).alias("block"), "plan.*")
     copies = F.floor((F.col("placed") - 1 - F.col("block")) / F.col("blocks"))
+    if most_copies is not None:
+        copies = F.least(copies, F.lit(most_copies - 1).cast("long"))
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
     at = slot(F.col("block") + F.col("copy") * F.col("blocks"))
-    return placed.select("row.*", F.struct("source", "block", "copy", at.alias("slot")).alias("mix"))
+    return placed.select("row", F.struct("source", "block", "copy", at.alias("slot")).alias("mix"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """dealt() by one schedule; refuses more than MAX_SOURCES sources."""
-    plan = schedule(sizes_of(docs, source_col), weights).select(F.struct("source", "blocks", "parts", "slots", "placed").alias("plan"))
-    return dealt(docs, F.broadcast(plan), slot_of, id_col, source_col)
-
-
-def mixed_any(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """mixed(), and for more sources than it takes, dealt() by schedules in groups."""
-    sizes = common.written(sizes_of(docs, source_col))
-    if sizes.count() <= MAX_SOURCES:
+def rows_mixed(docs: DataFrame, weights: dict[str, float] | None, id_col: str, source_col: str, most_copies: int | None = None, groups: bool = True) -> DataFrame:
+    rows, ranges = numbered(docs, id_col, source_col)
+    sizes = common.written(ranges.groupBy("source").agg(F.sum("n").alias("n")))
+    if sizes.count() <= MAX_SOURCES or not groups:
         plan = schedule(sizes, weights).select(F.struct("source", "blocks", "parts", "slots", "placed").alias("plan"))
-        return dealt(docs, F.broadcast(plan), slot_of, id_col, source_col)
+        return dealt(rows, ranges, plan, slot_of, True, most_copies)
     plan = common.written(schedule_in_groups(sizes, weights).select(F.struct("source", "blocks", "levels", "placed").alias("plan")))
-    return dealt(docs, plan, slot_through, id_col, source_col)
+    return dealt(rows, ranges, plan, slot_through, False, most_copies)
+
+
+def with_mix(mixed_rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return mixed_rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "mix"), "mix")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", most_copies: int | None = None) -> DataFrame:
+    """docs with `mix`, by one schedule; refuses more than MAX_SOURCES sources."""
+    return with_mix(rows_mixed(docs, weights, id_col, source_col, most_copies, groups=False), docs)
+
+
+def mixed_any(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", most_copies: int | None = None) -> DataFrame:
+    """mixed(), and for more sources than it takes, by schedules in groups."""
+    return with_mix(rows_mixed(docs, weights, id_col, source_col, most_copies), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +209,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix places it."""
-    return mixed_any(docs).select(*docs.columns)
+    return rows_mixed(docs, None, "doc_id", "source").select("row.*")
 
 
 #: For `documents` as a table or CTE of that name with doc_id and source.
@@ -210,7 +238,7 @@ ended AS (SELECT *, max((blocks - 1) // parts * {PERIOD} + slots[(blocks - 1) %
 placed AS (SELECT *, mix_end // {PERIOD} * parts + len(list_filter(slots, lambda t: t < mix_end % {PERIOD})) AS placed FROM ended),
 dealt AS (
   SELECT d.*, p.source AS mix_source, p.blocks, p.parts, p.slots, p.placed,
-    CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % p.blocks AS block
+    (row_number() OVER (PARTITION BY p.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1) // {BLOCK_DOCS} AS block
   FROM documents d JOIN placed p ON coalesce(d.source, '') = p.source
 ),
 mix AS (SELECT *, unnest(range(0, (placed - 1 - block) // blocks + 1)) AS copy FROM dealt)

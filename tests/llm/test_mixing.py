@@ -26,7 +26,7 @@ def test_every_prefix_is_less_than_a_block_off(spark, weights):
 
 def test_cases(spark):
     docs = [(i, f"t{i}", "abc"[i % 3] if i % 50 else None, 0) for i in range(500)] + [(7, "again", "b", 0), (None, None, "c", 0), (8, "", "", 0)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, mix int").drop("mix")
+    df = spark.createDataFrame([(*d, d[0]) for d in docs], "doc_id long, text string, source string, mix int, `a.b` long")
     out = mixing.mixed(df).collect()
     first = Counter((r.doc_id, r.text, r.source) for r in out if r.mix.copy == 0)
     assert first == Counter(d[:3] for d in docs)
@@ -36,12 +36,32 @@ def test_cases(spark):
     assert all(len(x) == 1 for x in by_block.values())
     assert len({next(iter(x)) for x in by_block.values()}) == len(by_block)
     assert mixing.mixed(df.limit(0)).count() == 0
-    assert mixing.stage(spark, df, "").columns == df.columns
+    own = mixing.stage(spark, df, "")
+    assert own.columns == df.columns and {tuple(r) for r in own.collect()} == {(*d, d[0]) for d in docs}
+    size = Counter(r.mix.source for r in out if r.mix.copy == 0)
+    blocks = Counter((r.mix.source, r.mix.block) for r in out if r.mix.copy == 0)
+    assert all(n == min(mixing.BLOCK_DOCS, size[s] - b * mixing.BLOCK_DOCS) for (s, b), n in blocks.items())
     many = spark.range(mixing.MAX_SOURCES + 1).selectExpr("id AS doc_id", "cast(id AS string) AS source")
     with pytest.raises(ValueError):
         mixing.mixed(many)
 
 
+def test_copies_are_bounded(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "if(id % 10 = 0, 'small', 'big') AS source")
+    weights = {"big": 0.05, "small": 0.95}
+    assert mixing.mixed(df, weights).count() > 20_000
+    out = mixing.mixed(df, weights, most_copies=3)
+    assert out.count() == 2700 + 3 * 300 and out.select("doc_id").distinct().count() == 3000
+
+
+def test_hot_null_ids_are_spread(spark):
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, id, null) AS doc_id", "'s' AS source")
+    rows, ranges = mixing.numbered(df, "doc_id", "source")
+    assert max(r.n for r in ranges.collect()) < 6000
+    numbers = mixing.mixed(df).where("mix.copy = 0").groupBy("mix.block").count().collect()
+    assert sorted(r["count"] for r in numbers) == [20_000 % 64] + [64] * (20_000 // 64)
+
+
 def test_any_number_of_sources(spark):
     n = {f"s{i}": 1 + i % 7 + (3000 if i == 5 else 200 if i % 50 == 0 else 0) for i in range(600)}
     docs = spark.createDataFrame([(f"{s}/{k}", s) for s, m in n.items() for k in range(m)], "doc_id string, source string")
