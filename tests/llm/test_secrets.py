@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from rallyframe.llm import common, secrets
 
@@ -20,7 +21,9 @@ def brute(text):
     ids, keys = ("access", "login"), ("assign", "hex", "key")
     shown = [x for x in weak if (x[2] == "endpoint" or near(x[0], keys if x[2] == "login" else ids)) and (x[2] != "endpoint" or near(x[0], ids) and near(x[0], keys))]
     show = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
-    return tuple(sum(x[2] == k for x in base) for k in BASE) + (hashlib.sha256(show(base).encode()).hexdigest(), show(base + shown))
+    partner = {"login": keys, "key": ids, "endpoint": ids + keys}
+    n_links = sum(k in partner[x[2]] and abs(a - x[0]) <= secrets.SCOPE for x in shown for a, _, k, _ in every)
+    return tuple(sum(x[2] == k for x in base) for k in BASE) + (hashlib.sha256(show(base).encode()).hexdigest(), show(base + shown), n_links)
 
 
 KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKE0"
@@ -35,7 +38,7 @@ TEXTS = [
 def query_rows(spark, df):
     real, common.table = common.table, lambda *_: df
     try:
-        return sorted(tuple(str(r[c]) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")) for r in secrets.query(spark, "").collect())
+        return sorted(tuple(str(r[c]) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_links")) for r in secrets.query(spark, "").collect())
     finally:
         common.table = real
 
@@ -48,6 +51,22 @@ def test_cases(spark):
     assert query_rows(spark, df.limit(0)) == []
 
 
+def test_a_long_text_with_many_matches(spark):
+    text = "".join(f"user=ab{i % 7}c {'x' * (i % 300)} token: abcdefgh{i} " for i in range(8000))
+    df = spark.createDataFrame([(1, text), (2, text + KEY), (3, None)], "doc_id long, text string")
+    took = time.time()
+    assert query_rows(spark, df) == sorted((str(i), *map(str, brute(t))) for i, t in ((1, text), (2, text + KEY), (3, None)))
+    assert time.time() - took < 120
+
+
+def test_links_name_their_partners(spark):
+    df = spark.createDataFrame([(1, TEXTS[8])], "doc_id long, text string")
+    found = secrets.linked(df).first()
+    kinds = sorted((secrets.KINDS[x.weak.ord], secrets.KINDS[x.partner.ord]) for x in found.links)
+    assert kinds == [("endpoint", "key"), ("endpoint", "login"), ("key", "login"), ("login", "key")]
+    assert all(TEXTS[8][x.weak.start : x.weak.end].strip() for x in found.links)
+
+
 def test_table(spark):
     docs = common.table(spark, "/root/testdata/sf0.1", "documents")
     assert query_rows(spark, docs) == sorted((str(r.doc_id), *map(str, brute(r.text))) for r in docs.collect())
