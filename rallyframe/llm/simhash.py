@@ -4,10 +4,11 @@
 2. Documents with equal fingerprints become one node, with its least doc_id. A group of exact copies is one row from
    here on, whatever its size; the count is combined before the shuffle.
 3. Nodes that differ in 3 bits at most agree on at least 3 of 6 blocks of bits, so they meet in one of 20 buckets.
-   In a bucket a table holds the Hamming distances of its nodes to `PIVOTS` reference fingerprints; by the triangle
-   inequality a pair with any coordinate more than 3 apart is discarded, and the survivors are verified. A bucket of
-   more than `RUN` nodes is split by those bits that vary in it (4 parts, of which a linked pair shares one), and so
-   on, so no bucket is compared pair by pair and none is cut short.
+   In a bucket a table holds the Hamming distances of its nodes to `PIVOTS` reference fingerprints. A bucket of more than
+   `RUN` nodes is taken apart by the pivots: nodes whose distances to one differ by more than 3 are never compared; what
+   no pivot takes apart is split by those bits that vary in it. Of the pairs that remain, those with any coordinate more
+   than 3 apart are discarded (triangle inequality), and the survivors are verified. A bucket of more than `MOST` nodes
+   is split over the cluster by further bits first, so no bucket is compared pair by pair and none is cut short.
 4. A task gives a star for each component of its own links, never the pairs; the stars are merged over the cluster.
 
 Cases: null, empty or wordless texts have fingerprint zero and are linked like any other; fewer than three words are one
@@ -21,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -34,7 +35,11 @@ SHINGLE = 3
 MOST_BITS = 3
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 16, dtype=np.uint64)
 RUN = 64
+#: The width of a cell of distances to a pivot.
+WIDTH = 4
 BLOCKS = 6
+#: Fingerprints with one key that are compared in one task.
+MOST = 1 << 17
 
 
 def fingerprint_texts(column: pa.Array) -> np.ndarray:
@@ -79,6 +84,11 @@ def bucket_masks(blocks: int = BLOCKS, most: int = MOST_BITS) -> list[int]:
     return [sum(x) for x in combinations(parts, blocks - most)]
 
 
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """The Hamming distances of each fingerprint to all pivots."""
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
 def near(a: np.ndarray, b: np.ndarray, table_a: np.ndarray, table_b: np.ndarray) -> np.ndarray:
     """Which pairs differ in few bits: pivots first, then the survivors."""
     ok = np.flatnonzero(np.abs(table_a - table_b).max(axis=1) <= MOST_BITS)
@@ -96,7 +106,7 @@ def link_runs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         vs.append(v)
     keep = np.repeat((size > 1) & (size <= RUN), size)
     key, fp = np.repeat(np.arange(len(size)), size)[keep], fp[keep]
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    table = pivot_table(fp)
     for s in range(1, RUN):
         i = np.flatnonzero(key[s:] == key[:-s])
         if not len(i):
@@ -108,7 +118,25 @@ def link_runs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_run(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside one large run: by the values of a quarter of the bits that vary in it, for each quarter."""
+    """Links inside one large run. By pivots: a linked pair's distances to a pivot differ by MOST_BITS at most, so in order of the
+    distance the run falls into cells of WIDTH that reach MOST_BITS into the next one; the pivot is that whose largest cell
+    is smallest. A run that no pivot takes apart is split by the values of a quarter of the bits that vary in it, for
+    each quarter: a linked pair agrees on one of them."""
+    table = pivot_table(fp)
+    order = np.argsort(table, axis=0, kind="stable")
+    ranked = np.take_along_axis(table, order, axis=0)
+    best, cells = len(fp), []
+    for j in range(len(PIVOTS)):
+        d = ranked[:, j]
+        low = np.arange(d[0], d[-1] + 1, WIDTH)
+        a, b = np.searchsorted(d, low), np.searchsorted(d, low + WIDTH + MOST_BITS)
+        if (b - a).max() < best:
+            best, cells = int((b - a).max()), [order[x:y, j] for x, y in zip(a, b) if y - x > 1]
+    if best <= 0.7 * len(fp):
+        keyed = [(np.full(len(c), i), fp[c]) for i, c in enumerate(cells)]
+        if not keyed:
+            return fp[:0], fp[:0]
+        return components.stars(*link_runs(np.concatenate([k for k, _ in keyed]), np.concatenate([x for _, x in keyed])))
     varying = int(np.bitwise_or.reduce(fp) & ~np.bitwise_and.reduce(fp))
     bits = [i for i in range(64) if varying >> i & 1]
     us, vs = [], []
@@ -122,29 +150,61 @@ def split_run(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us), np.concatenate(vs)
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def halved(mask: int) -> list[int]:
+    """The mask with a quarter of its other bits more, for each quarter: a pair that differs in few bits agrees on one of them."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in rest[q :: MOST_BITS + 1]) for q in range(MOST_BITS + 1)]
+
+
+def keyed_by(rows: DataFrame, masks: Column) -> DataFrame:
+    """key, mask, fp: a row for each mask of a fingerprint."""
+    keys = rows.select("fp", F.explode(masks).alias("mask"))
+    return keys.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """`u, v`: enough links between distinct fingerprints to connect all that are near."""
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in bucket_masks()])
-    keyed = nodes.select("fp", F.posexplode(masks).alias("band", "mask")).select(F.xxhash64("band", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-
-    def compare(it):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in it:
-            key, fp = np.concatenate([key, np.asarray(batch["key"])]), np.concatenate([fp, np.asarray(batch["fp"])])
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if cut:
-                yield from told(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        if len(key):
-            yield from told(key, fp)
-
-    def told(key, fp):
-        u, v = link_runs(key, fp.view(np.uint64))
-        if len(u):
-            u, v = components.stars(u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+    """`u, v`: enough links between distinct fingerprints to connect all that are near. Keys with more than MOST fingerprints are
+    taken apart by more bits, level by level, so what meets in one task is bounded."""
+    masks, found = bucket_masks(), None
+    keyed = keyed_by(nodes, F.array(*(F.lit(signed(m)) for m in masks)))
+    while True:
+        hot = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"))
+        calm = keyed if hot.isEmpty() else keyed.join(hot, "key", "left_anti")
+        own = calm.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+        found = own if found is None else found.unionByName(own)
+        if calm is keyed:
+            return found
+        further = F.create_map(*(x for m in masks for x in (F.lit(signed(m)), F.array(*(F.lit(signed(k)) for k in halved(m))))))
+        keyed = common.written(keyed_by(keyed.join(hot, "key", "left_semi").withColumn("further", F.element_at(further, F.col("mask"))), F.col("further")))
+        masks = sorted({k for m in masks for k in halved(m)})
+
+
+def compare(it):
+    """Links of rows sorted by key, as stars."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key, which may go on in the next batch
+    for batch in it:
+        key, fp = np.asarray(batch["key"]), np.asarray(batch["fp"])
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (held and held[-1][0][-1] != key[-1]):
+            held.append((key[:cut], fp[:cut]))
+            yield from told(*map(np.concatenate, zip(*held)))
+            held = []
+        held.append((key[cut:], fp[cut:]))
+    if held:
+        yield from told(*map(np.concatenate, zip(*held)))
+
+
+def told(key: np.ndarray, fp: np.ndarray):
+    u, v = link_runs(key, fp.view(np.uint64))
+    if len(u):
+        u, v = components.stars(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +239,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows equal in both any one. A class of which no document has an id keeps one of its rows in the same way."""
     kept, repeated = kept_rows(docs)
     key = F.col("doc_id").cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    rows = docs.select(F.struct("*").alias("row"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     out = rows.join(kept, ["none", "id", "text_hash"], "left_semi")
     if repeated:  # by another key than the join's, so that AQE may still split a row repeated very often
         out = out.select("row", F.xxhash64("none", "id", "text_hash").alias("k"), F.col("text_hash").alias("h")).dropDuplicates(["k", "h"])

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from rallyframe.llm import common, components, simhash
@@ -40,8 +41,8 @@ def test_cases(spark):
     got = [(str(r.doc_id), f"{r.fp & (2**64 - 1):016x}", str(r.component_id)) for r in simhash.classes(df).collect()]
     assert sorted(got) == brute(docs)
     assert simhash.classes(df.limit(0)).count() == 0
-    kept = simhash.stage(spark, df, "")
-    assert kept.columns == df.columns
+    kept = simhash.stage(spark, df.withColumns({"kept_id": F.lit(1), "row": F.lit(2), "none": F.lit(3), "a.b": F.lit(4)}), "")
+    assert kept.columns == [*df.columns, "kept_id", "row", "none", "a.b"]
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len({c for _, _, c in got}) and len(set(ids)) == len(ids)
 
@@ -66,6 +67,34 @@ def test_large_run_is_split_exactly():
     assert sorted(zip(*map(list, components.stars(u, v)))) == sorted(zip(*map(list, components.stars(fp[i], fp[j]))))
 
 
+def test_pivots_take_a_run_apart(monkeypatch):
+    rng = np.random.default_rng(4)
+    fp = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    near = fp[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    fp = np.unique(np.concatenate([fp, near]))
+    compared = []
+    real = simhash.near
+    monkeypatch.setattr(simhash, "near", lambda a, b, x, y: compared.append(len(a)) or real(a, b, x, y))
+    u, v = simhash.link_runs(np.zeros(len(fp), np.int64), fp)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
+    assert sorted(zip(*map(list, components.stars(u, v)))) == sorted(zip(*map(list, components.stars(fp[i], fp[j]))))
+    assert sum(compared) < len(fp) ** 2 / 8
+    cells = [simhash.pivot_table(fp)[:, k] // simhash.WIDTH for k in range(3)]
+    assert len(set(zip(*map(list, cells)))) > 30
+
+
+def test_hot_keys_are_taken_apart(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 2**64, 4, dtype=np.uint64)
+    fp = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for c in centre for k in rng.integers(0, 6, 250)], np.uint64))
+    monkeypatch.setattr(simhash, "MOST", 20)
+    nodes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    found = simhash.links(nodes).collect()
+    u, v = (np.array([r[k] for r in found], np.int64).view(np.uint64) for k in (0, 1))
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
+    assert sorted(zip(*map(list, components.stars(u, v)))) == sorted(zip(*map(list, components.stars(fp[i], fp[j]))))
+
+
 def test_table(spark):
     got = sorted(tuple(map(str, r)) for r in simhash.query(spark, "/root/testdata/sf0.01").collect())
     docs = [tuple(r) for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
