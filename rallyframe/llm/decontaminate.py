@@ -230,8 +230,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return judged(find(docs, common.table(spark, sf_dir, "benchmark"))).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return judged(find(rows, common.table(spark, sf_dir, "benchmark"))).where(~F.col("contaminated")).select("row.*")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -48,11 +48,21 @@ def test_cases(spark):
         found = decontaminate.judged(decontaminate.find(common.documents(df), bench, pattern_bytes=most))
         got = found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
         assert sorted(map(key, got)) == sorted(map(key, brute(docs, ITEMS)))
-    assert decontaminate.stage.__doc__
     assert decontaminate.judged(decontaminate.find(common.documents(df), bench.limit(0))).where("contaminated").count() == 0
     assert decontaminate.judged(decontaminate.find(common.documents(df.limit(0)), bench)).count() == 0
 
 
+def test_stage_keeps_the_columns_of_the_input(spark, monkeypatch):
+    columns = ["n_words", "runs", "items", "n_hit", "n_items", "contaminated", "row", "text_hash", "a.b"]
+    docs = [(i, t, *range(len(columns))) for i, t in enumerate(TEXTS)] + [(None, "rare", *range(len(columns)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in columns))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(common, "table", lambda *_: bench)
+    out = decontaminate.stage(spark, df, "")
+    clean = [d for d, b in zip(docs, brute([d[:2] for d in docs], ITEMS)) if not b[5]]
+    assert out.columns == df.columns and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, clean))
+
+
 def test_table(spark):
     got = decontaminate.query(spark, "/root/testdata/sf0.01").collect()
     read = lambda t: [tuple(r) for r in common.table(spark, "/root/testdata/sf0.01", t).select(*((["doc_id"] if t == "documents" else ["item_id"]) + ["text"])).collect()]
