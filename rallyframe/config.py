@@ -1,4 +1,6 @@
-"""Settings of the operators, checked when made."""
+"""Settings of the operators, checked when made.
+
+Fixed values: the defaults (thresholds, weights, court sizes) are those that the reference's results follow from."""
 
 from __future__ import annotations
 
@@ -108,7 +110,6 @@ class ScoringConfig:
 class TrackerConfig:
     maximum_match_distance: float = 180.0
     maximum_missed_frames: int = 8
-    trajectory_length: int = 40
     position_alpha: float = 0.65
     velocity_alpha: float = 0.55
     minimum_time_delta: float = 0.001

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.config import ScoringConfig
+from rallyframe.operators import folds
 
 COUNTS = ("points_a", "points_b", "games_a", "games_b", "sets_a", "sets_b", "tie_a", "tie_b")
 BOARD = "match_id long, point_number long, winner string, rejected boolean, in_tiebreak boolean, " + ", ".join(f"{c} int" for c in COUNTS) + ", match_winner string, events string"
@@ -52,19 +52,24 @@ class Score:
         return ["set"]
 
 
-def scoreboard(points: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """The score after each point. points: match_id, point_number (order), winner ('A' or 'B')."""
+class Match:
+    """Score as the state of a fold."""
+
+    def __init__(self, config: ScoringConfig):
+        self.score = Score(config)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_number", kind="stable")
-        score, rows = Score(config), []
-        for match, number, winner in zip(pdf["match_id"], pdf["point_number"], pdf["winner"]):
-            events = score.award("AB".index(winner))
-            counts = [*score.points, *score.games, *score.sets, *score.tie]
-            rows.append((match, number, winner, events is None, score.in_tiebreak, *counts, None if score.winner is None else "AB"[score.winner], ",".join(events or [])))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in BOARD.split(", ")])
+    def step(self, number: int, winner: str):
+        s = self.score
+        events = s.award("AB".index(winner))
+        return [(number, winner, events is None, s.in_tiebreak, *s.points, *s.games, *s.sets, *s.tie, None if s.winner is None else "AB"[s.winner], ",".join(events or []))]
 
-    return points.select("match_id", "point_number", "winner").groupBy("match_id").applyInPandas(fold, BOARD)
+    def end(self):
+        return ()
+
+
+def scoreboard(points: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """The score after each point. points: match_id, point_number (order), winner ('A' or 'B')."""
+    return folds.folded(points, ["match_id"], ["point_number"], ["point_number", "winner"], lambda: Match(config), BOARD)
 
 
 def point_display(own: Column, other: Column, in_tiebreak: Column, tie: Column) -> Column:

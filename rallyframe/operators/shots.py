@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.config import ShotConfig
 from rallyframe.functions import geometry as G
+from rallyframe.operators import folds
 from rallyframe.sources.tracks import order_in_track
 
 
@@ -53,31 +53,35 @@ def split_rally(frames, times, xs, ys, config: ShotConfig) -> list[list[int]]:
     return shots
 
 
+class Rally:
+    """The points of a rally; its shots, or their number, are told at its end."""
+
+    def __init__(self, config: ShotConfig, count: bool = False):
+        self.config, self.count, self.points = config, count, []
+
+    def step(self, *point):
+        self.points.append(point)
+        return ()
+
+    def end(self):
+        shots = split_rally(*zip(*(p[:4] for p in self.points)), self.config)
+        if self.count:
+            times = [p[1] for p in self.points]
+            return [(min(times), max(times), len(times), len(shots))]
+        return [(k, place, *self.points[i]) for k, s in enumerate(shots, 1) for place, i in enumerate(s)]
+
+
+IN_RALLY = ["track_id", "rally_id"], ["timestamp_seconds", "frame_number"], ["frame_number", "timestamp_seconds", "x", "y", "predicted"]
+
+
 def shot_points(rally_points: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
-    """The points of each shot in order; neighbouring shots share points. An ordered fold, one call for the rallies of
-    a track: where a shot ends depends on where it began."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rally_id", "timestamp_seconds", "frame_number"], kind="stable")
-        columns = [pdf[c].tolist() for c in ("frame_number", "timestamp_seconds", "x", "y")]
-        rally = pdf["rally_id"].tolist()
-        rows, shot, place = [], [], []
-        start = 0
-        for end in range(1, len(rally) + 1):
-            if end == len(rally) or rally[end] != rally[start]:
-                for k, s in enumerate(split_rally(*(c[start:end] for c in columns), config), 1):
-                    rows += [start + i for i in s]
-                    shot += [k] * len(s)
-                    place += range(len(s))
-                start = end
-        out = pdf.iloc[rows].assign(shot_in_rally=shot, place=place)
-        return out[[c.split()[0] for c in SHOT_POINT.split(", ")]]
-
-    return rally_points.groupBy("track_id").applyInPandas(fold, SHOT_POINT)
+    """The points of each shot in order; neighbouring shots share points. An ordered fold over each rally: where a shot ends
+    depends on where it began."""
+    return folds.folded(rally_points, *IN_RALLY, lambda: Rally(config), SHOT_POINT)
 
 
 def shot_features(shot_rows: DataFrame) -> DataFrame:
-    """The features of each shot; shot_id counts through all rallies of a track."""
+    """The features of each shot, named as in the dataset; shot_id counts through all rallies of a track."""
     w = Window.partitionBy("track_id", "rally_id", "shot_in_rally").orderBy("place")
     c = F.col
     steps = shot_rows.withColumns({f"p_{k}": F.lag(k).over(w) for k in ("timestamp_seconds", "x", "y")})
@@ -97,7 +101,7 @@ def shot_features(shot_rows: DataFrame) -> DataFrame:
         last("frame_number").alias("end_frame"),
         r(first("timestamp_seconds")).alias("start_time"),
         r(last("timestamp_seconds")).alias("end_time"),
-        r(F.greatest(F.lit(0.0), last("timestamp_seconds") - first("timestamp_seconds"))).alias("duration"),
+        r(F.greatest(F.lit(0.0), last("timestamp_seconds") - first("timestamp_seconds"))).alias("duration_seconds"),
         F.count("*").alias("point_count"),
         r(first("x")).alias("start_x"),
         r(first("y")).alias("start_y"),
@@ -105,26 +109,23 @@ def shot_features(shot_rows: DataFrame) -> DataFrame:
         r(last("y")).alias("end_y"),
         r(last("x") - first("x")).alias("delta_x"),
         r(last("y") - first("y")).alias("delta_y"),
-        r(G.distance(first("x"), first("y"), last("x"), last("y"))).alias("displacement"),
-        r(F.sum("moved")).alias("trajectory_distance"),
-        r(F.avg("speed")).alias("average_speed"),
-        r(F.max("speed")).alias("maximum_speed"),
-        r(F.min("speed")).alias("minimum_speed"),
+        r(G.distance(first("x"), first("y"), last("x"), last("y"))).alias("displacement_pixels"),
+        r(F.sum("moved")).alias("trajectory_distance_pixels"),
+        r(F.avg("speed")).alias("average_speed_pixels_per_second"),
+        r(F.max("speed")).alias("maximum_speed_pixels_per_second"),
+        r(F.min("speed")).alias("minimum_speed_pixels_per_second"),
         r(F.avg("angle")).alias("average_direction_degrees"),
-        r(F.avg("turn")).alias("mean_direction_change"),
-        r(F.max("turn")).alias("maximum_direction_change"),
+        r(F.avg("turn")).alias("mean_direction_change_degrees"),
+        r(F.max("turn")).alias("max_direction_change_degrees"),
         r(F.avg(c("predicted").cast("int"))).alias("predicted_point_ratio"),
     )
     return out.withColumn("shot_id", F.row_number().over(Window.partitionBy("track_id").orderBy("rally_id", "shot_in_rally")).cast("long"))
 
 
-def rally_summary(rally_points: DataFrame, shot_rows: DataFrame) -> DataFrame:
-    """A row for each rally; one without shots counts 0."""
-    sums = rally_points.groupBy("track_id", "rally_id").agg(
-        F.round(F.min("timestamp_seconds"), 3).alias("start_time"), F.round(F.max("timestamp_seconds"), 3).alias("end_time"), F.count("*").alias("trajectory_points")
-    )
-    shots = shot_rows.groupBy("track_id", "rally_id").agg(F.max("shot_in_rally").alias("shot_count"))
-    return sums.join(shots, ["track_id", "rally_id"], "left").fillna(0, ["shot_count"])
+def rally_summary(rally_points: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
+    """A row for each rally, with its number of shots; one fold gives both."""
+    out = folds.folded(rally_points, *IN_RALLY, lambda: Rally(config, count=True), "track_id long, rally_id long, start_time double, end_time double, trajectory_points long, shot_count long")
+    return out.withColumns({k: F.round(k, 3) for k in ("start_time", "end_time")})
 
 
 def visible_runs(frames: DataFrame, minimum_frames: int = 30) -> DataFrame:

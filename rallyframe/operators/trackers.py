@@ -1,20 +1,19 @@
 """Ordered folds over the frames of a video: what a frame gives depends on all frames before it.
 
 Each fold is a small class with `step(time, candidates)`; `folded` runs one over every video of a DataFrame whose frames
-carry their candidates as an array. A video is one group, so groups are as large as a video has frames."""
+carry their candidates as an array. Frames go by in order, so only the state of one video is held."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.config import CourtConfig, TrackerConfig
 from rallyframe.functions import geometry as G
-
+from rallyframe.operators import folds
 
 
 def fixed(v: float | None, places: int = 3) -> float | None:
@@ -22,27 +21,39 @@ def fixed(v: float | None, places: int = 3) -> float | None:
     return None if v is None else math.copysign(math.floor(abs(v) * 10**places + 0.5), v) / 10**places
 
 
+#: What a fold sees of a candidate. is_static: nothing moved there since the last frame.
+CANDIDATE = "array<struct<x:double,y:double,confidence:double,score:double,id:bigint,is_static:boolean>>"
+
+
 def frames_with_candidates(frames: DataFrame, candidates: DataFrame) -> DataFrame:
-    """video_id, frame_number, timestamp_seconds and the candidates of each frame, best score first (ties: id)."""
-    c = candidates.select("video_id", "frame_number", F.struct((-F.col("score")).alias("minus"), "id", "x", "y", "confidence", "score").alias("c"))
+    """video_id, frame_number, timestamp_seconds, any further columns of frames, and the candidates of each frame, best score first
+    (ties: id). candidates: video_id, frame_number, id, x, y, confidence, score, and is_static where it is known."""
+    if "is_static" not in candidates.columns:
+        candidates = candidates.withColumn("is_static", F.lit(False))
+    c = candidates.select("video_id", "frame_number", F.struct((-F.col("score")).alias("minus"), "id", "x", "y", "confidence", "score", "is_static").alias("c"))
     lists = c.groupBy("video_id", "frame_number").agg(F.sort_array(F.collect_list("c")).alias("list"))
     joined = frames.join(lists, ["video_id", "frame_number"], "left")
-    plain = F.transform(F.coalesce("list", F.array().cast("array<struct<minus:double,id:bigint,x:double,y:double,confidence:double,score:double>>")), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["confidence"].alias("confidence"), v["score"].alias("score"), v["id"].alias("id")))
-    return joined.select("video_id", "frame_number", "timestamp_seconds", plain.alias("candidates"))
+    plain = F.transform("list", lambda v: F.struct(*(v[k].alias(k) for k in ("x", "y", "confidence", "score", "id", "is_static"))))
+    return joined.select(*frames.columns, F.coalesce(plain, F.array().cast(CANDIDATE)).alias("candidates"))
+
 
+class Frames:
+    """A tracker as the state of a fold."""
 
-def folded(frames: DataFrame, make: Callable[[], object], schema: str) -> DataFrame:
-    """One row for each frame: video_id, frame_number and what step() returns, in the order of schema's other columns."""
-    full = f"video_id long, frame_number long, {schema}"
-    names = [c.split()[0] for c in full.split(", ")]
+    def __init__(self, tracker):
+        self.tracker = tracker
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_number", kind="stable")
-        state = make()
-        rows = [(v, f, *state.step(t, list(found))) for v, f, t, found in zip(pdf["video_id"], pdf["frame_number"], pdf["timestamp_seconds"], pdf["candidates"])]
-        return pd.DataFrame(rows, columns=names)
+    def step(self, frame: int, time: float, found: list):
+        return [(frame, *self.tracker.step(time, found))]
 
-    return frames.groupBy("video_id").applyInPandas(run, full)
+    def end(self):
+        return ()
+
+
+def folded(frames: DataFrame, make: Callable[[], object], schema: str, keys: str = "video_id long") -> DataFrame:
+    """One row for each frame: the keys, frame_number and what step() returns, in the order of schema's columns."""
+    names = [k.split(" ")[0] for k in keys.split(", ")]
+    return folds.folded(frames, names, ["frame_number"], ["frame_number", "timestamp_seconds", "candidates"], lambda: Frames(make()), f"{keys}, frame_number long, {schema}")
 
 
 class SmoothedBall:
@@ -158,7 +169,8 @@ class KalmanBall:
 
 class SegmentedBall:
     """A ball whose confirmed points come in segments: a detection that can't be reached, or a long loss, starts a new one.
-    A candidate's score weighs confidence, appearance (here `score`) and nearness; 0.3 is needed."""
+    A candidate's score weighs confidence, appearance (here `score`), nearness and motion (what stands still, as lines and
+    boards do, loses); 0.3 is needed."""
 
     schema = "x double, y double, confidence double, status string, segment_id int"
 
@@ -167,11 +179,13 @@ class SegmentedBall:
 
     @staticmethod
     def rating(one, target) -> float:
-        total = 0.25 * one["confidence"] + 0.25 * one["score"] + 0.15
+        total = 0.25 * one["confidence"] + 0.25 * one["score"]
         if target is None:
-            return total + 0.15
-        d = math.hypot(one["x"] - target[0], one["y"] - target[1])
-        return total + (0.35 * (1 - d / 80) if d < 80 else -0.3)
+            total += 0.15
+        else:
+            d = math.hypot(one["x"] - target[0], one["y"] - target[1])
+            total += 0.35 * (1 - d / 80) if d < 80 else -0.3
+        return total + (-0.4 if one.get("is_static") else 0.15)
 
     def reachable(self, one, time) -> bool:
         if self.last is None or time - self.last[2] > 0.5:
@@ -202,7 +216,7 @@ class SegmentedBall:
             return one["x"], one["y"], one["confidence"], "DETECTED", self.segment
         self.misses += 1
         if target is not None and self.misses <= 3:
-            return round(target[0], 3), round(target[1], 3), 0.0, f"PREDICTED_{self.misses}", self.segment
+            return fixed(target[0]), fixed(target[1]), 0.0, f"PREDICTED_{self.misses}", self.segment
         if self.misses > 10:
             self.kalman = None
             self.segment += 1
@@ -231,7 +245,7 @@ class StableLabels:
             self.known[track] = label
             used.add(label)
             out[str(track)] = label
-        return (out,)
+        return (list(out.items()),)
 
 
 class ZonePlayer:

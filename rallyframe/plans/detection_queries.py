@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyframe.operators import detections as D
@@ -140,13 +140,9 @@ def clip_frames(spark, sf_dir):
 
 
 def points(spark, sf_dir, match: str) -> DataFrame:
-    e = event_tracks(spark, sf_dir).select("track_id", "event_id", "timestamp_seconds", "y")
-    ts = table(spark, sf_dir, "events").select("event_id", "ts")
-    from pyspark.sql import Window
-
-    named = e.join(ts, "event_id").withColumn("match_id", F.expr(match))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", c("user_id").alias("track_id"), F.get_json_object("props", "$.k").cast("double").alias("k"))
     number = F.row_number().over(Window.partitionBy("match_id").orderBy("ts", "event_id")).cast("long")
-    return named.select("match_id", number.alias("point_number"), F.when(c("y") / 5 < 50, "A").otherwise("B").alias("winner"))
+    return e.withColumn("match_id", F.expr(match)).select("match_id", number.alias("point_number"), F.when(c("k") < 50, "A").otherwise("B").alias("winner"))
 
 
 _BOARD = ("match_id", "point_number", "winner", "rejected", "in_tiebreak", *scoring.COUNTS, "match_winner")

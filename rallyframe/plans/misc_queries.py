@@ -16,18 +16,16 @@ c = F.col
 
 
 def frames_at(spark, sf_dir):
+    """Seeks a timestamp in every frame of every video."""
     frames = boxes(spark, sf_dir).select("video_id", "frame_number").distinct()
     videos = frames.groupBy("video_id").agg(F.lit(25.0).alias("fps"), ((F.max("frame_number") + 1) / 25.0).alias("duration_seconds"))
-    wanted = frames.where("frame_number % 7 = 0").select("video_id", (c("frame_number") / 25.0 + 0.013).alias("wanted_seconds"))
-    return D.at_timestamps(frames, wanted.where("wanted_seconds * 25 < 2490"), videos).select("video_id", "frame_number", F.round("wanted_seconds", 4).alias("wanted_seconds"))
+    wanted = frames.select("video_id", (c("frame_number") / 25.0 + 0.013).alias("wanted_seconds"))
+    return D.at_timestamps(frames, wanted, videos).select("video_id", "frame_number", F.round("wanted_seconds", 4).alias("wanted_seconds"))
 
 
 def every_frame_at(spark, sf_dir):
-    """frames_at() with a timestamp for every frame of every video."""
-    frames = boxes(spark, sf_dir).select("video_id", "frame_number").distinct()
-    videos = frames.groupBy("video_id").agg(F.lit(25.0).alias("fps"), ((F.max("frame_number") + 1) / 25.0).alias("duration_seconds"))
-    wanted = frames.select("video_id", (c("frame_number") / 25.0 + 0.013).alias("wanted_seconds"))
-    return D.at_timestamps(frames, wanted, videos).select("video_id", "frame_number", F.round("wanted_seconds", 4).alias("wanted_seconds"))
+    """The name under which frames_at() had no bound before."""
+    return frames_at(spark, sf_dir)
 
 
 def camera_motion(spark, sf_dir):
@@ -75,13 +73,9 @@ QUERIES = {f.__name__: f for f in (frames_at, every_frame_at, camera_motion, str
 _NAMES = "['forehand', 'backhand', 'serve', 'volley']"
 
 ORACLE = {
-    "frames_at": f"""WITH {BOXES_SQL}, f AS (SELECT DISTINCT video_id, frame_number FROM boxes),
-      w AS (SELECT video_id, frame_number / CAST(25 AS DOUBLE) + CAST(0.013 AS DOUBLE) AS wanted_seconds FROM f WHERE frame_number % 7 = 0),
-      v AS (SELECT video_id, (max(frame_number) + 1) / CAST(25 AS DOUBLE) AS d FROM f GROUP BY 1)
-      SELECT f.video_id, f.frame_number, round(wanted_seconds, 4) AS wanted_seconds FROM w JOIN v USING (video_id) JOIN f ON f.video_id = w.video_id AND f.frame_number = CAST(round(wanted_seconds * 25) AS BIGINT) WHERE wanted_seconds * 25 < 2490""",
-    "every_frame_at": f"""WITH {BOXES_SQL}, f AS (SELECT DISTINCT video_id, frame_number FROM boxes),
+    **dict.fromkeys(("frames_at", "every_frame_at"), f"""WITH {BOXES_SQL}, f AS (SELECT DISTINCT video_id, frame_number FROM boxes),
       w AS (SELECT video_id, frame_number / CAST(25 AS DOUBLE) + CAST(0.013 AS DOUBLE) AS wanted_seconds FROM f)
-      SELECT f.video_id, f.frame_number, round(wanted_seconds, 4) AS wanted_seconds FROM w JOIN f ON f.video_id = w.video_id AND f.frame_number = CAST(round(wanted_seconds * 25) AS BIGINT)""",
+      SELECT f.video_id, f.frame_number, round(wanted_seconds, 4) AS wanted_seconds FROM w JOIN f ON f.video_id = w.video_id AND f.frame_number = CAST(round(wanted_seconds * 25) AS BIGINT)"""),
     "camera_motion": """WITH e AS (SELECT event_id % 97 AS video_id, CAST((event_id * 13) % (event_id % 97 + 1) AS DOUBLE) AS d FROM events)
       SELECT video_id, round(avg(d), 4) AS mean_difference, CASE WHEN avg(d) < 5 THEN 'STATIC' WHEN avg(d) < 15 THEN 'MOSTLY_STATIC' ELSE 'MOVING' END AS camera FROM e GROUP BY 1""",
     "stratified_split": f"""WITH l AS (SELECT o_orderkey, {_NAMES}[o_orderkey % 4 + 1] AS label FROM orders),

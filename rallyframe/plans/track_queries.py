@@ -93,8 +93,7 @@ def shot_features(spark, sf_dir):
 
 
 def rally_summary(spark, sf_dir):
-    points = shots.rallies(event_tracks(spark, sf_dir))
-    return shots.rally_summary(points, shots.shot_points(points))
+    return shots.rally_summary(shots.rallies(event_tracks(spark, sf_dir)))
 
 
 def trajectory_summary(spark, sf_dir):
@@ -270,13 +269,13 @@ turns AS (
   SELECT *, abs(angle - lag(angle) OVER (PARTITION BY track_id, rally_id, shot_in_rally ORDER BY i)) AS raw_turn FROM legs
 )
 SELECT track_id, rally_id, shot_in_rally, min_by(frame_number, i) AS start_frame, max_by(frame_number, i) AS end_frame,
-  round(min_by(t, i), 4) AS start_time, round(max_by(t, i), 4) AS end_time, round(greatest(0, max_by(t, i) - min_by(t, i)), 4) AS duration, count(*) AS point_count,
+  round(min_by(t, i), 4) AS start_time, round(max_by(t, i), 4) AS end_time, round(greatest(0, max_by(t, i) - min_by(t, i)), 4) AS duration_seconds, count(*) AS point_count,
   round(min_by(x, i), 4) AS start_x, round(min_by(y, i), 4) AS start_y, round(max_by(x, i), 4) AS end_x, round(max_by(y, i), 4) AS end_y,
   round(max_by(x, i) - min_by(x, i), 4) AS delta_x, round(max_by(y, i) - min_by(y, i), 4) AS delta_y,
-  round(sqrt((max_by(x, i) - min_by(x, i)) * (max_by(x, i) - min_by(x, i)) + (max_by(y, i) - min_by(y, i)) * (max_by(y, i) - min_by(y, i))), 4) AS displacement,
-  round(coalesce(sum(moved), 0), 4) AS trajectory_distance, round(coalesce(avg(speed), 0), 4) AS average_speed, round(coalesce(max(speed), 0), 4) AS maximum_speed,
-  round(coalesce(min(speed), 0), 4) AS minimum_speed, round(coalesce(avg(angle), 0), 4) AS average_direction_degrees,
-  round(coalesce(avg(least(raw_turn, 360 - raw_turn)), 0), 4) AS mean_direction_change, round(coalesce(max(least(raw_turn, 360 - raw_turn)), 0), 4) AS maximum_direction_change,
+  round(sqrt((max_by(x, i) - min_by(x, i)) * (max_by(x, i) - min_by(x, i)) + (max_by(y, i) - min_by(y, i)) * (max_by(y, i) - min_by(y, i))), 4) AS displacement_pixels,
+  round(coalesce(sum(moved), 0), 4) AS trajectory_distance_pixels, round(coalesce(avg(speed), 0), 4) AS average_speed_pixels_per_second, round(coalesce(max(speed), 0), 4) AS maximum_speed_pixels_per_second,
+  round(coalesce(min(speed), 0), 4) AS minimum_speed_pixels_per_second, round(coalesce(avg(angle), 0), 4) AS average_direction_degrees,
+  round(coalesce(avg(least(raw_turn, 360 - raw_turn)), 0), 4) AS mean_direction_change_degrees, round(coalesce(max(least(raw_turn, 360 - raw_turn)), 0), 4) AS max_direction_change_degrees,
   round(avg(CAST(predicted AS INT)), 4) AS predicted_point_ratio,
   row_number() OVER (PARTITION BY track_id ORDER BY rally_id, shot_in_rally) AS shot_id
 FROM turns GROUP BY track_id, rally_id, shot_in_rally"""

@@ -1,4 +1,4 @@
-"""Queries over trackers. Smoothed and Kalman balls have recursive SQL; the other folds are tested by their goldens."""
+"""Queries over trackers, each with its SQL: the folds over frames are recursive there."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.operators import court, trackers
 from rallyframe.operators import detections as D
-from rallyframe.plans.detection_queries import BOXES_SQL, boxes
+from rallyframe.plans.detection_queries import _ZONES_SQL, BOXES_SQL, boxes
 from rallyframe.plans.track_queries import AFFINE, _court_sql
 from rallyframe.sources.tracks import TRACKS_SQL, event_tracks
 
@@ -15,16 +15,29 @@ c = F.col
 
 
 def ball_frames(spark, sf_dir) -> DataFrame:
+    """The frames of each video with their ball candidates. A fifth of the boxes is said to stand still."""
     frames = boxes(spark, sf_dir).select("video_id", "frame_number").distinct().withColumn("timestamp_seconds", c("frame_number") / 25.0)
-    found = D.ball_candidates(boxes(spark, sf_dir)).select("video_id", "frame_number", c("candidate_id").alias("id"), c("center_x").alias("x"), c("center_y").alias("y"), "confidence", c("ranking_score").alias("score"))
+    still = (c("frame_number") * 4 + c("candidate_id")) * 29 % 100 < 20
+    found = D.ball_candidates(boxes(spark, sf_dir)).select("video_id", "frame_number", c("candidate_id").alias("id"), c("center_x").alias("x"), c("center_y").alias("y"), "confidence", c("ranking_score").alias("score"), still.alias("is_static"))
     return trackers.frames_with_candidates(frames, found)
 
 
-def people_frames(spark, sf_dir, zone: str | None = None) -> DataFrame:
+def _people(spark, sf_dir) -> DataFrame:
+    people = D.zone_rejections(boxes(spark, sf_dir)).where("player_zone IS NOT NULL")
+    return people.select("video_id", "frame_number", "player_zone", (c("candidate_id") + c("frame_number") % 3).alias("id"), c("foot_x").alias("x"), c("foot_y").alias("y"), "confidence", c("area").alias("score"))
+
+
+def people_frames(spark, sf_dir) -> DataFrame:
     frames = boxes(spark, sf_dir).select("video_id", "frame_number").distinct().withColumn("timestamp_seconds", c("frame_number") / 25.0)
-    people = D.zone_rejections(boxes(spark, sf_dir)).where("player_zone IS NOT NULL" if zone is None else f"player_zone = '{zone}'")
-    found = people.select("video_id", "frame_number", (c("candidate_id") + c("frame_number") % 3).alias("id"), c("foot_x").alias("x"), c("foot_y").alias("y"), "confidence", c("area").alias("score"))
-    return trackers.frames_with_candidates(frames, found)
+    return trackers.frames_with_candidates(frames, _people(spark, sf_dir))
+
+
+def zone_frames(spark, sf_dir) -> DataFrame:
+    """people_frames() for each zone as a video of its own: number 2 * video_id for the far one, one more for the near one."""
+    number = lambda zone: c("video_id") * 2 + (zone == "near").cast("int")
+    frames = boxes(spark, sf_dir).select("video_id", "frame_number").distinct().withColumn("timestamp_seconds", c("frame_number") / 25.0)
+    frames = frames.withColumn("zone", F.explode(F.array(F.lit("far"), F.lit("near")))).withColumn("video_id", number(c("zone")))
+    return trackers.frames_with_candidates(frames, _people(spark, sf_dir).withColumn("video_id", number(c("player_zone"))))
 
 
 def smoothed_ball(spark, sf_dir):
@@ -45,11 +58,14 @@ def stable_labels(spark, sf_dir):
 
 
 def zone_players(spark, sf_dir):
-    return trackers.folded(people_frames(spark, sf_dir, "far"), trackers.ZonePlayer, trackers.ZonePlayer.schema)
+    out = trackers.folded(zone_frames(spark, sf_dir), trackers.ZonePlayer, trackers.ZonePlayer.schema)
+    return out.select(F.floor(c("video_id") / 2).alias("video_id"), F.when(c("video_id") % 2 == 0, "far").otherwise("near").alias("zone"), "frame_number", "id", "x", "y", "reason")
 
 
 def court_players(spark, sf_dir):
-    return trackers.folded(people_frames(spark, sf_dir), trackers.CourtPlayers, trackers.CourtPlayers.schema)
+    frames = boxes(spark, sf_dir).select("video_id", "frame_number").distinct().withColumn("timestamp_seconds", c("frame_number") / 25.0)
+    people = court.mapped(_people(spark, sf_dir), AFFINE).withColumns({"x": c("court_x"), "y": c("court_y")})
+    return trackers.folded(trackers.frames_with_candidates(frames, people), trackers.CourtPlayers, trackers.CourtPlayers.schema)
 
 
 def track_summary(spark, sf_dir):
@@ -79,7 +95,7 @@ QUERIES = {
 }
 
 _FRAMES_SQL = f"""{BOXES_SQL},
-found AS (SELECT frame_number, list(struct_pack(x := center_x, y := center_y, confidence := confidence, score := ranking_score) ORDER BY ranking_score DESC, candidate_id) AS c FROM ranked GROUP BY 1),
+found AS (SELECT frame_number, list(struct_pack(x := center_x, y := center_y, confidence := confidence, score := ranking_score, still := (frame_number * 4 + candidate_id) * 29 % 100 < 20) ORDER BY ranking_score DESC, candidate_id) AS c FROM ranked GROUP BY 1),
 frames AS (
   SELECT video_id, f.frame_number, f.frame_number / CAST(25 AS DOUBLE) AS t, row_number() OVER (PARTITION BY video_id ORDER BY f.frame_number) AS n, coalesce(c, []) AS c
   FROM (SELECT DISTINCT video_id, frame_number FROM boxes) f LEFT JOIN found USING (frame_number)
@@ -136,9 +152,113 @@ ball AS (
   )
 )"""
 
+_FIXED = lambda v: f"CASE WHEN {v} < 0 THEN -1 ELSE 1 END * floor(abs({v}) * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE)"
+
+SEGMENTS_SQL = f"""{_FRAMES_SQL},
+ball AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, CAST(NULL AS DOUBLE) AS kx, CAST(NULL AS DOUBLE) AS ky, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy,
+    CAST(0 AS DOUBLE) AS ka, CAST(0 AS DOUBLE) AS kb, CAST(0 AS DOUBLE) AS kc, CAST(NULL AS DOUBLE) AS seen_at, CAST(NULL AS DOUBLE) AS lx, CAST(NULL AS DOUBLE) AS ly, CAST(NULL AS DOUBLE) AS lt, CAST(NULL AS DOUBLE) AS lv,
+    0 AS misses, 0 AS segment, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS confidence, '' AS status FROM frames
+  UNION ALL
+  SELECT video_id, n, frame_number, CASE WHEN hit THEN nx WHEN gone THEN NULL ELSE px END, CASE WHEN hit THEN ny WHEN gone THEN NULL ELSE py END,
+    CASE WHEN hit THEN nvx WHEN gone THEN 0 ELSE vx END, CASE WHEN hit THEN nvy WHEN gone THEN 0 ELSE vy END,
+    CASE WHEN NOT hit THEN pa WHEN fresh THEN 1000 ELSE pa - pa * pa / (pa + 25) END, CASE WHEN NOT hit THEN pb WHEN fresh THEN 0 ELSE pb - pa * pb / (pa + 25) END, CASE WHEN NOT hit THEN pc WHEN fresh THEN 1000 ELSE pc - pb * pb / (pa + 25) END,
+    t, CASE WHEN hit THEN one.x ELSE lx END, CASE WHEN hit THEN one.y ELSE ly END, CASE WHEN hit THEN t ELSE lt END, CASE WHEN hit THEN sqrt(nvx * nvx + nvy * nvy) ELSE lv END,
+    CASE WHEN hit THEN 0 ELSE misses + 1 END, segment + CASE WHEN hit AND misses > 0 AND NOT reachable THEN 1 WHEN NOT hit AND gone THEN 1 ELSE 0 END,
+    CASE WHEN hit THEN one.x WHEN shown THEN {_FIXED("px")} END, CASE WHEN hit THEN one.y WHEN shown THEN {_FIXED("py")} END, CASE WHEN hit THEN one.confidence WHEN shown THEN 0 END,
+    CASE WHEN hit THEN 'DETECTED' WHEN shown THEN 'PREDICTED_' || (misses + 1) ELSE 'LOST' END
+  FROM (
+    SELECT *, CASE WHEN fresh THEN one.x ELSE px + pa / (pa + 25) * (one.x - px) END AS nx, CASE WHEN fresh THEN one.y ELSE py + pa / (pa + 25) * (one.y - py) END AS ny,
+      CASE WHEN fresh THEN 0 ELSE vx + pb / (pa + 25) * (one.x - px) END AS nvx, CASE WHEN fresh THEN 0 ELSE vy + pb / (pa + 25) * (one.y - py) END AS nvy,
+      NOT hit AND px IS NOT NULL AND misses + 1 <= 3 AS shown, NOT hit AND misses + 1 > 10 AND NOT (px IS NOT NULL AND misses + 1 <= 3) AS gone
+    FROM (
+      SELECT *, px IS NULL OR (misses > 0 AND NOT reachable) AS fresh FROM (
+        SELECT *, coalesce(best.s >= CAST(0.3 AS DOUBLE), FALSE) AS hit,
+          coalesce(t - lt <= CAST(0.5 AS DOUBLE) AND NOT (sqrt((one.x - lx) * (one.x - lx) + (one.y - ly) * (one.y - ly)) > 3 * lv * (t - lt) AND sqrt((one.x - lx) * (one.x - lx) + (one.y - ly) * (one.y - ly)) > 200), FALSE) AS reachable
+        FROM (
+          SELECT *, c[-best.k] AS one FROM (
+            SELECT *, list_max(list_transform(c, lambda o, i: struct_pack(s := CAST(0.25 AS DOUBLE) * o.confidence + CAST(0.25 AS DOUBLE) * o.score
+              + CASE WHEN px IS NULL THEN CAST(0.15 AS DOUBLE) WHEN {_D} < 80 THEN CAST(0.35 AS DOUBLE) * (1 - {_D} / 80) ELSE CAST(-0.3 AS DOUBLE) END + CASE WHEN o.still THEN CAST(-0.4 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END, k := -i))) AS best
+            FROM (
+              SELECT b.* EXCLUDE (n, frame_number, x, y, confidence, status), f.n, f.frame_number, f.t, f.c, kx + vx * (f.t - seen_at) AS px, ky + vy * (f.t - seen_at) AS py,
+                ka + 2 * (f.t - seen_at) * kb + (f.t - seen_at) * (f.t - seen_at) * kc + 10 AS pa, kb + (f.t - seen_at) * kc AS pb, kc + 100 AS pc
+              FROM ball b JOIN frames f ON f.video_id = b.video_id AND f.n = b.n + 1
+            )
+          )
+        )
+      )
+    )
+  )
+),
+segmented AS (SELECT video_id, frame_number, x, y, confidence, status, segment AS segment_id FROM ball WHERE n > 0)"""
+
+_PEOPLE_SQL = f"""{_ZONES_SQL},
+people AS (SELECT video_id, frame_number, zone, candidate_id + frame_number % 3 AS id, foot_x AS x, foot_y AS y, confidence, area AS score FROM zoned WHERE rejection_reason IS NULL),
+numbered AS (SELECT video_id, frame_number, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS n FROM (SELECT DISTINCT video_id, frame_number FROM boxes))"""
+
+LABELS_SQL = f"""{_PEOPLE_SQL},
+turns AS (
+  SELECT video_id, frame_number, CAST(id AS VARCHAR) AS track, row_number() OVER (PARTITION BY video_id, frame_number ORDER BY y, score DESC, id) AS place, row_number() OVER (PARTITION BY video_id ORDER BY frame_number, y, score DESC, id) AS n FROM people
+),
+named AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, '' AS track, '' AS player_label, CAST([] AS VARCHAR[]) AS used, CAST([] AS STRUCT(k VARCHAR, v VARCHAR)[]) AS known FROM turns
+  UNION ALL
+  SELECT video_id, n, frame_number, track, label, list_append(used, label), list_append(list_filter(known, lambda e: e.k <> track), struct_pack(k := track, v := label))
+  FROM (
+    SELECT *, CASE WHEN old IS NULL THEN CASE WHEN place = 1 THEN 'Player A' WHEN NOT list_contains(used, 'Player B') THEN 'Player B' WHEN NOT list_contains(used, 'Player A') THEN 'Player A' ELSE 'Track ' || track END
+      WHEN list_contains(used, old) AND old IN ('Player A', 'Player B') THEN CASE WHEN NOT list_contains(used, 'Player A') THEN 'Player A' WHEN NOT list_contains(used, 'Player B') THEN 'Player B' ELSE 'Track ' || track END ELSE old END AS label
+    FROM (
+      SELECT t.video_id, t.n, t.frame_number, t.track, t.place, s.known, CASE WHEN t.place = 1 THEN [] ELSE s.used END AS used, list_filter(s.known, lambda e: e.k = t.track)[1].v AS old
+      FROM named s JOIN turns t ON t.video_id = s.video_id AND t.n = s.n + 1
+    )
+  )
+)"""
+
+ZONES_FOLD_SQL = f"""{_PEOPLE_SQL},
+lists AS (SELECT video_id, frame_number, zone, list(struct_pack(id := id, x := x, y := y, confidence := confidence, score := score) ORDER BY score DESC, id) AS c FROM people GROUP BY ALL),
+frames AS (SELECT n.video_id, z.zone, n.n, n.frame_number, coalesce(c, []) AS c FROM numbered n CROSS JOIN (VALUES ('far'), ('near')) z(zone) LEFT JOIN lists l ON l.frame_number = n.frame_number AND l.video_id = n.video_id AND l.zone = z.zone),
+fold AS (
+  SELECT DISTINCT video_id, zone, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, CAST(NULL AS DOUBLE) AS ax, CAST(NULL AS DOUBLE) AS ay, 0 AS missed, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS VARCHAR) AS reason FROM frames
+  UNION ALL
+  SELECT video_id, zone, n, frame_number, CASE WHEN one IS NOT NULL THEN one.x WHEN missed + 1 > 30 THEN NULL ELSE px END, CASE WHEN one IS NOT NULL THEN one.y WHEN missed + 1 > 30 THEN NULL ELSE py END,
+    CASE WHEN one IS NOT NULL THEN 0 ELSE missed + 1 END, one.id, one.x, one.y, CASE WHEN len(c) = 1 THEN 'only_candidate' WHEN len(c) > 1 THEN 'best_scored' END
+  FROM (
+    SELECT *, c[-list_max(list_transform(c, lambda o, i: struct_pack(s := CAST(0.3 AS DOUBLE) * o.confidence + CAST(0.001 AS DOUBLE) * sqrt(o.score)
+      + CASE WHEN px IS NOT NULL AND {_D} < 200 THEN CAST(0.7 AS DOUBLE) * (1 - {_D} / 200) ELSE 0 END, k := -i))).k] AS one
+    FROM (SELECT f.video_id, f.zone, f.n, f.frame_number, f.c, s.ax AS px, s.ay AS py, s.missed FROM fold s JOIN frames f ON f.video_id = s.video_id AND f.zone = s.zone AND f.n = s.n + 1)
+  )
+)"""
+
+PAIRS_SQL = f"""{_PEOPLE_SQL},
+{_court_sql("people", "located")},
+lists AS (SELECT video_id, frame_number, list(struct_pack(id := id, y := court_y, confidence := confidence, score := score) ORDER BY score DESC, id) AS c FROM located GROUP BY ALL),
+frames AS (SELECT n.video_id, n.n, n.frame_number, coalesce(c, []) AS c FROM numbered n LEFT JOIN lists USING (video_id, frame_number)),
+fold AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, CAST([] AS BIGINT[]) AS a_ids, CAST([] AS BIGINT[]) AS b_ids, CAST(NULL AS BIGINT) AS player_a, CAST(NULL AS BIGINT) AS player_b FROM frames
+  UNION ALL
+  SELECT video_id, n, frame_number, CASE WHEN a IS NULL THEN a_ids ELSE list_distinct(list_append(a_ids, a)) END, CASE WHEN b IS NULL THEN b_ids ELSE list_distinct(list_append(b_ids, b)) END, a, b
+  FROM (
+    SELECT *, CASE WHEN len(c) = 1 THEN CASE WHEN single_a THEN c[1].id END WHEN len(c) > 1 THEN CASE WHEN p.y >= q.y THEN p.id ELSE q.id END END AS a,
+      CASE WHEN len(c) = 1 THEN CASE WHEN NOT single_a THEN c[1].id END WHEN len(c) > 1 THEN CASE WHEN p.y >= q.y THEN q.id ELSE p.id END END AS b
+    FROM (
+      SELECT *, list_contains(a_ids, c[1].id) OR (NOT list_contains(b_ids, c[1].id) AND c[1].y >= CAST(11.885 AS DOUBLE)) AS single_a, c[CASE WHEN len(c) = 2 THEN 1 ELSE -r[1].k END] AS p, c[CASE WHEN len(c) = 2 THEN 2 ELSE -r[2].k END] AS q
+      FROM (
+        SELECT f.video_id, f.n, f.frame_number, f.c, s.a_ids, s.b_ids, list_reverse_sort(list_transform(f.c, lambda o, i: struct_pack(s := CAST(0.4 AS DOUBLE) * o.confidence + CAST(0.001 AS DOUBLE) * sqrt(o.score)
+          + CASE WHEN list_contains(s.a_ids, o.id) OR list_contains(s.b_ids, o.id) THEN CAST(0.5 AS DOUBLE) ELSE 0 END, k := -i))) AS r
+        FROM fold s JOIN frames f ON f.video_id = s.video_id AND f.n = s.n + 1
+      )
+    )
+  )
+)"""
+
 _STEPS = "sqrt((court_x - lag(court_x) OVER w) * (court_x - lag(court_x) OVER w) + (court_y - lag(court_y) OVER w) * (court_y - lag(court_y) OVER w))"
 
 ORACLE = {
+    "segmented_ball": f"WITH RECURSIVE {SEGMENTS_SQL} SELECT * FROM segmented",
+    "trajectory_segments": f"WITH RECURSIVE {SEGMENTS_SQL} SELECT video_id, count(DISTINCT segment_id) AS segments, count(*) AS confirmed FROM segmented WHERE status = 'DETECTED' GROUP BY 1",
+    "stable_labels": f"WITH RECURSIVE {LABELS_SQL} SELECT video_id, frame_number, track, player_label FROM named WHERE n > 0",
+    "zone_players": f"WITH RECURSIVE {ZONES_FOLD_SQL} SELECT video_id, zone, frame_number, id, x, y, reason FROM fold WHERE n > 0",
+    "court_players": f"WITH RECURSIVE {PAIRS_SQL} SELECT video_id, frame_number, player_a, player_b FROM fold WHERE n > 0",
     "kalman_ball": f"""WITH RECURSIVE {KALMAN_SQL} SELECT video_id, frame_number, round(x * 1000) / CAST(1000 AS DOUBLE) AS x, round(y * 1000) / CAST(1000 AS DOUBLE) AS y,
       round(vx * 1000) / CAST(1000 AS DOUBLE) AS vx, round(vy * 1000) / CAST(1000 AS DOUBLE) AS vy, source, missed FROM ball WHERE n > 0""",
     "smoothed_ball": f"WITH RECURSIVE {SMOOTHED_SQL} SELECT * FROM tracked",

@@ -82,8 +82,8 @@ def test_rallies_and_shots(spark):
     rows = shots.shot_points(shots.rallies(turn))
     assert [r.frame_number for r in rows.orderBy("shot_in_rally", "place").collect()] == [0, 1, 2, 2, 3, 4]
     half = shots.shot_features(shots.shot_points(shots.rallies(track(spark, [(i, i * 0.1, 10 * i, 0) for i in range(4)], predicted={1, 2})))).first()
-    assert half.predicted_point_ratio == 0.5 and half.average_speed == 100
-    assert shots.rally_summary(points, shots.shot_points(points)).count() == 2
+    assert half.predicted_point_ratio == 0.5 and half.average_speed_pixels_per_second == 100
+    assert [(r.start_time, r.trajectory_points, r.shot_count) for r in shots.rally_summary(points).orderBy("rally_id").collect()] == [(0.0, 4, 1), (3.0, 4, 1)]
     assert shots.shot_points(shots.rallies(two.limit(0))).count() == 0
 
 
@@ -157,12 +157,18 @@ def test_homography(spark):
 def test_classifier(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(i, k, float(rng.normal(m, 1)), float(rng.normal(-m, 1)) if i % 9 else None) for m, k in ((0, "forehand"), (6, "drop"), (12, "serve")) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, shot_type string, average_speed double, duration double")
+    df = spark.createDataFrame(rows, "id long, shot_type string, average_speed_pixels_per_second double, duration_seconds double")
     model, scores = classifier.train(df, "id", chosen=("logistic_regression", "random_forest"))
     assert all(r.macro_f1 > 0.9 for r in scores.collect())
-    model.write().overwrite().save(str(tmp_path / "model"))
-    again = classifier.PipelineModel.load(str(tmp_path / "model"))
-    got = classifier.predict(again, spark.createDataFrame([(12.0,)], "average_speed double")).first()
+    classifier.save(model, scores, str(tmp_path / "saved"))
+    again, about = classifier.load(spark, str(tmp_path / "saved"))
+    assert about["model_name"] in ("logistic_regression", "random_forest") and about["feature_columns"] == ["duration_seconds", "average_speed_pixels_per_second"]
+    with pytest.raises(ValueError, match="no model"):
+        classifier.load(spark, str(tmp_path / "nowhere"))
+    spark.createDataFrame([("x",)], "model_name string").write.mode("overwrite").json(str(tmp_path / "saved" / "about"))
+    with pytest.raises(ValueError, match="feature_columns"):
+        classifier.load(spark, str(tmp_path / "saved"))
+    got = classifier.predict(again, spark.createDataFrame([(12.0,)], "average_speed_pixels_per_second double")).first()
     assert got.predicted == "serve" and math.isclose(sum(got.probabilities.values()), 1, abs_tol=1e-3)
     with pytest.raises(ValueError):
         classifier.prepare(df.limit(5))
@@ -170,6 +176,54 @@ def test_classifier(spark, tmp_path):
     assert {r.n for r in split} == {12}
 
 
+def test_dataset_columns(spark):
+    header = ["shot_type", "video", *classifier.FEATURES]
+    df = spark.createDataFrame([("drop" if i % 2 else "serve", "v", *[float(i)] * 17) for i in range(20)], header)
+    ready, known = classifier.prepare(df)
+    assert len(known) == 17 and ready.columns == ["label", *classifier.FEATURES]
+    assert {(r.column, r.role) for r in classifier.column_roles(df).where("role <> 'feature'").collect()} == {("shot_type", "label"), ("video", "unknown")}
+    assert set(shots.shot_features(shots.shot_points(shots.rallies(track(spark, [])))).columns) >= set(classifier.FEATURES)
+
+
+def test_static_candidates_lose(spark):
+    still, moving = ({"x": x, "y": 5.0, "confidence": 0.9, "score": s, "is_static": f} for x, s, f in ((5.0, 0.9, True), (9.0, 0.5, False)))
+    assert trackers.SegmentedBall().step(0.0, [still, moving])[0] == 9.0
+    assert trackers.SegmentedBall().step(0.0, [still])[3] == "LOST"
+
+
+def test_player_folds():
+    people = lambda *rows: [{"id": i, "x": x, "y": y, "confidence": k, "score": a} for i, x, y, k, a in rows]
+    labels = trackers.StableLabels()
+    assert labels.step(0, people((7, 0, 50, 1, 1), (3, 0, 9, 1, 1)))[0] == [("3", "Player A"), ("7", "Player B")]
+    assert labels.step(1, people((7, 0, 5, 1, 1), (8, 0, 9, 1, 1), (3, 0, 99, 1, 1)))[0] == [("7", "Player B"), ("8", "Player A"), ("3", "Track 3")]
+    zone = trackers.ZonePlayer(most=1)
+    assert zone.step(0, people((1, 10, 10, 0.5, 1)))[3] == "only_candidate"
+    assert zone.step(1, people((2, 900, 900, 0.9, 4), (1, 12, 12, 0.5, 1)))[0] == 1
+    zone.step(2, [])
+    zone.step(3, [])
+    assert zone.step(4, people((2, 900, 900, 0.9, 4), (1, 12, 12, 0.5, 1)))[0] == 2
+    pair = trackers.CourtPlayers()
+    assert pair.step(0, people((4, 0, 20, 1, 1), (5, 0, 3, 1, 1))) == (4, 5)
+    assert pair.step(1, people((5, 0, 22, 1, 1))) == (None, 5)
+    assert pair.step(2, people((9, 0, 12, 1, 1), (4, 0, 2, 0.1, 1), (5, 0, 3, 0.1, 1))) == (5, 4)
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    winners = "".join("AB"[(i * 7 // 3) % 2] for i in range(3000))
+    df = spark.createDataFrame([(1, i, w) for i, w in enumerate(winners, 1)] + [(2, 1, "A")], "match_id long, point_number long, winner string")
+    real = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = scoring.scoreboard(df).where("match_id = 1").orderBy("point_number").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", real)
+    score = scoring.Score(config.ScoringConfig())
+    for r in got:
+        events = score.award("AB".index(r.winner))
+        assert r.rejected == (events is None) and (r.points_a, r.games_b, r.sets_a) == (score.points[0], score.games[1], score.sets[0])
+    assert len(got) == 3000
+
+
 def test_classifier_sizes():
     made = classifier.models()
     forest, boosted = made["random_forest"], made["gradient_boosting"].getClassifier()
