@@ -54,31 +54,107 @@ def test_cases(spark):
     assert alone.train_tokens == 0 and alone.n_known == 0 and math.isclose(alone.score, 0, abs_tol=1e-9)
 
 
-def test_probabilities_sum_to_one_and_scores_follow_them(spark):
-    docs = common.documents(common.table(spark, "/root/testdata/sf0.001", "documents")).where("doc_id < 60")
-    counts = common.written(pitman_yor.counted(docs, lambda column: pitman_yor.tokens(column)[0]))
-    pitman_yor.SHARE, real = 3e-4, pitman_yor.SHARE
-    try:
-        model = pitman_yor.learned(docs, counts)
-    finally:
-        pitman_yor.SHARE = real
-    assert len(model.pairs) > 20
-    rare = counts.where(f"n < {3e-4 * model.n}").toPandas()["n"].to_numpy(float)
-    p0 = model.parent(model.customers)
-    others = model.parent(rare).sum() + model.parent(np.zeros(1))[0]
-    for ctx in [*np.unique(model.pairs >> 32)[:30], len(model.words), 0]:
-        own = model.pairs >> 32 == ctx
-        p = model.g[ctx] * p0
-        p[model.pairs[own] & 0xFFFFFFFF] = model.pair_p[own]
-        assert math.isclose(p.sum() + model.g[ctx] * others, 1, rel_tol=1e-9) and (p > 0).all()
-    h, n = pitman_yor.tokens(pa.array(["The of the zzz of"]))
-    known, base, log_p, other = model.known_part(h, n)
-    rank, last, want = model.rank(h), len(model.words), 0.0
-    for r in rank:
-        k = np.flatnonzero(model.pairs == (int(last) << 32 | int(r))) if r >= 0 and last >= 0 else []
-        want += math.log10(model.pair_p[k[0]] if len(k) else (model.g[last] if last >= 0 else 1.0) * (p0[r] if r >= 0 else 1.0))
-        last = r
-    assert math.isclose(log_p[0], want, rel_tol=1e-12) and other.sum() == (rank < 0).sum()
+def toy(n=120, seed=5):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(rng.choice(list("abcdef"), rng.integers(1, 9), p=[0.4, 0.25, 0.15, 0.1, 0.05, 0.05]))) for i in range(n)]
+
+
+def gibbs(docs, sweeps=600, burn=100, seed=1):
+    """The predictive probabilities {(context, word)} of the same model by the book: every customer of every restaurant leaves its
+    table and is seated again, one at a time, at both levels; and the discount."""
+    rng = np.random.default_rng(seed)
+    pairs = [p for _, t in docs for w in [split(t)] for p in zip([b"start", *w[:-1]], w)]
+    count = Counter(pairs)
+    one, two = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, one / (one + 2 * two)))
+    words = sorted({w for _, w in pairs})
+    v = len(words)
+    top = {w: [] for w in words}  # sizes of the root's tables, by dish
+    low = {}  # sizes of the tables, by context and dish
+    size, total = lambda x: sum(map(sum, x)), lambda x: sum(map(len, x))
+
+    def parent(w):
+        n, t = size(top.values()), total(top.values())
+        return (sum(top[w]) - d * len(top[w]) + (1 + d * t) * 0.1 / v) / (1 + n)
+
+    def sit(tables, new):
+        k = rng.choice(len(tables) + 1, p=(q := np.array([x - d for x in tables] + [new])) / q.sum())
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        return not tables[k] and tables.pop(k) == 0
+
+    def join(u, w):
+        everywhere = sum(len(x) for (c, _), x in low.items() if c == u)
+        if sit(low.setdefault((u, w), []), (1 + d * everywhere) * parent(w)):
+            sit(top[w], (1 + d * total(top.values())) * 0.1 / v)
+
+    for u, w in pairs:
+        join(u, w)
+    mean = Counter()
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(low[u, w]):
+                leave(top[w])
+            join(u, w)
+        if sweep >= burn:
+            for u in {c for c, _ in pairs}:
+                own = {w: low.get((u, w), []) for w in words}
+                n, t = size(own.values()), total(own.values())
+                for w in words:
+                    mean[u, w] += (sum(own[w]) - d * len(own[w]) + (1 + d * t) * parent(w)) / (1 + n) / (sweeps - burn)
+    return mean
+
+
+def test_seats_follow_the_distribution():
+    rng, d, p, others = np.random.default_rng(2), 0.4, 0.2, 3.0
+    tables = {}
+    for _ in range(40_000):  # by the book: the seats of customers that all eat this dish, weighted by how likely that is
+        t, weight = 1, 1.0
+        for j in range(1, 5):
+            new, stay = (1 + d * (others + t)) * p, j - d * t
+            weight *= new + stay
+            t += rng.random() * (new + stay) < new
+        tables[t] = tables.get(t, 0) + weight
+    got = pitman_yor.seat(rng, np.full(40_000, 5), np.full(40_000, p), np.full(40_000, others), d)
+    for t, w in tables.items():
+        assert abs(w / sum(tables.values()) - (got == t).mean()) < 0.015
+    many = pitman_yor.seat(rng, np.array([1, 0, 64, 65, 400, 10**6]), np.full(6, 0.9), np.full(6, 10.0), d)
+    assert many[0] == 1 and many[1] == 0 and (many[2:] >= 1).all() and many[5] > many[4]
+
+
+def test_arrays_survive():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), rng.integers(0, 300, 999)):
+        assert (pitman_yor.restored(pitman_yor.squeezed(x)) == x).all()
+        assert (pitman_yor.risen(pitman_yor.rising(np.sort(x))) == np.sort(x)).all()
+
+
+def test_scores_against_gibbs_by_the_book(spark):
+    train = toy()
+    want = gibbs(train, 200, 50)
+    probes = [(1000 + i, f"{u} {w}".strip()) for i, (u, w) in enumerate([(u, w) for u in "abcdef" for w in "abcdef"] + [("", w) for w in "abcdef"])]
+    unknown = [(2000 + i, f"{u} zzz") for i, u in enumerate("abcdef")]
+    df = spark.createDataFrame(train + probes + unknown, "doc_id long, text string").repartition(3)
+    for split_at in (pitman_yor.SPLIT, 40):
+        found = {r.doc_id: r for r in pitman_yor.scored(df, F.col("doc_id") >= 1000, split=split_at, rounds=4, sweeps=60, with_tokens=True).collect()}
+        off, chance = [], {}
+        for i, text in probes:
+            tokens = split(text)
+            for u, w, x in zip([b"start", *tokens], tokens, found[i].token_scores):
+                off.append(abs(x - math.log10(want[u, w])))
+                assert math.isclose(chance.setdefault((u, w), x), x, rel_tol=1e-6)
+        assert np.mean(off) < 0.04 and max(off) < 0.15  # all pairs are seated at the same time, given the level above
+        for i, text in unknown:
+            u = text[0].encode()
+            rest = 10 ** found[i].token_scores[1]
+            assert math.isclose(sum(10**x for (c, _), x in chance.items() if c == u) + rest, 1, rel_tol=1e-4)
 
 
 def test_table(spark):
@@ -87,4 +163,4 @@ def test_table(spark):
     assert rows(found) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
     held = found.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens"), F.sum((F.col("score") > F.col("base_score")).cast("int")), F.count("*")).first()
     print("perplexity a token, model and base:", 10 ** (-held[0] / held[2]), 10 ** (-held[1] / held[2]), held[3], held[4])
-    assert held[0] > held[1]
+    assert 10 ** (-held[0] / held[2]) < 0.95 * 10 ** (-held[1] / held[2])
