@@ -6,9 +6,10 @@ classes. A class searches with the first m bytes of its patterns (m: its shortes
 blocks in those prefixes says how far a position can jump, and where it can't, the bucket of the suffix block gives the
 patterns to compare. Many lanes of one buffer jump at the same time, which keeps the search vectorised.
 
-The search runs where the documents are scanned: no shuffle, one row per document. The pattern tables go to the
-executors in groups of at most `PATTERN_BYTES`, one pass over the documents for each group, so what is broadcast
-has a fixed bound whatever the size of the benchmark.
+The windows are made and told apart in tasks, and fall by their hash into groups of about `PATTERN_BYTES`. The search runs
+where the documents are scanned: one group goes to the executors at a time, so what is broadcast has a fixed bound
+whatever the size of the benchmark or of an item; a worker makes the tables of a group once. One group, which is the
+rule, needs no shuffle at all; of several, the hits of each are written and joined to the documents by row.
 
 Cases: a null or wordless text has no words and is clean; an item without words has no window; repeated rows and ids
 are judged one by one; items with equal windows are all reported; an empty benchmark leaves every document clean.
@@ -16,12 +17,15 @@ are judged one by one; items with equal windows are all reported; an empty bench
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rallyframe.llm import common
 
@@ -166,48 +170,97 @@ def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def pattern_groups(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = PATTERN_BYTES):
-    """The windows of all items, in groups of at most `most` bytes; only one group is on the driver at a time."""
-    items = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    group, size = {}, 0
-    for row in items.toLocalIterator():
-        for pattern, ids in windows([tuple(row)]).items():
-            size += len(pattern) * (pattern not in group) + sum(map(len, ids))
-            group.setdefault(pattern, set()).update(ids)
-        if size > most:
-            yield group
-            group, size = {}, 0
-    yield group
+def distinct_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """pattern, items: every window, and the ids of the items that hold it."""
 
+    def make(it):
+        for batch in it:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist()):
+                found = list(windows([(item, text)]))
+                for i in range(0, len(found), 10_000):
+                    own = found[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([str(item)] * len(own), pa.string())], ["pattern", "item"])
 
-FOUND = "n_words long, runs array<long>, items array<string>"
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return items.mapInArrow(make, "pattern binary, item string").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """Every document with n_words, runs (flat list of hit word runs: from, to, ...) and items (sorted ids found).
+_ready: dict[int, tuple] = {}
+
+
+def tables_of(shared) -> tuple[list[PatternClass], dict[bytes, set[str]]]:
+    """The tables of a broadcast group, which a worker makes once; it holds one group's."""
+    if shared.id not in _ready:
+        _ready.clear()
+        owners = {p: set(items) for p, items in shared.value}
+        _ready[shared.id] = pattern_classes(list(owners)), owners
+    return _ready[shared.id]
+
+
+class Shared:
+    """A broadcast with a number of its own."""
+
+    def __init__(self, spark: SparkSession, rows: list):
+        self.id, self.held = uuid.uuid4().int, spark.sparkContext.broadcast(rows)
+
+    @property
+    def value(self):
+        return self.held.value
 
-    docs keeps all its columns; the three are added."""
-    base = docs.drop("n_words", "runs", "items")
-    out = base.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
-    for group in pattern_groups(benchmark, most=pattern_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(group)
 
-        def scan(it, shared=shared):
-            owners = shared.value
-            classes = pattern_classes(list(owners))
+LISTS = {"runs": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
+
+
+def found_in(batch: pa.RecordBatch, text_col: str, shared: Shared) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """n_words, runs and items of the texts of a batch."""
+    n, runs, items = search_texts(batch[text_col], *tables_of(shared))
+    flat_runs = [[x for r in union(runs.get(i, [])) for x in r] for i in range(len(n))]
+    return pa.array(n.astype(np.int64)), pa.array(flat_runs, LISTS["runs"]), pa.array([sorted(items.get(i, ())) for i in range(len(n))], LISTS["items"])
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """Every document with n_words, runs (flat list of hit word runs: from, to, ...) and items (sorted ids found).
+
+    docs keeps all its columns but those three, which are added; id_col: the benchmark's."""
+    spark = docs.sparkSession
+    docs = docs.drop("n_words", "runs", "items")
+    patterns = common.written(distinct_windows(benchmark, id_col, text_col))
+    size = F.length("pattern") + F.aggregate("items", F.lit(0), lambda a, x: a + F.length(x))
+    total, most = patterns.agg(F.sum(size), F.count("*")).first()
+    groups = max(1, min(most, -(-(total or 0) // pattern_bytes)))
+    group = F.pmod(F.xxhash64("pattern"), F.lit(groups))
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, runs array<long>, items array<string>").fields])
+    if groups == 1:
+        shared = Shared(spark, [tuple(r) for r in patterns.collect()])
+
+        def scan(it):
             for batch in common.batches(it, text_col):
-                n, runs, items = search_texts(batch[text_col], classes, owners)
-                was_runs, was_items = batch["runs"].to_pylist(), batch["items"].to_pylist()
-                new_runs, new_items = [], []
-                for i in range(len(n)):
-                    old = was_runs[i] or []
-                    new_runs.append([x for r in union(runs.get(i, []) + list(zip(old[::2], old[1::2]))) for x in r])
-                    new_items.append(sorted(items.get(i, set()) | set(was_items[i] or ())))
-                new = {"n_words": pa.array(n.astype(np.int64)), "runs": pa.array(new_runs, pa.list_(pa.int64())), "items": pa.array(new_items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in batch.schema.names], batch.schema.names)
-
-        out = out.mapInArrow(scan, out.schema)
-    return out
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found_in(batch, text_col, shared)], [*batch.schema.names, "n_words", *LISTS])
+
+        return docs.mapInArrow(scan, schema)
+    rows = common.written(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid")))
+    hits = None
+    for k in range(groups):
+        shared = Shared(spark, [tuple(r) for r in patterns.where(group == k).collect()])
+
+        def scan_rows(it, shared=shared, first=k == 0):
+            for batch in common.batches(it, "text"):
+                n, runs, items = found_in(batch, "text", shared)
+                out = pa.RecordBatch.from_arrays([batch["rid"], n, runs, items], ["rid", "n_words", *LISTS])
+                yield out if first else out.filter(pc.greater(pc.list_value_length(items), 0))
+
+        own = common.written(rows.select("rid", "text").mapInArrow(scan_rows, "rid long, n_words long, runs array<long>, items array<string>"))
+        shared.held.destroy()
+        hits = own if hits is None else hits.unionByName(own)
+
+    def unite(it):
+        for batch in it:
+            runs = [[x for r in union([p for o in own for p in zip(o[::2], o[1::2])]) for x in r] for own in batch["runs"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["n_words"], pa.array(runs, LISTS["runs"]), batch["items"]], ["rid", "n_words", *LISTS])
+
+    whole = hits.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = whole.mapInArrow(unite, "rid long, n_words long, runs array<long>, items array<string>")
+    return rows.select("rid", "row").join(whole, "rid").select("row.*", "n_words", "runs", "items")
 
 
 def judged(found: DataFrame) -> DataFrame:
