@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted (turn, then role, then text); adjacent turns of one role
-share one block, so that the template marks a change of speaker once:
+The turns of a conversation are put in order (turn, then role, then text) and collected as structs; adjacent turns of one
+role share one block, so that the template marks a change of speaker once:
 
     <|im_start|>role\\ntext<|im_part|>text of the same role's next turn<|im_end|>\\n
 
@@ -9,7 +9,8 @@ Inside a text each `<`, any backslashes, `|` gets one more backslash, so no text
 away again restores the text. Roles are URL-encoded. The loss mask is a list of spans (code points, end exclusive) over
 the formatted string, one for each text of an assistant.
 
-A conversation is one value of the result, so its turns meet in one task; nothing else is grouped.
+Where a text lies in the string is a running sum of lengths, so long conversations cost as much a turn as short ones. A
+conversation is one value of the result, so its turns meet in one task; nothing else is grouped.
 
 Cases: a null text or role is empty; a null conv_id is a conversation of its own; a null turn comes first; repeated rows
 are turns of their own; a conversation without an assistant has an empty mask; an empty table gives no rows.
@@ -17,7 +18,7 @@ are turns of their own; a conversation without an assistant has an empty mask; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyframe.llm import common
@@ -37,29 +38,18 @@ def unescaped(text: Column) -> Column:
 
 def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, end) of every conversation."""
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
-    )
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def lead(t: Column, i: Column) -> Column:
-        header = F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n"))
-        last = F.get("turns", i - 1)["role"]
-        return F.when(i == 0, header).when(last == t["role"], F.lit(PART)).otherwise(F.concat(F.lit(END), header))
-
-    pieces = F.transform("turns", lambda t, i: F.struct(lead(t, i).alias("lead"), escaped(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss")))
-    pieced = convs.select("conv_id", pieces.alias("pieces"))
-    whole = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["lead"])
-        end = start + F.length(p["text"])
-        spans = F.when(p["loss"], F.array_append(a["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(a["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    return pieced.select("conv_id", whole.alias("formatted"), F.aggregate("pieces", zero, step, lambda a: a["spans"]).alias("loss_spans"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    header = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
+    last = F.lag("role").over(order)
+    rows = rows.withColumns({"place": F.row_number().over(order), "lead": F.when(last.isNull(), header).when(last == F.col("role"), F.lit(PART)).otherwise(F.concat(F.lit(END), header)), "shown": escaped(F.col("text"))})
+    rows = rows.withColumn("end", F.sum(F.length("lead") + F.length("shown")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = F.struct("place", F.concat("lead", "shown").alias("piece"), (F.col("end") - F.length("shown")).alias("start"), "end", (F.col("role") == loss_role).alias("loss"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    whole = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), F.lit(END))
+    spans = F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    return convs.select("conv_id", whole.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(out: DataFrame) -> DataFrame:
