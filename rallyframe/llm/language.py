@@ -10,6 +10,9 @@ Prediction counts, for each language, the trigrams of the text that its filter h
 chance: (hits - n * f) / (1 - f), where f is the language's measured rate of false positives. The largest corrected
 count wins (ties: the first language by name); the score is its share of the text's trigrams.
 
+The filters of PASS languages at a time go to the executors, which bounds what is broadcast; more languages take
+more scans, and the best of all scans wins.
+
 Cases: a null text or one without a letter is `und` with score 0; so is every text if nothing was learned; a text with
 letters but no trigram (a single letter) goes to the first language by name with score 0; rows without lang or id are
 never learned from; repeated rows and ids are predicted one by one; an empty table gives no rows.
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rallyframe.llm import common
 
@@ -32,6 +36,8 @@ SLOT_BITS = 20
 #: Bytes of text that a task holds at once: its letters and trigrams take some sixty times as much.
 CHUNK_BYTES = 1 << 20
 HASHES = 3
+#: Languages that are judged in one scan of the texts.
+PASS = 256
 #: The pipeline rejects documents whose best language explains less than this share of their trigrams.
 LEAST_SCORE = 0.3
 
@@ -88,10 +94,11 @@ class Filters:
         for i in range(len(held)):
             self.false_rate[i] = ((self.planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** HASHES
 
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    def best(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best language of each text (its place), the corrected count of its trigrams, and the text's trigrams and letters."""
         v, n, letters = trigrams(column)
         upto = np.cumsum(n)
-        found = np.zeros((len(self.langs), len(n)))
+        found = np.zeros((max(1, len(self.langs)), len(n)))
         at = slots(v)
         for p, plane in enumerate(self.planes):
             mask = plane[at[0]]
@@ -101,16 +108,11 @@ class Filters:
                 hits = np.concatenate([[0], np.cumsum((mask >> np.uint64(i % 64)) & np.uint64(1), dtype=np.int64)])
                 f = self.false_rate[i]
                 found[i] = np.maximum(0, (hits[upto] - hits[upto - n] - n * f) / max(1e-9, 1 - f))
-        if not len(self.langs):
-            return ["und"] * len(n), np.zeros(len(n))
-        best = found.argmax(axis=0)
-        score = np.minimum(1.0, found.max(axis=0) / np.maximum(n, 1))
-        score[letters == 0] = 0
-        return [self.langs[b] if k else "und" for b, k in zip(best, letters)], score
+        return found.argmax(axis=0), found.max(axis=0), n, letters
 
 
-def learned(train: DataFrame) -> Filters:
-    """train: text, lang. The filters of its languages, from all its rows."""
+def learned(train: DataFrame) -> list[Filters]:
+    """train: text, lang. The filters of its languages, from all its rows, PASS languages at a time."""
 
     def count(it):
         own: dict[str, list] = {}
@@ -135,29 +137,66 @@ def learned(train: DataFrame) -> Filters:
 
     counts = train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = common.written(counts)
-    share = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= SHARE)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= SHARE)
     most = F.max("share").over(Window.partitionBy("gram"))
-    rows = share.withColumn("most", most).where(F.col("share") >= NEAR * F.col("most")).select("lang", "gram").toPandas()
-    langs = [r.lang for r in counts.select("lang").distinct().collect()]
-    return Filters({x: rows.gram[rows.lang == x].to_numpy(np.int64) for x in langs})
+    held = common.written(share.withColumn("most", most).where(F.col("share") >= NEAR * F.col("most")).select("lang", "gram"))
+    langs = common.written(totals.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).alias("k")))
+    several = []
+    for first in range(0, langs.count(), PASS):
+        names = langs.where(F.col("k").between(first, first + PASS - 1))
+        rows = held.join(F.broadcast(names), "lang").select("lang", "gram").toArrow()
+        lang, gram = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy()
+        several.append(Filters({r.lang: gram[lang == r.lang] for r in names.select("lang").collect()}))
+    return several or [Filters({})]
 
 
 def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
+def judged(docs: DataFrame, several: list[Filters]) -> DataFrame:
+    """docs (with a column text) and lang_pred, score. All languages of one set of filters are judged where the texts are; of several
+    sets, each gives its best language by row, and the best of these wins."""
+    spark = docs.sparkSession
+    if len(several) == 1:
+        shared = spark.sparkContext.broadcast(several[0])
+
+        def scan(it):
+            for batch in common.batches(it, limit=CHUNK_BYTES):
+                best, found, n, letters = shared.value.best(batch["text"])
+                some = (letters > 0) & (len(shared.value.langs) > 0)
+                lang = [shared.value.langs[b] if k else "und" for b, k in zip(best, some)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(some, score_of(found, n), 0.0))], [*batch.schema.names, "lang_pred", "score"])
+
+        return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]))
+    rows = common.written(docs.select(F.struct("*").alias("row"), "text", F.monotonically_increasing_id().alias("rid")))
+    every = None
+    for filters in several:
+        shared = spark.sparkContext.broadcast(filters)
+
+        def scan_rows(it, shared=shared):
+            for batch in common.batches(it, limit=CHUNK_BYTES):
+                best, found, n, letters = shared.value.best(batch["text"])
+                lang = pa.array([shared.value.langs[b] for b in best], pa.string())
+                yield pa.RecordBatch.from_arrays([batch["rid"], lang, pa.array(found), pa.array(score_of(found, n)), pa.array(letters > 0)], ["rid", "lang", "found", "score", "some"])
+
+        own = common.written(rows.select("rid", "text").mapInArrow(scan_rows, "rid long, lang string, found double, score double, some boolean"))
+        every = own if every is None else every.unionByName(own)
+    first = F.min(F.struct((-F.col("found")).alias("minus"), "lang", "score", "some")).alias("best")
+    best = every.groupBy("rid").agg(first).select("rid", F.when(F.col("best.some"), F.col("best.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("best.some"), F.col("best.score")).otherwise(0.0).alias("score"))
+    return rows.select("rid", "row").join(best, "rid").select("row.*", "lang_pred", "score")
+
+
+def score_of(found: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.minimum(1.0, found / np.maximum(n, 1))
+
+
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, learned from the rows of docs with a language that aren't held out."""
     rows = common.documents(docs, id_col, text_col, lang=F.col(lang_col).cast("string"))
     held = remainder(F.col("doc_id"), 4) == 2
-    shared = docs.sparkSession.sparkContext.broadcast(learned(rows.where(~held & F.col("lang").isNotNull())))
-
-    def scan(it):
-        for batch in common.batches(it, limit=CHUNK_BYTES):
-            lang, score = shared.value.predict(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    found = rows.select("doc_id", "text").mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    found = judged(rows.select("doc_id", "text"), learned(rows.where(~held & F.col("lang").isNotNull())))
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -169,11 +208,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a language: not `und`, and with a score of LEAST_SCORE or more."""
     rows = common.documents(docs, lang=F.col("lang").cast("string"))
     train = rows.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    shared = spark.sparkContext.broadcast(learned(train))
-
-    def scan(it):
-        for batch in common.batches(it, limit=CHUNK_BYTES):
-            lang, score = shared.value.predict(batch["text"])
-            yield batch.filter(pa.array((np.array(lang) != "und") & (score >= LEAST_SCORE)))
-
-    return docs.mapInArrow(scan, docs.schema)
+    found = judged(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), learned(train))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")

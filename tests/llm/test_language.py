@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 
@@ -27,6 +29,58 @@ def test_cases(spark):
     assert {r.lang_pred for r in language.predicted(df.withColumn("lang", language.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def grams(text):
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    spaced = re.sub(" +", " ", low + " ").lstrip(" ") if not low.startswith(" ") else " " + re.sub(" +", " ", low + " ").strip(" ") + " "
+    return [spaced[i : i + 3] for i in range(len(spaced) - 2) if spaced[i + 1] != " "]
+
+
+def filters_by_hand(docs):
+    count = {}
+    for i, text, lang in docs:
+        if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            count.setdefault(lang, Counter()).update(grams(text))
+    share = {x: {g: k / sum(c.values()) for g, k in c.items() if k / sum(c.values()) >= language.SHARE} for x, c in count.items()}
+    most = Counter()
+    for s in share.values():
+        for g, v in s.items():
+            most[g] = max(most[g], v)
+    return {x: {g for g, v in s.items() if v >= language.NEAR * most[g]} for x, s in share.items()}
+
+
+def test_verdicts_by_hand(spark):
+    """The same filters as plain sets: where these decide clearly, so do the Bloom filters, with nearly the same score."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    held = filters_by_hand(rows)
+    got = {r.doc_id: r for r in language.predicted(docs).collect()}
+    clear = 0
+    for i, text, _ in rows:
+        own = grams(text)
+        hits = sorted(((sum(g in s for g in own), x) for x, s in held.items()), key=lambda h: (-h[0], h[1]))
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+        elif own and hits[0][0] - hits[1][0] > 0.02 * len(own) + 3:
+            clear += 1
+            assert got[i].lang_pred == hits[0][1] and abs(got[i].score - hits[0][0] / len(own)) < 0.02
+    assert clear > 0.9 * len(rows)
+
+
+def test_many_languages_and_ties(spark, monkeypatch):
+    words = ["bana kana", "trost prost", "xylo zylo", "mimi momo"]
+    docs = [(i, words[i % 4], "dcba"[i % 4]) for i in range(80)] + [(i, words[0], "e") for i in range(200, 240)]
+    docs += [(500, words[0], None), (501, "q", None), (502, None, None), (503, "9", None), (504, words[1], None), (504, words[1], None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    told = lambda found: sorted((r.doc_id, r.lang_pred, r.score) for r in found.collect())
+    one = told(language.predicted(df))
+    assert dict((i, x) for i, x, _ in one)[500] == "d" and ("q" not in words) and dict((i, x) for i, x, _ in one)[501] == "a"
+    monkeypatch.setattr(language, "PASS", 2)
+    assert told(language.predicted(df)) == one
+    extra = df.withColumns({"row": language.F.lit(1), "score": language.F.lit(2), "lang_pred": language.F.lit("x"), "a.b": language.F.lit(3), "rid": language.F.lit(4)})
+    kept = language.stage(spark, extra, "")
+    assert kept.columns == extra.columns and kept.count() == 80 + 40 + 3
+
+
 def test_held_out_accuracy(spark):
     docs = common.table(spark, "/root/testdata/sf0.1", "documents")
     found = language.predicted(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out").toPandas()
