@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -47,3 +48,45 @@ def test_table(spark):
     print(part)
     assert part[1, True] >= 0.98 * (part[1, True] + part[1, False])
     assert part[0, False] >= 0.85 * (part[0, True] + part[0, False])
+
+
+def grams(text):
+    b = (text or "").encode()
+    return [(int.from_bytes(b[i : i + 4], "little") * 0x9E3779B1 % 2**32) >> (32 - quality.BITS) for i in range(len(b) - 3)]
+
+
+def test_verdicts_by_hand(spark):
+    path = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in common.table(spark, path, "documents").select("doc_id", "text").collect()]
+    labels = {r.doc_id: r.quality for r in common.table(spark, path, "labels").collect()}
+    raw, target = Counter(), Counter()
+    for i, text in docs:
+        g = Counter(grams(text))
+        raw += g
+        if labels.get(i, 0) > 0:
+            target += g
+    size, n, m = 1 << quality.BITS, sum(raw.values()), sum(target.values())
+    chance = lambda k: (raw[k] + 0.5) / (n + 0.5 * size)
+    ratio = {k: math.log((target[k] + quality.PRIOR * chance(k)) / (m + quality.PRIOR) / chance(k)) for k in raw}
+    found = {r.doc_id: r for r in quality.judged(common.table(spark, path, "documents"), common.table(spark, path, "labels")).collect()}
+    for i, text in docs:
+        g = grams(text)
+        assert math.isclose(found[i].llr, sum(ratio[k] for k in g) / max(1, len(g)), rel_tol=1e-6, abs_tol=1e-9)
+    # the threshold separates the labels at least as well as any border between two of their scores, up to a bin's width
+    known = [(found[i].llr, q > 0) for i, q in labels.items() if not found[i].base_failed]
+    good, bad = sum(q for _, q in known), sum(not q for _, q in known)
+    worth = lambda t: sum(q and s >= t for s, q in known) / good + sum(not q and s < t for s, q in known) / bad
+    least = min(x.llr for x in found.values() if x.kept)
+    assert worth(least) >= max(worth(s + d) for s, _ in known for d in (0, 1e-12)) - 0.02
+    assert all(r.kept == (not r.base_failed and r.llr >= least) for r in found.values())
+
+
+def test_threshold_on_labels_held_out(spark):
+    path = "/root/testdata/sf0.1"
+    labels = common.table(spark, path, "labels")
+    held = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 0"
+    found = quality.judged(common.table(spark, path, "documents"), labels.where(f"NOT {held}")).join(labels.where(held), "doc_id").where("NOT base_failed")
+    part = {(r.good, r.kept): r["count"] for r in found.groupBy((found.quality > 0).alias("good"), "kept").count().collect()}
+    get = lambda *k: part.get(k, 0)
+    print("held out: good kept", get(True, True), "of", get(True, True) + get(True, False), "bad left out", get(False, False), "of", get(False, True) + get(False, False))
+    assert get(True, True) >= 0.95 * (get(True, True) + get(True, False)) and get(False, False) >= 0.8 * (get(False, True) + get(False, False))
