@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,43 @@ def ball_candidates(boxes: DataFrame, config: CandidateConfig = CandidateConfig(
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("ranking_score"), "candidate_id")))
 
 
+def in_region(x: Column, y: Column, corners: list[tuple[float, float]], margin: float) -> Column:
+    """Whether a pixel lies in a convex polygon (corners in clockwise order on the screen), widened by a square of margin pixels
+    to each side: within every edge's half-plane and the widened box."""
+    x, y = F.floor(x), F.floor(y)
+    xs, ys = zip(*corners)
+    ok = x.between(F.lit(min(xs)) - margin, F.lit(max(xs)) + margin) & y.between(F.lit(min(ys)) - margin, F.lit(max(ys)) + margin)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]]):
+        dx, dy = float(bx - ax), float(by - ay)
+        ok = ok & (dx * (y - ay) - dy * (x - ax) >= -margin * (abs(dx) + abs(dy)))
+    return ok
+
+
+def candidates_in_region(candidates: DataFrame, corners: list[tuple[float, float]] | None, margin_share: float = 0.05) -> DataFrame:
+    """The candidates whose centre is in the court's region, widened by half of that share of the frame's width; all of them
+    without corners."""
+    if corners is None:
+        return candidates
+    margin = F.floor(F.floor(c("frame_width") * margin_share) / 2)
+    return candidates.where(in_region(c("center_x"), c("center_y"), corners, margin))
+
+
+def appearance(circularity: Column, yellow: Column) -> Column:
+    """How much a bright spot looks like a ball."""
+    return circularity * 0.4 + yellow * 0.6
+
+
+def circularity(area: Column, perimeter: Column) -> Column:
+    """1 of a circle; null without a perimeter."""
+    return F.when(perimeter != 0, 4 * math.pi * area / (perimeter * perimeter))
+
+
+def bright_candidates(spots: DataFrame, least_area: float = 10.0, most_area: float = 500.0, least_circularity: float = 0.5) -> DataFrame:
+    """Bright spots (area, perimeter, yellow) of a ball's size and shape, with circularity and appearance_score."""
+    found = spots.where(c("area").between(least_area, most_area)).withColumn("circularity", circularity(c("area"), c("perimeter")))
+    return found.where(c("circularity") >= least_circularity).withColumn("appearance_score", appearance(c("circularity"), c("yellow")))
+
+
 def temporal_candidates(ranked: DataFrame, predictions: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
     """The candidate of each frame that fits its predicted position best; without a prediction the highest-ranked one. A
     frame is an equi-join key, and the distance a condition on it."""
@@ -172,7 +211,7 @@ def letterbox(sizes: DataFrame, width: int = 640, height: int = 640) -> DataFram
 def quality_flags(frames: DataFrame, dark: float = 45.0, bright: float = 210.0, blur: float = 80.0) -> DataFrame:
     """Adds is_dark, is_overexposed, is_blurry, issues and acceptable to frames with brightness and sharpness."""
     out = frames.withColumns({"is_dark": c("brightness") < dark, "is_overexposed": c("brightness") > bright, "is_blurry": c("sharpness") < blur})
-    issues = F.array_compact(F.array(F.when(c("is_dark"), "too_dark"), F.when(c("is_overexposed"), "overexposed"), F.when(c("is_blurry"), "blurry")))
+    issues = F.array_compact(F.array(F.when(c("is_dark"), "dark"), F.when(c("is_overexposed"), "overexposed"), F.when(c("is_blurry"), "blurry")))
     return out.withColumn("issues", issues).withColumn("acceptable", F.size("issues") == 0)
 
 

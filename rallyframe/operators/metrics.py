@@ -37,3 +37,9 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     from pyspark.sql import Window
 
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2))
+
+
+def progress(annotations: DataFrame, label: str = "label") -> DataFrame:
+    """How many annotations there are and how many have a label (`unlabeled` is none)."""
+    done = F.count_if(F.col(label) != "unlabeled")
+    return annotations.agg(F.count("*").alias("total"), done.alias("labelled"), (F.count("*") - done).alias("unlabelled"), F.round(100.0 * done / F.count("*"), 1).alias("percent"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,78 @@ def detected(frames: DataFrame, make_detector: Callable[[], Callable[[np.ndarray
     return frames.select("video_id", "frame_number", "data", "height", "width").mapInPandas(run, f"video_id long, frame_number long, {schema}")
 
 
+@F.pandas_udf(T.DoubleType())
+def _difference(data: pd.Series, before: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else float(np.abs(np.round(gray(image_of(d, h, w))) - np.round(gray(image_of(b, h, w)))).mean()) for d, b, h, w in zip(data, before, height, width)], dtype="float64")
+
+
+#: The frames of a video that are compared.
+SAMPLED = (0, 30, 90, 150, 210, 270, 330)
+
+
+def frame_differences(frames: DataFrame, sampled: tuple[int, ...] = SAMPLED) -> DataFrame:
+    """video_id, frame_number, difference: the mean absolute difference of grey values of each sampled frame and the one sampled
+    before it. What camera_motion() takes."""
+    some = frames.where(F.col("frame_number").isin(*sampled))
+    before = F.lag("data").over(Window.partitionBy("video_id").orderBy("frame_number"))
+    some = some.withColumn("before", before).where("before IS NOT NULL")
+    return some.select("video_id", "frame_number", _difference("data", "before", "height", "width").alias("difference"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _white(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    out = []
+    for d, h, w in zip(data, height, width):
+        _, s, v = np.moveaxis(np.round(hsv(image_of(d, h, w))), -1, 0)
+        out.append(100.0 * float(((s <= 50) & (v >= 180)).mean()))
+    return pd.Series(out)
+
+
+def white_percent() -> Column:
+    """The percentage of white pixels (bright, of little saturation) in a frame, as court lines are."""
+    return _white("data", "height", "width")
+
+
+def scaled(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, by the centres of pixels, whole values."""
+
+    def places(new: int, old: int):
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, old - 1), at - low
+
+    y0, y1, fy = places(height, image.shape[0])
+    x0, x1, fx = places(width, image.shape[1])
+    rows = image[y0] * (1 - fy)[:, None, None] + image[y1] * fy[:, None, None]
+    return np.floor(rows[:, x0] * (1 - fx)[:, None] + rows[:, x1] * fx[:, None] + 0.5).astype(np.uint8)
+
+
+#: Grey of the padding.
+PAD = 114
+
+
+def letterboxed(image: np.ndarray, height: int = 640, width: int = 640) -> np.ndarray:
+    scale = min(width / image.shape[1], height / image.shape[0])
+    h, w = max(1, round(image.shape[0] * scale)), max(1, round(image.shape[1] * scale))
+    out = np.full((height, width, 3), PAD, np.uint8)
+    top, left = (height - h) // 2, (width - w) // 2
+    out[top : top + h, left : left + w] = scaled(image, h, w)
+    return out
+
+
+def model_input(frames: DataFrame, height: int = 640, width: int = 640) -> DataFrame:
+    """video_id, frame_number, tensor: frames as a model takes them, letter-boxed, in RGB, channels first, 0 to 1 (32-bit floats as
+    bytes, 3 * height * width of them)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for v, f, d, h, w in zip(pdf["video_id"], pdf["frame_number"], pdf["data"], pdf["height"], pdf["width"]):  # one at a time: a tensor is large
+                rgb = letterboxed(image_of(d, h, w), height, width)[..., ::-1]
+                yield pd.DataFrame({"video_id": [v], "frame_number": [f], "tensor": [np.ascontiguousarray((rgb.astype(np.float32) / 255).transpose(2, 0, 1)).tobytes()]})
+
+    return frames.select("video_id", "frame_number", "data", "height", "width").mapInPandas(run, "video_id long, frame_number long, tensor binary")
+
+
 def camera_motion(differences: DataFrame) -> DataFrame:
     """STATIC, MOSTLY_STATIC or MOVING by the mean absolute difference of a video's sampled frames (video_id, difference)."""
     mean = F.avg("difference")

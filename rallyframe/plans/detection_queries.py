@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyframe.operators import detections as D
-from rallyframe.operators import metrics, scoring, shots
+from rallyframe.operators import metrics, overlay, scoring, shots
 from rallyframe.plans.track_queries import AFFINE
 from rallyframe.sources.tracks import TRACKS_SQL, event_tracks, table
 
@@ -168,6 +168,43 @@ def match_statistics(spark, sf_dir):
     return scoring.match_statistics(scoring.scoreboard(points(spark, sf_dir, "track_id")), "all_points").drop("games_events")
 
 
+def match_statistics_by_event(spark, sf_dir):
+    return scoring.match_statistics(scoring.scoreboard(points(spark, sf_dir, "track_id"))).drop("games_events")
+
+
+def overlay_rows(spark, sf_dir):
+    players = D.select_players(D.court_people(boxes(spark, sf_dir)))
+    out = D.overlay_plan(_frames(spark, sf_dir), players, D.ball_candidates(boxes(spark, sf_dir)))
+    return out.select("frame_number", "primitive", *(F.round(k, 3).alias(k) for k in ("ax", "ay", "bx", "by")), "caption")
+
+
+#: The court's corners on a screen of 1280 by 720.
+CORNERS = [(200.0, 150.0), (430.0, 150.0), (500.0, 640.0), (60.0, 640.0)]
+
+
+def region_candidates(spark, sf_dir):
+    return D.candidates_in_region(D.ball_candidates(boxes(spark, sf_dir)), CORNERS).select("frame_number", "candidate_id")
+
+
+def bright_candidates(spark, sf_dir):
+    spots = boxes(spark, sf_dir).select("frame_number", "candidate_id", ((c("x2") - c("x1")) * (c("y2") - c("y1"))).alias("area"), (2 * (c("x2") - c("x1") + c("y2") - c("y1"))).alias("perimeter"), c("color_score").alias("yellow"))
+    return D.bright_candidates(spots).select("frame_number", "candidate_id", F.round("circularity", 6).alias("circularity"), F.round("appearance_score", 6).alias("appearance_score"))
+
+
+def video_summaries(spark, sf_dir):
+    videos = _frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("frames_read"), F.max("frame_number").alias("last_frame"))
+    out = overlay.video_summaries(detection_quality(spark, sf_dir), videos)
+    return out.select("video_id", "video.frames_read", "video.last_frame", "detection.frames_both", "detection.ball_detected", "detection.both_percent")
+
+
+def labelling_progress(spark, sf_dir):
+    return metrics.progress(labelled(spark, sf_dir).withColumn("label", F.when(c("o_orderkey") % 3 == 0, "unlabeled").otherwise(c("label"))))
+
+
+def confusion(spark, sf_dir):
+    return metrics.confusion(labelled(spark, sf_dir))
+
+
 def labelled(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     names = F.array(*map(F.lit, ("forehand", "backhand", "serve", "volley")))
@@ -276,7 +313,7 @@ QUERIES = {
     for f in (
         candidate_ranking, temporal_candidates, fallback_candidates, select_players, court_rejections, zone_rejections, rejection_histogram, detection_quality, court_lines, line_summary,
         frame_stride, letterbox, quality_flags, frame_documents, overlay_plan, clip_windows, clip_frames, scoreboard, long_matches, score_display, final_states, match_statistics,
-        class_report, model_scores, label_histogram,
+        class_report, model_scores, label_histogram, match_statistics_by_event, overlay_rows, region_candidates, bright_candidates, video_summaries, labelling_progress, confusion,
     )
 }
 
@@ -314,7 +351,7 @@ ORACLE = {
       n AS (SELECT *, greatest(1, CAST(round(w * k) AS INT)) AS nw, greatest(1, CAST(round(h * k) AS INT)) AS nh FROM k)
       SELECT o_orderkey, round(k, 6) AS scale, nw AS new_width, nh AS new_height, (640 - nw) // 2 AS pad_left, (640 - nh) // 2 AS pad_top, 640 - nw - (640 - nw) // 2 AS pad_right, 640 - nh - (640 - nh) // 2 AS pad_bottom FROM n""",
     "quality_flags": """WITH e AS (SELECT event_id, event_id * 7 % 256 AS b, event_id * 11 % 200 AS s FROM events)
-      SELECT event_id, b < 45 AS is_dark, b > 210 AS is_overexposed, s < 80 AS is_blurry, concat_ws(',', CASE WHEN b < 45 THEN 'too_dark' END, CASE WHEN b > 210 THEN 'overexposed' END, CASE WHEN s < 80 THEN 'blurry' END) AS issues,
+      SELECT event_id, b < 45 AS is_dark, b > 210 AS is_overexposed, s < 80 AS is_blurry, concat_ws(',', CASE WHEN b < 45 THEN 'dark' END, CASE WHEN b > 210 THEN 'overexposed' END, CASE WHEN s < 80 THEN 'blurry' END) AS issues,
         b >= 45 AND b <= 210 AND s >= 80 AS acceptable FROM e""",
     "frame_documents": f"""WITH {_PLAYERS_SQL}, p AS (SELECT frame_number, count(*) AS n, string_agg(player_label, ',' ORDER BY player_label) AS labels FROM players GROUP BY 1)
       SELECT f.frame_number, coalesce(n, 0) AS players, coalesce(labels, '') AS labels, round(center_x, 3) AS ball_x, round(center_y, 3) AS ball_y
@@ -338,7 +375,29 @@ ORACLE = {
     "match_statistics": f"""WITH RECURSIVE {_TRACK_SCORE}, w AS (SELECT match_id, count(*) FILTER (NOT rejected AND winner = 'A') AS won_a, count(*) FILTER (NOT rejected AND winner = 'B') AS won_b FROM board GROUP BY 1)
       SELECT *, won_a + won_b AS total_points, coalesce(round(CAST(100 AS DOUBLE) * won_a / (won_a + won_b), 2), 0) AS win_rate_a, coalesce(round(CAST(100 AS DOUBLE) * won_b / (won_a + won_b), 2), 0) AS win_rate_b,
         CASE WHEN won_a > won_b THEN 'A' WHEN won_b > won_a THEN 'B' ELSE 'TIED' END AS points_leader FROM w""",
+    "match_statistics_by_event": f"""WITH RECURSIVE {_TRACK_SCORE}, k AS (SELECT *, NOT rejected AND NOT (in_tiebreak AND coalesce(lag(in_tiebreak) OVER (PARTITION BY match_id ORDER BY point_number), FALSE)) AS counted FROM board),
+      w AS (SELECT match_id, count(*) FILTER (counted AND winner = 'A') AS won_a, count(*) FILTER (counted AND winner = 'B') AS won_b FROM k GROUP BY 1)
+      SELECT *, won_a + won_b AS total_points, coalesce(round(CAST(100 AS DOUBLE) * won_a / (won_a + won_b), 2), 0) AS win_rate_a, coalesce(round(CAST(100 AS DOUBLE) * won_b / (won_a + won_b), 2), 0) AS win_rate_b,
+        CASE WHEN won_a > won_b THEN 'A' WHEN won_b > won_a THEN 'B' ELSE 'TIED' END AS points_leader FROM w""",
+    "overlay_rows": f"""WITH {_PLAYERS_SQL}, f AS (SELECT DISTINCT video_id, frame_number FROM boxes),
+      seen AS (SELECT video_id, frame_number, center_x, center_y, lag(center_x) OVER w AS lx, lag(center_y) OVER w AS ly FROM ranked WHERE rank = 1 WINDOW w AS (PARTITION BY video_id ORDER BY frame_number)),
+      tails AS (SELECT video_id, unnest(range(frame_number, frame_number + 30)) AS frame_number, lx, ly, center_x, center_y FROM seen WHERE lx IS NOT NULL),
+      every AS (SELECT frame_number, 'box' AS primitive, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by_, player_label AS caption FROM players UNION ALL SELECT frame_number, 'marker', center_x, center_y, center_x, center_y, 'ball' FROM seen
+        UNION ALL SELECT frame_number, 'tail', lx, ly, center_x, center_y, '' FROM tails JOIN f USING (video_id, frame_number))
+      SELECT frame_number, primitive, round(ax, 3) AS ax, round(ay, 3) AS ay, round(bx, 3) AS bx, round(by_, 3) AS "by", caption FROM every""",
+    "region_candidates": f"""WITH {BOXES_SQL}, p AS (SELECT *, floor(center_x) AS x, floor(center_y) AS y, floor(floor(frame_width * CAST(0.05 AS DOUBLE)) / 2) AS m FROM ranked)
+      SELECT frame_number, candidate_id FROM p WHERE x BETWEEN 60 - m AND 500 + m AND y BETWEEN 150 - m AND 640 + m AND 230 * (y - 150) >= -m * 230 AND 70 * (y - 150) - 490 * (x - 430) >= -m * 560
+        AND -440 * (y - 640) >= -m * 440 AND 140 * (y - 640) + 490 * (x - 60) >= -m * 630""",
+    "bright_candidates": f"""WITH {BOXES_SQL}, s AS (SELECT *, (x2 - x1) * (y2 - y1) AS a, 2 * (x2 - x1 + y2 - y1) AS p FROM boxes), k AS (SELECT *, 4 * pi() * a / (p * p) AS r FROM s WHERE a BETWEEN 10 AND 500 AND p <> 0)
+      SELECT frame_number, candidate_id, round(r, 6) AS circularity, round(r * CAST(0.4 AS DOUBLE) + color_score * CAST(0.6 AS DOUBLE), 6) AS appearance_score FROM k WHERE r >= 0.5""",
+    "labelling_progress": """WITH l AS (SELECT o_orderkey % 3 = 0 AS open FROM orders)
+      SELECT count(*) AS total, count(*) FILTER (NOT open) AS labelled, count(*) FILTER (open) AS unlabelled, round(CAST(100 AS DOUBLE) * count(*) FILTER (NOT open) / count(*), 1) AS percent FROM l""",
+    "confusion": f"WITH {_LABELS_SQL} SELECT label, prediction, count(*) AS n FROM labelled GROUP BY 1, 2",
     "class_report": f"WITH {_LABELS_SQL} SELECT class, support, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1 FROM report",
     "model_scores": f"""WITH {_LABELS_SQL} SELECT (SELECT round(avg(CAST(label = prediction AS INT)), 4) FROM labelled) AS accuracy, round(avg(p), 4) AS macro_precision, round(avg(r), 4) AS macro_recall, round(avg(f), 4) AS macro_f1, sum(support)::BIGINT AS samples FROM report""",
     "label_histogram": f"WITH {_LABELS_SQL} SELECT prediction AS value, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 2) AS percent FROM labelled GROUP BY 1",
 }
+
+_QUALITY = ORACLE["detection_quality"]
+ORACLE["video_summaries"] = f"""SELECT v.video_id, frames_read, last_frame, frames_both, ball_detected, both_percent
+  FROM (SELECT event_id // 4 // 100 AS video_id, count(DISTINCT event_id // 4) AS frames_read, max(event_id // 4) AS last_frame FROM events GROUP BY 1) v JOIN ({_QUALITY}) q ON q.video_id = v.video_id"""

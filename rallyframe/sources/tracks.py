@@ -62,9 +62,24 @@ def load_dataset(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 
 def load_calibration(spark: SparkSession, path: str) -> DataFrame:
-    """calibration_id, homography (3 x 3 by rows), court_type; key points as a map or as a list give the same rows."""
-    schema = "calibration_id string, court_type string, homography array<array<double>>, reprojection_error_meters double, frame_of_reference string"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """calibration_id (the file's name where it has none), court_type, homography (3 x 3 by rows, under either of its names), and the error
+    that the file tells."""
+    schema = "calibration_id string, court_type string, court_dimensions struct<type:string>, homography array<array<double>>, homography_matrix array<array<double>>, reprojection_error_meters double, frame_of_reference string"
+    raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("calibration_id", F.coalesce("calibration_id", F.regexp_extract(F.input_file_name(), r"([^/]*)\.[^.]*$", 1)))
+    return raw.select("calibration_id", F.coalesce("court_type", "court_dimensions.type").alias("court_type"), F.coalesce("homography", "homography_matrix").alias("homography"), "reprojection_error_meters", "frame_of_reference")
+
+
+def load_keypoints(spark: SparkSession, path: str) -> DataFrame:
+    """calibration_id, name, x, y, court_x, court_y of the key points of calibration files: a list of points with image and court
+    coordinates, or a map from names to image coordinates (whose court coordinates are null)."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    points = F.get_json_object("value", "$.keypoints")
+    name = F.coalesce(F.get_json_object("value", "$.calibration_id"), F.regexp_extract("file", r"([^/]*)\.[^.]*$", 1))
+    listed = F.from_json(points, "array<struct<name:string,image_coords:array<double>,court_coords:array<double>>>")
+    named = F.transform(F.map_entries(F.from_json(points, "map<string,array<double>>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("image_coords"), F.lit(None).cast("array<double>").alias("court_coords")))
+    every = text.select(name.alias("calibration_id"), F.explode(F.when(points.startswith("["), listed).otherwise(named)).alias("p"))
+    at = lambda kind, i: F.get(F.col(f"p.{kind}_coords"), F.lit(i))
+    return every.select("calibration_id", "p.name", at("image", 0).alias("x"), at("image", 1).alias("y"), at("court", 0).alias("court_x"), at("court", 1).alias("court_y"))
 
 
 VIDEO_TYPES = ("mp4", "mov", "avi", "mkv", "webm")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rallyframe import config
 from rallyframe.functions import geometry as G
-from rallyframe.operators import classifier, court, detections, homography, metrics, pixels, scoring, shots, speed, trackers, trajectory
+from rallyframe.operators import classifier, court, detections, homography, metrics, pixels, scoring, shots, speed, trackers, trajectory, videos
 from rallyframe.plans import catalogue
 from rallyframe.plans.detection_queries import points as match_points
 from rallyframe.plans.track_queries import AFFINE
@@ -237,7 +237,7 @@ def test_pixels(spark):
     flat = np.full((20, 30, 3), 30, np.uint8)
     df = spark.createDataFrame([(0, i, bytearray(x.tobytes()), 20, 30, 0.0, 0.0, 30.0, 20.0) for i, x in enumerate((yellow, flat))], "video_id long, frame_number long, data binary, height int, width int, x1 double, y1 double, x2 double, y2 double")
     rows = detections.quality_flags(pixels.measured(df)).withColumn("yellow", pixels.color_score()).orderBy("frame_number").collect()
-    assert rows[0].yellow == 0.5 and rows[1].yellow == 0 and rows[1].issues == ["too_dark", "blurry"] and rows[1].brightness == 30 and rows[0].sharpness > 80
+    assert rows[0].yellow == 0.5 and rows[1].yellow == 0 and rows[1].issues == ["dark", "blurry"] and rows[1].brightness == 30 and rows[0].sharpness > 80
     found = pixels.detected(df, lambda: lambda image: [(float(image.mean()),)], "mean double")
     assert found.count() == 2
     with pytest.raises(ValueError):
@@ -299,3 +299,48 @@ def test_metrics(spark):
     m = {r["class"]: r for r in metrics.class_report(df).collect()}
     assert m["a"].precision == 1 and m["a"].recall == 0.5 and m["c"].f1 == 0 and m["b"].precision == 0.5
     assert metrics.model_scores(df).first().accuracy == 0.6
+
+
+def test_pixels_of_whole_frames(spark):
+    gray_, white, colour = (np.full((9, 16, 3), v, np.uint8) for v in (50, 250, (10, 20, 200)))
+    white[:, 8:] = 20
+    rows = [(1, f, bytearray(x.tobytes()), 9, 16) for f, x in ((0, gray_), (10, white), (30, white), (90, colour))]
+    df = spark.createDataFrame(rows, "video_id long, frame_number long, data binary, height int, width int")
+    diff = {r.frame_number: r.difference for r in pixels.frame_differences(df).collect()}
+    assert diff == {30: (200 + 30) / 2, 90: (8 * (250 - 73) + 8 * (73 - 20)) / 16}
+    assert pixels.camera_motion(pixels.frame_differences(df)).first().camera == "MOVING"
+    assert [r.p for r in df.select(pixels.white_percent().alias("p"), "frame_number").orderBy("frame_number").collect()] == [0, 50, 50, 0]
+    out = pixels.model_input(df.where("frame_number = 90"), 32, 32).first().tensor
+    tensor = np.frombuffer(out, np.float32).reshape(3, 32, 32)
+    assert np.allclose(tensor[:, 16, 16], np.array([200, 20, 10]) / 255) and np.allclose(tensor[:, 0, 0], 114 / 255) and tensor[0, 6, 0] < 0.5 < tensor[0, 7, 0]
+    ramp = np.repeat(np.arange(0, 160, 10, dtype=np.uint8)[None, :, None], 9, axis=0).repeat(3, axis=2)
+    assert pixels.scaled(ramp, 9, 32)[0, :4, 0].tolist() == [0, 3, 8, 13]
+
+
+def test_calibration_files(spark, tmp_path):
+    points = [{"name": "a", "image_coords": [1.0, 2.0], "court_coords": [0.0, 5.0]}]
+    (tmp_path / "list.json").write_text(json.dumps({"keypoints": points, "homography_matrix": [[1.0, 0, 0], [0, 1, 0], [0, 0, 1]], "court_dimensions": {"type": "singles"}}))
+    (tmp_path / "map.json").write_text(json.dumps({"calibration_id": "m", "keypoints": {"a": [1, 2], "b": [3, 4]}, "homography": [[1.0, 0, 0], [0, 1, 0], [0, 0, 1]]}))
+    found = {(r.calibration_id, r.name, r.x, r.y, r.court_x, r.court_y) for r in tracks.load_keypoints(spark, str(tmp_path)).collect()}
+    assert found == {("list", "a", 1.0, 2.0, 0.0, 5.0), ("m", "a", 1.0, 2.0, None, None), ("m", "b", 3.0, 4.0, None, None)}
+    files = {r.calibration_id: r for r in tracks.load_calibration(spark, str(tmp_path)).collect()}
+    assert files["list"].court_type == "singles" and files["list"].homography == files["m"].homography
+
+
+def test_region(spark):
+    corners = [(10.0, 10.0), (30.0, 10.0), (40.0, 50.0), (0.0, 50.0)]
+    at = spark.createDataFrame([(x + 0.5, y + 0.5) for x in range(-8, 50) for y in range(0, 62)], "x double, y double")
+    inside = lambda x, y: 10 <= y <= 50 and 10 - (y - 10) / 4 <= x <= 30 + (y - 10) / 4
+    near = {(x, y) for x in range(-8, 50) for y in range(0, 62) if any(inside(x + i / 4, y + j / 4) for i in range(-12, 13) for j in range(-12, 13))}
+    got = {(math.floor(r.x), math.floor(r.y)) for r in at.where(detections.in_region(F.col("x"), F.col("y"), corners, F.lit(3.0))).collect()}
+    assert got == near
+
+
+def test_refused_videos(spark):
+    probe = lambda **k: spark.createDataFrame([tuple({"path": "/a/b.mp4", "bytes": 5, "fps": 25.0, "frame_count": 10, "width": 4, "height": 3, "fourcc": 1} .get(x) if x not in k else k[x] for x in ("path", "bytes", "fps", "frame_count", "width", "height", "fourcc"))], "path string, bytes long, fps double, frame_count long, width int, height int, fourcc long")
+    assert videos.described(probe()).first().aspect_ratio == "4:3"
+    for bad, said in (({"fps": 0.0}, "frame rate"), ({"frame_count": 0}, "no frames"), ({"height": 0}, "no size")):
+        with pytest.raises(Exception, match=said):
+            videos.described(probe(**bad)).collect()
+    with pytest.raises(Exception, match="no first frame"):
+        videos.first_frames(spark.createDataFrame([(1,)], "video_id long"), spark.createDataFrame([], "video_id long, frame_number long")).collect()
