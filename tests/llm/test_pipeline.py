@@ -46,3 +46,52 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+CLASHING = ["mix", "row", "kept_id", "n_words", "runs", "items", "contaminated", "text_hash", "score", "lang_pred", "rid", "a.b"]
+
+
+def planted(spark, tmp_path):
+    """A folder of tables with a bit of everything that goes wrong."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    passage = bench.first().text
+    some = docs.first()
+    extra = [
+        (None, None, None, None), (None, "", "en", "src1"), (9001, None, "en", None), (9002, " \n", None, ""), (9003, "12 345", "de", "src2"), (9004, some.text, some.lang, some.source),
+        (9004, some.text, some.lang, some.source), (None, some.text, some.lang, "src3"), (9005, passage, "en", "src1"), (9006, "the house and the garden of the man " * 9000, "en", "src1"), (None, "the house and the garden of the woman and that of the child", "en", None), (9007, "a", "en", "src9"),
+    ]
+    rows = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(rows)
+    for i, c in enumerate(CLASHING):
+        every = every.withColumn(c, F.lit(i))
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_planted_rows_go_through(spark, tmp_path):
+    path = planted(spark, tmp_path)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, path))
+        seen[name] = docs.select("doc_id", *(["text"] if "text" in docs.columns else [])).collect()
+        if name != "token_files":
+            assert docs.columns == columns
+            assert docs.where(" OR ".join(f"`{c}` <> {i}" for i, c in enumerate(CLASHING))).count() == 0
+    ids = lambda name: Counter(r.doc_id for r in seen[name])
+    assert not {9001, 9002, 9003} & set(ids("language")) and ids("language")[9004] == 2
+    texts = [r.text for r in seen["near_duplicates"]]
+    assert len(set(texts)) == len(texts) and 9004 not in ids("near_duplicates") and None in ids("near_duplicates")
+    assert 9005 in ids("near_duplicates") and 9005 not in ids("decontaminate") and 9006 in ids("decontaminate")
+    assert set(ids("mix")) == set(ids("decontaminate")) and all(n >= ids("decontaminate")[i] for i, n in ids("mix").items())
+    assert ids("token_files") == ids("mix")
+
+
+def test_empty_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
