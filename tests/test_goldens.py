@@ -289,6 +289,30 @@ def test_streams_match_batch(spark, tmp_path):
     assert sorted(map(tuple, live_scores.collect())) == sorted(map(tuple, scoring.scoreboard(games).drop("events").collect()))
 
 
+def test_streamed_state(spark, tmp_path):
+    from rallyframe.plans.tracker_queries import ball_frames
+
+    frames = ball_frames(spark, "/root/testdata/sf0.001")
+    half = frames.agg(F.expr("percentile_approx(frame_number, 0.5)")).first()[0]
+    path = str(tmp_path / "frames")
+    for i, part in enumerate((frames.where(f"frame_number <= {half}"), frames.where(f"frame_number > {half}"), frames.where("frame_number < 5"))):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    for tracker in (trackers.KalmanBall,):
+        got = drained(live.stream_tracked(source, tracker, tracker.schema), tracker.__name__).collect()
+        want = trackers.folded(frames, tracker, tracker.schema).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    schema = "match_id long, point_number long, winner string"
+    games = str(tmp_path / "late")
+    spark.createDataFrame([(1, 1, "A"), (1, 3, "A")], schema).coalesce(1).write.parquet(f"{games}/0")
+    spark.createDataFrame([(1, 2, "B"), (1, 4, "B")], schema).coalesce(1).write.parquet(f"{games}/1")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(games)
+    live.stream_scores(stream, idle="30 seconds").writeStream.format("memory").queryName("late_points").trigger(availableNow=True).start().awaitTermination(120)
+    rows = {r.point_number: r for r in spark.table("late_points").collect()}
+    assert rows[2].rejected and rows[2].events == "late" and (rows[4].points_a, rows[4].points_b) == (2, 1)
+    assert live.milliseconds("1.5 minutes") == 90_000
+
+
 def _written(df, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "games"))
     return str(tmp_path / "games")
