@@ -30,12 +30,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each result but the last is written to the shared folder and read again, and deleted once the
+    next one is there (the last stage reads its own files)."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.written(docs)
+        if last is not None:
+            common.dropped(spark, last)
+        last = docs
     return docs
 
 
