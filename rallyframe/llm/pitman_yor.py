@@ -51,7 +51,7 @@ EXACT, SEATED = 64, 256
 NO_WORD = (1 << 32) - 1
 #: Customers of a context in one part.
 SPLIT = 1 << 20
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 
 END_HASH = np.uint64(0x0E4D)
 
