@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from rallyframe.plans import catalogue
 
 #: Median of this many warm runs.
-RUNS = 2
+RUNS = 3
 HEADLINE = (
     "bounce_candidates", "line_calls", "ball_speed_summary", "player_summary", "rally_summary", "shot_features", "candidate_ranking", "temporal_candidates", "select_players", "detection_quality",
     "clip_frames", "scoreboard", "match_statistics", "smoothed_ball", "kalman_ball", "model_scores",
