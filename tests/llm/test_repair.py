@@ -103,7 +103,7 @@ def test_nulls_ties_and_gaps(spark):
     assert set(got) == {1, 2, 3, None}
     # in order: user, assistant a., assistant b., null role x., blank user
     assert (got[1].gaps, got[1].blank, got[1].cost, got[1].audit) == (5, 1, 10, "KKRRD") and got[1].turns[2].role == "user"
-    assert (got[None].gaps, got[None].blank, got[None].cost, got[None].audit) == (None, 1, 10, "DRR")
+    assert (got[None].gaps, got[None].blank, got[None].cost, got[None].audit) == (None, 1, 10, "DIKKI")
     assert (got[2].cost, got[2].audit, got[2].turns, got[2].gaps) == (4, "D", [], 0)
     assert (got[3].duplicate, got[3].gaps, got[3].audit) == (1, 0, "KDI")
     assert repair.repaired(repair.numbered(df.limit(0))).count() == 0
