@@ -137,3 +137,15 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """64-bit hashes of the spans' bytes; equal bytes, equal hash, wherever they lie."""
     _, down = powers(len(sums))
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+#: DuckDB: the table of the checksum, as a common table expression `crc` of one row; crc_sql() needs it in FROM.
+CRC_TABLE_SQL = """crc AS (
+  SELECT list(list_reduce([i::BIGINT] || [0,0,0,0,0,0,0,0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) g(i)
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB's text for the unsigned crc32 of an ASCII text."""
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295::BIGINT)"

@@ -185,15 +185,12 @@ def _sql() -> str:
     first = "list_min([f.s0, f.s1, f.s3])"
     best = lambda *of: f"list_min(list_filter([{', '.join(of)}], lambda x: x IS NOT NULL))"
     return f"""
-WITH RECURSIVE crc AS (
-  SELECT list(list_reduce([i::BIGINT] || [0,0,0,0,0,0,0,0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t
-  FROM range(256) g(i)
-), n AS (
+WITH RECURSIVE {common.CRC_TABLE_SQL}, n AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ' '), coalesce(text, ' ')) AS place
   FROM conversations
 ), k AS (
-  SELECT n.*, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295::BIGINT) % 20 AS kind
+  SELECT n.*, {common.crc_sql("name")} % 20 AS kind
   FROM n, crc
 ), d AS (
   SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, place * 2 + copy AS place,
