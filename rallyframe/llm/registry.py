@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix_dedup", "chat", "language", "secrets", "quality", "mixing", "token_files", "pitman_yor", "simhash", "decontaminate", "merkle", "repair")
+MODULES = ("suffix_dedup", "chat", "language", "secrets", "quality", "mixing", "token_files", "pitman_yor", "simhash", "decontaminate", "merkle", "repair", "main_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
