@@ -90,3 +90,16 @@ def test_threshold_on_labels_held_out(spark):
     get = lambda *k: part.get(k, 0)
     print("held out: good kept", get(True, True), "of", get(True, True) + get(True, False), "bad left out", get(False, False), "of", get(False, True) + get(False, False))
     assert get(True, True) >= 0.95 * (get(True, True) + get(True, False)) and get(False, False) >= 0.8 * (get(False, True) + get(False, False))
+
+
+def test_large_ids_beside_a_null(spark):
+    """2 ** 53 has a label, 2 ** 53 + 1 has none: its text isn't of the target, whatever shares its batch."""
+    good, other = "trusted words " * 30, "unlike others " * 30
+    docs = [(2**53, good), (2**53 + 1, other), (2**62 + 1, other), (0, other)]
+    labels = spark.createDataFrame([(2**53, 1), (2**62, 1)], "doc_id long, quality int")
+    llr = []
+    for more in ([], [(None, "")]):
+        df = spark.createDataFrame([*docs, *more], "doc_id long, text string").coalesce(1)
+        llr.append({r.doc_id: r.llr for r in quality.judged(df, labels).collect()})
+    assert llr[0] == {k: v for k, v in llr[1].items() if k is not None}
+    assert llr[0][2**53] > 0 > llr[0][2**53 + 1] == llr[0][0]
