@@ -128,8 +128,16 @@ class CandidateConfig:
     maximum_aspect_ratio: float = 2.8
     confidence_weight: float = 0.75
     color_weight: float = 0.25
+    fallback_hue_low: int = 18
+    fallback_hue_high: int = 48
+    fallback_minimum_saturation: int = 55
+    fallback_minimum_value: int = 90
+    fallback_minimum_area: float = 3.0
+    fallback_maximum_area: float = 700.0
+    fallback_minimum_circularity: float = 0.15
 
     def __post_init__(self):
+        _check(0 <= self.fallback_minimum_area < self.fallback_maximum_area, "the fallback's areas must rise")
         _check(0 < self.minimum_aspect_ratio < self.maximum_aspect_ratio, "aspect ratios must rise")
         _check(0 < self.maximum_area_ratio <= 1, "maximum_area_ratio must be above 0, up to 1")
 
