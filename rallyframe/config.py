@@ -142,6 +142,40 @@ class CandidateConfig:
         _check(0 < self.maximum_area_ratio <= 1, "maximum_area_ratio must be above 0, up to 1")
 
 
+@dataclass(frozen=True)
+class AssociationConfig:
+    """How boxes of persons become tracks: confidence that starts and continues a track, or only continues one; the least overlap in both
+    stages; frames that a lost track is remembered for."""
+
+    high_confidence: float = 0.25
+    low_confidence: float = 0.1
+    minimum_overlap: float = 0.2
+    minimum_low_overlap: float = 0.5
+    buffer_frames: int = 30
+
+    def __post_init__(self):
+        _check(0 <= self.low_confidence <= self.high_confidence <= 1, "confidences must rise")
+        _check(0 < self.minimum_overlap <= 1 and 0 < self.minimum_low_overlap <= 1, "overlaps must be above 0, up to 1")
+        _check(self.buffer_frames >= 1, "buffer_frames must be at least 1")
+
+
+@dataclass(frozen=True)
+class LineConfig:
+    """Lines by voting: votes, pixels of length and of gaps; the picture's part and the colour that count."""
+
+    votes: int = 55
+    minimum_length: int = 70
+    maximum_gap: int = 20
+    white_threshold: int = 170
+    maximum_white_saturation: int = 95
+    roi_top_ratio: float = 0.20
+    roi_bottom_ratio: float = 1.0
+
+    def __post_init__(self):
+        _check(self.votes >= 1 and self.minimum_length >= 1 and self.maximum_gap >= 1, "votes, length and gap must be positive")
+        _check(0 <= self.roi_top_ratio < self.roi_bottom_ratio <= 1, "the region's ratios must rise")
+
+
 @dataclass(frozen=True)
 class PersonConfig:
     roi_top_ratio: float = 0.15

@@ -20,10 +20,10 @@ class State(Protocol):
     def end(self) -> Iterable[tuple]: ...
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], make: Callable[[], State], schema: str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], make: Callable[[], State], schema: str, placed: bool = False) -> DataFrame:
     """The keys and what the states give for the columns of each row (step) and at the end of a key (end).
 
-    schema: the keys, then the columns of the result."""
+    schema: the keys, then the columns of the result. placed: rows of equal keys are in one partition already."""
     named = [c.split(" ") for c in schema.split(", ")]
     arrow = pa.schema([(n, _KINDS[k]) for n, k in named])
 
@@ -46,4 +46,5 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[str
             yield batch_of(out)
 
     needed = rows.select(*dict.fromkeys([*keys, *order, *columns]))
-    return needed.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    needed = needed if placed else needed.repartition(*keys)
+    return needed.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

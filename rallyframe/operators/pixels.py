@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +23,14 @@ def gray(image: np.ndarray) -> np.ndarray:
     return image @ np.array([0.114, 0.587, 0.299])
 
 
+def whole_gray(image: np.ndarray) -> np.ndarray:
+    """Grey to the nearest whole value, in whole numbers."""
+    return (image.astype(np.int64) @ np.array([114, 587, 299]) + 500) // 1000
+
+
 def sharpness_of(image: np.ndarray) -> float:
     """Variance of the Laplacian, with mirrored borders."""
-    g = np.pad(np.round(gray(image)), 1, mode="reflect")
+    g = np.pad(whole_gray(image), 1, mode="reflect")
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
@@ -86,20 +92,76 @@ def detected(frames: DataFrame, make_detector: Callable[[], Callable[[np.ndarray
 
 @F.pandas_udf(T.DoubleType())
 def _difference(data: pd.Series, before: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else float(np.abs(np.round(gray(image_of(d, h, w))) - np.round(gray(image_of(b, h, w)))).mean()) for d, b, h, w in zip(data, before, height, width)], dtype="float64")
+    return pd.Series([None if b is None or len(b) != len(d) else float(np.abs(whole_gray(image_of(d, h, w)) - whole_gray(image_of(b, h, w))).mean()) for d, b, h, w in zip(data, before, height, width)], dtype="float64")
 
 
 #: The frames of a video that are compared.
 SAMPLED = (0, 30, 90, 150, 210, 270, 330)
 
 
-def frame_differences(frames: DataFrame, sampled: tuple[int, ...] = SAMPLED) -> DataFrame:
-    """video_id, frame_number, difference: the mean absolute difference of grey values of each sampled frame and the one sampled
-    before it. What camera_motion() takes."""
-    some = frames.where(F.col("frame_number").isin(*sampled))
+def frame_differences(frames: DataFrame, sampled: tuple[int, ...] | None = SAMPLED) -> DataFrame:
+    """video_id, frame_number, difference: the mean absolute difference of grey values of each sampled frame (None: of all) and the one
+    sampled before it, if they are of one size. What camera_motion() takes."""
+    some = frames if sampled is None else frames.where(F.col("frame_number").isin(*sampled))
     before = F.lag("data").over(Window.partitionBy("video_id").orderBy("frame_number"))
     some = some.withColumn("before", before).where("before IS NOT NULL")
-    return some.select("video_id", "frame_number", _difference("data", "before", "height", "width").alias("difference"))
+    return some.select("video_id", "frame_number", _difference("data", "before", "height", "width").alias("difference")).where("difference IS NOT NULL")
+
+
+#: What moves less in a box of this half width, on average, stands still.
+BOX, STILL = 10, 5.0
+
+
+class Changes:
+    """Mean change of grey since the video's frame before, in any box in constant time: sums over all cells above and to the left."""
+
+    def __init__(self):
+        self.video, self.before, self.sums = None, None, None
+
+    def frame(self, video: int, image: np.ndarray) -> None:
+        now = whole_gray(image)
+        last = self.before if video == self.video and self.before is not None and self.before.shape == now.shape else None
+        self.sums = None if last is None else np.pad(np.abs(now - last).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        self.video, self.before = video, now
+
+    def around(self, x: float, y: float, reach: int = BOX) -> float | None:
+        """None without a frame before, or of an empty box."""
+        if self.sums is None or x is None or y is None:
+            return None
+        h, w = self.before.shape
+        x1, y1, x2, y2 = max(0, int(x - reach)), max(0, int(y - reach)), min(w, int(x + reach)), min(h, int(y + reach))
+        if x2 <= x1 or y2 <= y1:
+            return None
+        s = self.sums
+        return float(s[y2, x2] - s[y1, x2] - s[y2, x1] + s[y1, x1]) / ((x2 - x1) * (y2 - y1))
+
+
+def with_static(candidates: DataFrame, frames: DataFrame) -> DataFrame:
+    """video_id, frame_number, id, mean_difference and is_static of candidates (video_id, frame_number, id, x, y): whether nothing moved
+    there since the frame before. Frames and candidates of a video go by in one order, so one frame is held; one exchange."""
+    key = ["video_id", "frame_number"]
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    as_ = lambda kind, *names: [F.col(n).cast(kind).alias(n) for n in names]
+    pictures = frames.select(*key, F.lit(0).alias("kind"), *none("long", "id"), *none("double", "x", "y"), "data", *as_("long", "height", "width"))
+    spots = candidates.select(*key, F.lit(1).alias("kind"), *as_("long", "id"), *as_("double", "x", "y"), *none("binary", "data"), *none("long", "height", "width"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        changes, at = Changes(), None
+        for batch in it:
+            rows = []
+            for v, f, kind, i, x, y, data, h, w in zip(*(batch[c].to_pylist() for c in (*key, "kind", "id", "x", "y", "data", "height", "width"))):
+                if kind == 0:
+                    changes.frame(v, image_of(data, h, w))
+                    at = (v, f)
+                else:
+                    mean = changes.around(x, y) if at == (v, f) else None
+                    rows.append((v, f, i, mean, mean is not None and mean < STILL))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], [*key, "id", "mean_difference", "is_static"])
+
+    both = pictures.unionByName(spots).repartition("video_id").sortWithinPartitions(*key, "kind")
+    return both.mapInArrow(run, "video_id long, frame_number long, id long, mean_difference double, is_static boolean")
 
 
 @F.pandas_udf(T.DoubleType())

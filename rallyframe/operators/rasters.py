@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.config import CandidateConfig
+from rallyframe.config import CandidateConfig, LineConfig
 from rallyframe.operators import graphs, pixels
 from rallyframe.sources.shared import Shared
 
@@ -49,6 +49,23 @@ def yellow(hue: tuple[int, int] = (18, 48), saturation: int = 55, value: int = 9
     return lit
 
 
+def white(config: LineConfig = LineConfig()) -> Callable[[np.ndarray], np.ndarray]:
+    """Bright cells of little colour in the part of the picture where a court can be."""
+
+    def lit(image: np.ndarray) -> np.ndarray:
+        _, s, v = np.moveaxis(np.round(pixels.hsv(image)), -1, 0)
+        line = np.arange(len(image))[:, None]
+        inside = (line >= round(len(image) * config.roi_top_ratio)) & (line < min(round(len(image) * config.roi_bottom_ratio), len(image)))
+        return (s <= config.maximum_white_saturation) & (v >= config.white_threshold) & inside
+
+    return lit
+
+
+def points(runs: DataFrame) -> DataFrame:
+    """The cells of all runs, as x and y."""
+    return runs.select(*FRAME, F.explode(F.sequence("a", "b")).alias("x"), "y")
+
+
 def deep(runs: DataFrame, least: Column | int) -> DataFrame:
     """The cells that at least so many of the runs cover, as runs; runs may overlap here."""
     edge = F.explode(F.array(F.struct(c("a").alias("x"), F.lit(1).alias("d")), F.struct((c("b") + 1).alias("x"), F.lit(-1).alias("d"))))

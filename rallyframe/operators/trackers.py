@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.config import CourtConfig, TrackerConfig
+from rallyframe.config import AssociationConfig, CourtConfig, TrackerConfig
 from rallyframe.functions import geometry as G
 from rallyframe.operators import folds
 
@@ -223,6 +223,73 @@ class SegmentedBall:
         return None, None, None, "LOST", self.segment
 
 
+def overlap(a, b) -> int:
+    """Intersection by union of two boxes (x1, y1, x2, y2), in millionths."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0
+    both = w * h
+    return math.floor(both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) * 1e6 + 0.5)
+
+
+class PersonTracks:
+    """Track ids for boxes of persons. Confident boxes are matched first, the rest then with tracks seen in the frame before; in each stage
+    the pair of most overlap goes first (ties: older track, more confident box). A track moves on at its last pace while it
+    isn't seen, and is forgotten after `buffer_frames`; a confident box without a track starts one."""
+
+    schema = "id long, track_id long"
+
+    def __init__(self, config: AssociationConfig = AssociationConfig()):
+        self.config, self.tracks, self.born = config, {}, 0
+
+    @staticmethod
+    def matches(tracks: dict, boxes: list, least: float) -> list[tuple[int, int]]:
+        pairs = ((-overlap(t, b[2:6]), i, k) for i, t in tracks.items() for k, b in boxes)
+        taken, found = (set(), set()), []
+        for share, i, k in sorted(p for p in pairs if -p[0] >= least * 1e6):
+            if i not in taken[0] and k not in taken[1]:
+                taken[0].add(i)
+                taken[1].add(k)
+                found.append((i, k))
+        return found
+
+    def step(self, frame: int, found: list):
+        """found: (id, confidence, x1, y1, x2, y2), most confident first."""
+        at = self.config
+        self.tracks = {i: t for i, t in self.tracks.items() if frame - t[6] <= at.buffer_frames}
+        moved = {i: (t[0] + t[4] * (frame - t[6]), t[1] + t[5] * (frame - t[6]), t[2] + t[4] * (frame - t[6]), t[3] + t[5] * (frame - t[6])) for i, t in self.tracks.items()}
+        found = [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in found]
+        boxes = list(enumerate(found))
+        high = [b for b in boxes if b[1][1] >= at.high_confidence]
+        low = [b for b in boxes if at.low_confidence <= b[1][1] < at.high_confidence]
+        first = self.matches(moved, high, at.minimum_overlap)
+        seen = {i for i, _ in first}
+        left = {i: b for i, b in moved.items() if i not in seen and frame - self.tracks[i][6] == 1}
+        given = {k: i for i, k in first + self.matches(left, low, at.minimum_low_overlap)}
+        for k, b in high:
+            if k not in given:
+                self.born += 1
+                given[k] = self.born
+        for k, i in sorted(given.items()):
+            x1, y1, x2, y2 = found[k][2:6]
+            old = self.tracks.get(i)
+            vx, vy = (0.0, 0.0) if old is None else (((x1 + x2) / 2 - (old[0] + old[2]) / 2) / (frame - old[6]), ((y1 + y2) / 2 - (old[1] + old[3]) / 2) / (frame - old[6]))
+            self.tracks[i] = (x1, y1, x2, y2, vx, vy, frame)
+            yield frame, found[k][0], i
+
+    def end(self):
+        return ()
+
+
+def person_tracks(boxes: DataFrame, config: AssociationConfig = AssociationConfig()) -> DataFrame:
+    """video_id, frame_number, id, track_id of the boxes (video_id, frame_number, id, confidence, x1, y1, x2, y2) that have a track. One
+    exchange by video: the boxes of a frame are grouped where they are."""
+    one = F.struct((-F.col("confidence")).alias("minus"), "id", "confidence", "x1", "y1", "x2", "y2")
+    lists = boxes.repartition("video_id").groupBy("video_id", "frame_number").agg(F.sort_array(F.collect_list(one)).alias("list"))
+    plain = lists.select("video_id", "frame_number", F.transform("list", lambda b: F.struct(*(b[k].alias(k) for k in ("id", "confidence", "x1", "y1", "x2", "y2")))).alias("boxes"))
+    return folds.folded(plain, ["video_id"], ["frame_number"], ["frame_number", "boxes"], lambda: PersonTracks(config), "video_id long, frame_number long, id long, track_id long", placed=True)
+
+
 class StableLabels:
     """Player labels that follow track ids (a candidate's id), far player first; a label is given once in a frame."""
 

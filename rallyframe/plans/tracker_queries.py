@@ -68,6 +68,26 @@ def court_players(spark, sf_dir):
     return trackers.folded(trackers.frames_with_candidates(frames, people), trackers.CourtPlayers, trackers.CourtPlayers.schema)
 
 
+def walkers(spark, sf_dir) -> DataFrame:
+    """Four persons to a frame, each near its own place, of any confidence; some are in nobody's sight."""
+    b = boxes(spark, sf_dir).where("(frame_number * 7 + candidate_id * 3) % 11 > 1")
+    x1, y1 = c("candidate_id") * 45 + F.floor(c("x1") % 40), c("candidate_id") % 2 * 100 + F.floor(c("y1") % 50)
+    return b.select("video_id", "frame_number", c("candidate_id").alias("id"), "confidence", x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (x1 + 50 + c("frame_number") % 13).cast("double").alias("x2"), (y1 + 120 + c("frame_number") % 7).cast("double").alias("y2"))
+
+
+def person_tracks(spark, sf_dir):
+    return trackers.person_tracks(walkers(spark, sf_dir))
+
+
+def associated_labels(spark, sf_dir):
+    """Stable labels by the track ids that association gives."""
+    people = walkers(spark, sf_dir).join(trackers.person_tracks(walkers(spark, sf_dir)), ["video_id", "frame_number", "id"])
+    people = people.select("video_id", "frame_number", c("track_id").alias("id"), ((c("x1") + c("x2")) / 2).alias("x"), c("y2").alias("y"), "confidence", ((c("x2") - c("x1")) * (c("y2") - c("y1"))).alias("score"))
+    frames = people.select("video_id", "frame_number").distinct().withColumn("timestamp_seconds", c("frame_number") / 25.0)
+    out = trackers.folded(trackers.frames_with_candidates(frames, people), trackers.StableLabels, trackers.StableLabels.schema)
+    return out.select("video_id", "frame_number", F.explode("labels").alias("track", "player_label"))
+
+
 def track_summary(spark, sf_dir):
     return trackers.track_summary(smoothed_ball(spark, sf_dir))
 
@@ -91,7 +111,7 @@ def median_ball_speed(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (smoothed_ball, kalman_ball, segmented_ball, stable_labels, zone_players, court_players, track_summary, trajectory_segments, windowed_player_speed, median_ball_speed)
+    for f in (smoothed_ball, kalman_ball, segmented_ball, stable_labels, zone_players, court_players, person_tracks, associated_labels, track_summary, trajectory_segments, windowed_player_speed, median_ball_speed)
 }
 
 _FRAMES_SQL = f"""{BOXES_SQL},
@@ -154,8 +174,8 @@ ball AS (
 
 _FIXED = lambda v: f"CASE WHEN {v} < 0 THEN -1 ELSE 1 END * floor(abs({v}) * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE)"
 
-SEGMENTS_SQL = f"""{_FRAMES_SQL},
-ball AS (
+#: The fold of segmented_ball over any `frames` (video_id, frame_number, t, n, c).
+SEGMENTS_FOLD_SQL = f"""ball AS (
   SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_number, CAST(NULL AS DOUBLE) AS kx, CAST(NULL AS DOUBLE) AS ky, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy,
     CAST(0 AS DOUBLE) AS ka, CAST(0 AS DOUBLE) AS kb, CAST(0 AS DOUBLE) AS kc, CAST(NULL AS DOUBLE) AS seen_at, CAST(NULL AS DOUBLE) AS lx, CAST(NULL AS DOUBLE) AS ly, CAST(NULL AS DOUBLE) AS lt, CAST(NULL AS DOUBLE) AS lv,
     0 AS misses, 0 AS segment, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS confidence, '' AS status FROM frames
@@ -192,12 +212,14 @@ ball AS (
 ),
 segmented AS (SELECT video_id, frame_number, x, y, confidence, status, segment AS segment_id FROM ball WHERE n > 0)"""
 
+SEGMENTS_SQL = f"{_FRAMES_SQL},\n{SEGMENTS_FOLD_SQL}"
+
 _PEOPLE_SQL = f"""{_ZONES_SQL},
 people AS (SELECT video_id, frame_number, zone, candidate_id + frame_number % 3 AS id, foot_x AS x, foot_y AS y, confidence, area AS score FROM zoned WHERE rejection_reason IS NULL),
 numbered AS (SELECT video_id, frame_number, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS n FROM (SELECT DISTINCT video_id, frame_number FROM boxes))"""
 
-LABELS_SQL = f"""{_PEOPLE_SQL},
-turns AS (
+#: The fold of stable_labels over any `people` (video_id, frame_number, id, y, score).
+LABELS_FOLD_SQL = """turns AS (
   SELECT video_id, frame_number, CAST(id AS VARCHAR) AS track, row_number() OVER (PARTITION BY video_id, frame_number ORDER BY y, score DESC, id) AS place, row_number() OVER (PARTITION BY video_id ORDER BY frame_number, y, score DESC, id) AS n FROM people
 ),
 named AS (
@@ -214,6 +236,8 @@ named AS (
   )
 )"""
 
+LABELS_SQL = f"{_PEOPLE_SQL},\n{LABELS_FOLD_SQL}"
+
 ZONES_FOLD_SQL = f"""{_PEOPLE_SQL},
 lists AS (SELECT video_id, frame_number, zone, list(struct_pack(id := id, x := x, y := y, confidence := confidence, score := score) ORDER BY score DESC, id) AS c FROM people GROUP BY ALL),
 frames AS (SELECT n.video_id, z.zone, n.n, n.frame_number, coalesce(c, []) AS c FROM numbered n CROSS JOIN (VALUES ('far'), ('near')) z(zone) LEFT JOIN lists l ON l.frame_number = n.frame_number AND l.video_id = n.video_id AND l.zone = z.zone),
@@ -251,9 +275,61 @@ fold AS (
   )
 )"""
 
+_BOX = "struct_pack(id := t.id, x1 := t.x1 + t.vx * (f - t.seen), y1 := t.y1 + t.vy * (f - t.seen), x2 := t.x2 + t.vx * (f - t.seen), y2 := t.y2 + t.vy * (f - t.seen), seen := t.seen)"
+_SIDE = lambda k: f"least(t.{k}2, d.{k}2) - greatest(t.{k}1, d.{k}1)"
+_BOTH = f"(({_SIDE('x')}) * ({_SIDE('y')}))"
+_OVERLAP = f"CASE WHEN {_SIDE('x')} <= 0 OR {_SIDE('y')} <= 0 THEN 0 ELSE floor({_BOTH} / ((t.x2 - t.x1) * (t.y2 - t.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - {_BOTH}) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) END"
+
+
+def _matched(tracks: str, dets: str, least: int) -> str:
+    """Pairs (ts, ds) taken greedily, most overlap first."""
+    pairs = f"flatten(list_transform({tracks}, lambda t: list_transform({dets}, lambda d: struct_pack(s := -({_OVERLAP}), ts := [t.id], ds := [d.k]))))"
+    return f"""list_reduce([struct_pack(s := CAST(0 AS DOUBLE), ts := CAST([] AS BIGINT[]), ds := CAST([] AS BIGINT[]))] || list_sort(list_filter({pairs}, lambda p: p.s <= -{least})),
+      lambda acc, p: CASE WHEN list_contains(acc.ts, p.ts[1]) OR list_contains(acc.ds, p.ds[1]) THEN acc ELSE struct_pack(s := acc.s, ts := acc.ts || p.ts, ds := acc.ds || p.ds) END)"""
+
+
+_NOW = "struct_pack(id := i, x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2, vx := coalesce(((b.x1 + b.x2) / 2 - (o.x1 + o.x2) / 2) / (f - o.seen), 0), vy := coalesce(((b.y1 + b.y2) / 2 - (o.y1 + o.y2) / 2) / (f - o.seen), 0), seen := f)"
+
+ASSOCIATION_SQL = f"""{BOXES_SQL},
+walked AS (
+  SELECT video_id, frame_number, candidate_id AS id, confidence, CAST(candidate_id * 45 + floor(x1 % 40) AS DOUBLE) AS x1, CAST(candidate_id % 2 * 100 + floor(y1 % 50) AS DOUBLE) AS y1 FROM boxes WHERE (frame_number * 7 + candidate_id * 3) % 11 > 1
+),
+walkers AS (SELECT *, x1 + 50 + frame_number % 13 AS x2, y1 + 120 + frame_number % 7 AS y2 FROM walked),
+seen AS (
+  SELECT video_id, frame_number, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS n, list(struct_pack(k := k, id := id, confidence := confidence, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY k) AS c
+  FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_number ORDER BY confidence DESC, id) AS k FROM walkers) GROUP BY video_id, frame_number
+),
+fold AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS f, CAST(0 AS BIGINT) AS born, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, vx DOUBLE, vy DOUBLE, seen BIGINT)[]) AS tracks, CAST([] AS STRUCT(d BIGINT, i BIGINT)[]) AS given FROM seen
+  UNION ALL
+  SELECT video_id, n, f, born + len(fresh),
+    list_sort(list_filter(tracks, lambda t: NOT list_contains(list_transform(given, lambda g: g.i), t.id)) || list_transform(given, lambda g: list_transform([struct_pack(i := g.i, b := list_filter(c, lambda d: d.k = g.d)[1], o := list_filter(tracks, lambda t: t.id = g.i)[1])], lambda z: {_NOW.replace('b.', 'z.b.').replace('o.', 'z.o.').replace(':= i,', ':= z.i,')})[1])), given
+  FROM (
+    SELECT *, list_transform(range(1, len(m1.ds) + 1), lambda j: struct_pack(d := m1.ds[j], i := m1.ts[j])) || list_transform(range(1, len(m2.ds) + 1), lambda j: struct_pack(d := m2.ds[j], i := m2.ts[j]))
+      || list_transform(fresh, lambda d, j: struct_pack(d := d.k, i := born + j)) AS given
+    FROM (
+      SELECT *, list_filter(high, lambda d: NOT list_contains(m1.ds, d.k)) AS fresh, {_matched("list_filter(moved, lambda t: f - t.seen = 1 AND NOT list_contains(m1.ts, t.id))", "low", 500000)} AS m2
+      FROM (
+        SELECT *, {_matched("moved", "high", 200000)} AS m1
+        FROM (
+          SELECT *, list_transform(tracks, lambda t: {_BOX}) AS moved, list_filter(c, lambda d: d.confidence >= CAST(0.25 AS DOUBLE)) AS high, list_filter(c, lambda d: d.confidence >= CAST(0.1 AS DOUBLE) AND d.confidence < CAST(0.25 AS DOUBLE)) AS low
+          FROM (SELECT s.video_id, s.n, s.frame_number AS f, s.c, g.born, list_filter(g.tracks, lambda t: s.frame_number - t.seen <= 30) AS tracks FROM fold g JOIN seen s ON s.video_id = g.video_id AND s.n = g.n + 1)
+        )
+      )
+    )
+  )
+),
+associated AS (
+  SELECT g.video_id, g.f AS frame_number, list_filter(s.c, lambda d: d.k = g.one.d)[1].id AS id, g.one.i AS track_id
+  FROM (SELECT video_id, n, f, unnest(given) AS one FROM fold) g JOIN seen s ON s.video_id = g.video_id AND s.n = g.n
+)"""
+
 _STEPS = "sqrt((court_x - lag(court_x) OVER w) * (court_x - lag(court_x) OVER w) + (court_y - lag(court_y) OVER w) * (court_y - lag(court_y) OVER w))"
 
 ORACLE = {
+    "person_tracks": f"WITH RECURSIVE {ASSOCIATION_SQL} SELECT * FROM associated",
+    "associated_labels": f"""WITH RECURSIVE {ASSOCIATION_SQL}, people AS (SELECT video_id, frame_number, track_id AS id, y2 AS y, (x2 - x1) * (y2 - y1) AS score FROM associated JOIN walkers USING (video_id, frame_number, id)),
+      {LABELS_FOLD_SQL} SELECT video_id, frame_number, track, player_label FROM named WHERE n > 0""",
     "segmented_ball": f"WITH RECURSIVE {SEGMENTS_SQL} SELECT * FROM segmented",
     "trajectory_segments": f"WITH RECURSIVE {SEGMENTS_SQL} SELECT video_id, count(DISTINCT segment_id) AS segments, count(*) AS confirmed FROM segmented WHERE status = 'DETECTED' GROUP BY 1",
     "stable_labels": f"WITH RECURSIVE {LABELS_SQL} SELECT video_id, frame_number, track, player_label FROM named WHERE n > 0",
