@@ -37,6 +37,19 @@ def frames_with_candidates(frames: DataFrame, candidates: DataFrame) -> DataFram
     return joined.select(*frames.columns, F.coalesce(plain, F.array().cast(CANDIDATE)).alias("candidates"))
 
 
+class Kept:
+    """What a tracker must hold between batches of a stream: columns of a row (STATE), and a map from track ids (MAP)."""
+
+    STATE = ""
+    MAP: tuple[str, str] | None = None
+
+    def saved(self) -> tuple[tuple, dict]:
+        raise NotImplementedError
+
+    def restore(self, values: tuple, known: dict) -> None:
+        raise NotImplementedError
+
+
 class Frames:
     """A tracker as the state of a fold."""
 
@@ -56,7 +69,7 @@ def folded(frames: DataFrame, make: Callable[[], object], schema: str, keys: str
     return folds.folded(frames, names, ["frame_number"], ["frame_number", "timestamp_seconds", "candidates"], lambda: Frames(make()), f"{keys}, frame_number long, {schema}")
 
 
-class SmoothedBall:
+class SmoothedBall(Kept):
     """A ball by exponential smoothing of position and velocity; missed frames are bridged by prediction."""
 
     schema = "x double, y double, vx double, vy double, source string, missed int"
@@ -64,6 +77,15 @@ class SmoothedBall:
     def __init__(self, config: TrackerConfig = TrackerConfig()):
         self.config, self.at, self.time, self.v, self.missed = config, None, None, (0.0, 0.0), 0
 
+    STATE = "x double, y double, time double, vx double, vy double, missed int"
+
+    def saved(self):
+        return (*(self.at or (None, None)), self.time, *self.v, self.missed), {}
+
+    def restore(self, values, known):
+        x, y, self.time, *v, self.missed = values
+        self.at, self.v = None if x is None else (x, y), tuple(v)
+
     def predicted(self, time: float):
         if self.at is None or self.time is None or time - self.time <= 0:
             return self.at
@@ -118,6 +140,23 @@ class Axis:
     def __init__(self, at: float):
         self.p, self.v, self.cov = at, 0.0, (1000.0, 0.0, 1000.0)
 
+    @staticmethod
+    def columns(name: str) -> str:
+        return ", ".join(f"{name}_{k} double" for k in ("p", "v", "a", "b", "c"))
+
+    def saved(self) -> tuple:
+        return self.p, self.v, *self.cov
+
+    @classmethod
+    def pair(cls, values: tuple) -> tuple[Axis, Axis] | None:
+        """The two axes that saved() gave these ten values."""
+        if values[0] is None:
+            return None
+        out = cls(values[0]), cls(values[5])
+        for axis, (p, v, *cov) in zip(out, (values[:5], values[5:]), strict=True):
+            axis.p, axis.v, axis.cov = p, v, tuple(cov)
+        return out
+
     def predict(self, dt: float) -> None:
         a, b, c = self.cov
         self.p += self.v * dt
@@ -131,7 +170,7 @@ class Axis:
         self.cov = (a - a * a / s, b - a * b / s, c - b * b / s)
 
 
-class KalmanBall:
+class KalmanBall(Kept):
     """A ball by Kalman filter: the candidate of most confidence near the prediction; up to 9 frames are bridged."""
 
     schema = "x double, y double, vx double, vy double, source string, missed int"
@@ -140,6 +179,14 @@ class KalmanBall:
     def __init__(self):
         self.axes, self.time, self.missed = None, None, 0
 
+    STATE = f"{Axis.columns('x')}, {Axis.columns('y')}, time double, missed int"
+
+    def saved(self):
+        return (*(v for a in self.axes for v in a.saved()), self.time, self.missed) if self.axes else ((None,) * 10 + (self.time, self.missed)), {}
+
+    def restore(self, values, known):
+        self.axes, (self.time, self.missed) = Axis.pair(values[:10]), values[10:]
+
     def step(self, time: float, found: list):
         if self.axes:
             for a in self.axes:
@@ -167,7 +214,7 @@ class KalmanBall:
         return *(fixed(a.p) for a in self.axes), *(fixed(a.v) for a in self.axes), source, self.missed
 
 
-class SegmentedBall:
+class SegmentedBall(Kept):
     """A ball whose confirmed points come in segments: a detection that can't be reached, or a long loss, starts a new one.
     A candidate's score weighs confidence, appearance (here `score`), nearness and motion (what stands still, as lines and
     boards do, loses); 0.3 is needed."""
@@ -177,6 +224,16 @@ class SegmentedBall:
     def __init__(self):
         self.kalman, self.time, self.last, self.misses, self.segment = None, None, None, 0, 0
 
+    STATE = f"{Axis.columns('x')}, {Axis.columns('y')}, time double, last_x double, last_y double, last_time double, last_speed double, misses int, segment int"
+
+    def saved(self):
+        axes = tuple(v for a in self.kalman for v in a.saved()) if self.kalman else (None,) * 10
+        return (*axes, self.time, *(self.last or (None,) * 4), self.misses, self.segment), {}
+
+    def restore(self, values, known):
+        self.kalman, self.time, last = Axis.pair(values[:10]), values[10], values[11:15]
+        self.last, (self.misses, self.segment) = None if last[0] is None else tuple(last), values[15:]
+
     @staticmethod
     def rating(one, target) -> float:
         total = 0.25 * one["confidence"] + 0.25 * one["score"]
@@ -290,7 +347,7 @@ def person_tracks(boxes: DataFrame, config: AssociationConfig = AssociationConfi
     return folds.folded(plain, ["video_id"], ["frame_number"], ["frame_number", "boxes"], lambda: PersonTracks(config), "video_id long, frame_number long, id long, track_id long", placed=True)
 
 
-class StableLabels:
+class StableLabels(Kept):
     """Player labels that follow track ids (a candidate's id), far player first; a label is given once in a frame."""
 
     schema = "labels map<string,string>"
@@ -299,6 +356,14 @@ class StableLabels:
     def __init__(self):
         self.known: dict[int, str] = {}
 
+    MAP = ("track long", "label string")
+
+    def saved(self):
+        return (), self.known
+
+    def restore(self, values, known):
+        self.known = dict(known)
+
     def step(self, time: float, found: list):
         used: set[str] = set()
         out = {}
@@ -315,7 +380,7 @@ class StableLabels:
         return (list(out.items()),)
 
 
-class ZonePlayer:
+class ZonePlayer(Kept):
     """The player of one zone: the only candidate, or the best by confidence, size (score: the box's area) and nearness to
     the last place, which is kept for 30 missed frames."""
 
@@ -324,6 +389,15 @@ class ZonePlayer:
     def __init__(self, reach: float = 200.0, most: int = 30):
         self.at, self.missed, self.reach, self.most = None, 0, reach, most
 
+    STATE = "x double, y double, missed int"
+
+    def saved(self):
+        return (*(self.at or (None, None)), self.missed), {}
+
+    def restore(self, values, known):
+        x, y, self.missed = values
+        self.at = None if x is None else (x, y)
+
     def rating(self, one) -> float:
         total = 0.3 * one["confidence"] + 0.001 * math.sqrt(one["score"])
         if self.at is not None and (d := math.hypot(one["x"] - self.at[0], one["y"] - self.at[1])) < self.reach:
@@ -341,7 +415,7 @@ class ZonePlayer:
         return int(one["id"]), one["x"], one["y"], "only_candidate" if len(found) == 1 else "best_scored"
 
 
-class CourtPlayers:
+class CourtPlayers(Kept):
     """Players A and B among persons in court metres (y grows away from the camera; score: the box's area), with track ids
     that are remembered."""
 
@@ -350,6 +424,14 @@ class CourtPlayers:
     def __init__(self, court: CourtConfig = CourtConfig()):
         self.court, self.ids = court, (set(), set())
 
+    MAP = ("track long", "players int")  # 1: player A, 2: player B, 3: has been both
+
+    def saved(self):
+        return (), {i: (i in self.ids[0]) + 2 * (i in self.ids[1]) for i in self.ids[0] | self.ids[1]}
+
+    def restore(self, values, known):
+        self.ids = {i for i, who in known.items() if who & 1}, {i for i, who in known.items() if who & 2}
+
     def step(self, time: float, found: list):
         if not found:
             return None, None

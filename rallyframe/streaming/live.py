@@ -1,17 +1,11 @@
-"""Streaming twins: rallies as session windows, detection rates in sliding windows, scoring and trackers with state."""
+"""Windows over streams: rallies as session windows, detection rates in sliding windows."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rallyframe.config import ScoringConfig, ShotConfig
-from rallyframe.operators.scoring import BOARD, COUNTS, Score
+from rallyframe.config import ShotConfig
 
 
 def event_time(points: DataFrame) -> DataFrame:
@@ -32,76 +26,3 @@ def stream_detection_rate(points: DataFrame, size: str = "5 seconds", slide: str
     """Points and detected points of each window of a track."""
     windows = event_time(points).withWatermark("event_time", late).groupBy("track_id", F.window("event_time", size, slide).alias("w"))
     return windows.agg(F.count("*").alias("points"), F.count_if(~F.col("predicted")).alias("detected")).select("track_id", F.col("w.start").alias("window_start"), "points", "detected")
-
-
-_STATE = ", ".join(f"{c} int" for c in COUNTS) + ", in_tiebreak boolean, match_winner string, last_point long"
-
-
-def stream_scores(points: DataFrame, config: ScoringConfig = ScoringConfig(), idle: str | None = None) -> DataFrame:
-    """The score after each point of a stream of match_id, point_number, winner; the state of a match is eleven values, and is
-    dropped when the match has had no point for `idle` (such as `1 hour`; none: it is kept). Points of a batch are sorted; one that comes after a later point
-    of its match has been scored is rejected with the event `late`."""
-    keep, timeout = expiry(idle)
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        score, last = Score(config), None
-        if state.exists:
-            *counts, score.in_tiebreak, winner, last = state.get
-            score.points, score.games, score.sets, score.tie = (list(counts[i : i + 2]) for i in (0, 2, 4, 6))
-            score.winner = None if winner is None else "AB".index(winner)
-        pdf = pd.concat(batches).sort_values("point_number", kind="stable")
-        rows = []
-        for number, winner in zip(pdf["point_number"].tolist(), pdf["winner"]):
-            late = last is not None and number < last
-            events = ["late"] if late else score.award("AB".index(winner))
-            last = number if last is None else max(last, number)
-            won = None if score.winner is None else "AB"[score.winner]
-            rows.append((key[0], number, winner, late or events is None, score.in_tiebreak, *score.points, *score.games, *score.sets, *score.tie, won, ",".join(events or [])))
-        state.update((*score.points, *score.games, *score.sets, *score.tie, score.in_tiebreak, None if score.winner is None else "AB"[score.winner], last))
-        if keep:
-            state.setTimeoutDuration(keep)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in BOARD.split(", ")])
-
-    return points.select("match_id", "point_number", "winner").groupBy("match_id").applyInPandasWithState(fold, BOARD, _STATE, "append", timeout)
-
-
-def expiry(idle: str | None) -> tuple[int, str]:
-    return (milliseconds(idle), GroupStateTimeout.ProcessingTimeTimeout) if idle else (0, GroupStateTimeout.NoTimeout)
-
-
-def milliseconds(text: str) -> int:
-    """Of a number and a unit, such as `10 minutes`."""
-    number, unit = text.split()
-    return int(float(number) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
-
-
-def stream_tracked(frames: DataFrame, make: Callable[[], object], schema: str, idle: str | None = None) -> DataFrame:
-    """A tracker over a stream of frames with their candidates (as trackers.frames_with_candidates makes them): one row for each frame,
-    as trackers.folded gives. The tracker of a video is its state, and is dropped when no frame has come for `idle` (none: it is kept).
-    Frames of a batch are sorted; one that comes after a later frame of its video gives no row."""
-    (keep, timeout), names = expiry(idle), ["video_id", "frame_number", *(c.split(" ")[0] for c in schema.split(", "))]
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker, last = make(), -1
-        if state.exists:
-            raw, last = state.get
-            tracker = pickle.loads(bytes(raw))
-        pdf = pd.concat(batches).sort_values("frame_number", kind="stable")
-        rows = []
-        for frame, time, found in zip(pdf["frame_number"].tolist(), pdf["timestamp_seconds"].tolist(), pdf["candidates"]):
-            if frame > last:
-                rows.append((key[0], frame, *tracker.step(time, [c if isinstance(c, dict) else c.asDict() for c in found])))
-                last = frame
-        state.update((pickle.dumps(tracker), last))
-        if keep:
-            state.setTimeoutDuration(keep)
-        yield pd.DataFrame(rows, columns=names)
-
-    out = f"video_id long, frame_number long, {schema}"
-    return frames.select("video_id", "frame_number", "timestamp_seconds", "candidates").groupBy("video_id").applyInPandasWithState(fold, out, "tracker binary, last long", "append", timeout)
