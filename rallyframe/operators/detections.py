@@ -109,6 +109,30 @@ def select_players(people: DataFrame, config: PersonConfig = PersonConfig()) ->
     return top.withColumns({"player_label": label, "court_side": F.when(side == 1, "far").otherwise("near")})
 
 
+def marked(boxes: DataFrame, persons: PersonConfig = PersonConfig(), balls: CandidateConfig = CandidateConfig()) -> DataFrame:
+    """Boxes with geometry, player_label of those that select_players(court_people()) takes, and ball_rank of those that ball_candidates()
+    takes; null of all others. Both rank in windows inside a frame: boxes that are partitioned by frame or by video are read once and
+    not exchanged."""
+    h = c("frame_height")
+    person = (c("foot_y") >= persons.roi_top_ratio * h) & (c("foot_y") <= persons.roi_bottom_ratio * h) & (c("box_height") >= persons.minimum_height_ratio * h)
+    ball = (c("area") >= balls.minimum_box_area) & (c("area_ratio") <= balls.maximum_area_ratio) & c("aspect_ratio").between(balls.minimum_aspect_ratio, balls.maximum_aspect_ratio)
+    out = with_geometry(boxes).withColumns({"is_person": person, "is_ball": ball})
+    out = out.withColumns({"selection_score": G.fixed(c("confidence") * F.sqrt(F.greatest(c("area"), F.lit(1.0))), 4), "ranking_score": F.round(c("confidence") * balls.confidence_weight + c("color_score") * balls.color_weight, 4)})
+    place = lambda kind, score: F.row_number().over(Window.partitionBy(*FRAME, kind).orderBy(F.desc(score), "candidate_id"))
+    out = out.withColumns({"place": F.when(c("is_person"), place("is_person", "selection_score")), "ball_rank": F.when(c("is_ball"), place("is_ball", "ranking_score"))})
+    out = out.withColumn("is_player", F.coalesce(c("place") <= persons.max_players, F.lit(False)))
+    side = F.row_number().over(Window.partitionBy(*FRAME, "is_player").orderBy("foot_y", "place"))
+    label = F.when(side == 1, "Player A").when(side == 2, "Player B").otherwise(F.format_string("Player %d", side))
+    return out.withColumn("player_label", F.when(c("is_player"), label)).drop("is_person", "is_ball", "is_player", "place")
+
+
+def presence(boxes: DataFrame) -> DataFrame:
+    """What detection_quality() takes, of every frame of marked() boxes: has_a, has_b and ball."""
+    best = F.max(F.when(c("ball_rank") == 1, F.when(c("confidence") >= 0.5, "detected").otherwise("predicted")))
+    label = lambda name: F.coalesce(F.bool_or(c("player_label") == name), F.lit(False))
+    return boxes.groupBy(*FRAME).agg(label("Player A").alias("has_a"), label("Player B").alias("has_b"), F.coalesce(best, F.lit("lost")).alias("ball"))
+
+
 def court_rejections(persons: DataFrame, h: G.Matrix, config: PersonConfig = PersonConfig(), court: CourtConfig = CourtConfig()) -> DataFrame:
     """Adds the court position of the feet and rejection_reason (null: kept); the first reason that holds."""
     x, y = G.project(h, c("foot_x"), c("foot_y"))
@@ -215,23 +239,27 @@ def quality_flags(frames: DataFrame, dark: float = 45.0, bright: float = 210.0,
     return out.withColumn("issues", issues).withColumn("acceptable", F.size("issues") == 0)
 
 
-def frame_documents(frames: DataFrame, players: DataFrame, balls: DataFrame) -> DataFrame:
-    """A nested document for each frame: players in order of label, and the ball or null; ready for write.json."""
-    people = players.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(c("player_label").alias("label"), F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence"))).alias("players"))
-    ball = balls.groupBy(*FRAME).agg(F.min(F.struct("rank", c("center_x").alias("x"), c("center_y").alias("y"), "confidence")).alias("best"))
-    out = frames.select(*FRAME).join(people, list(FRAME), "left").join(ball, list(FRAME), "left")
-    none = F.array().cast("array<struct<label:string,bbox:array<double>,confidence:double>>")
-    return out.select(*FRAME, F.coalesce("players", none).alias("players"), F.when(c("best").isNotNull(), F.struct("best.x", "best.y", "best.confidence")).alias("ball"))
-
-
-def overlay_plan(frames: DataFrame, players: DataFrame, balls: DataFrame, tail: int = 30) -> DataFrame:
-    """What a renderer draws on each frame: primitive, coordinates, text. The tail of a ball is its last positions."""
-    boxes = players.select(*FRAME, F.lit("box").alias("primitive"), c("x1").alias("ax"), c("y1").alias("ay"), c("x2").alias("bx"), c("y2").alias("by"), c("player_label").alias("caption"))
-    seen = balls.where("rank = 1").select(*FRAME, "center_x", "center_y")
-    before = Window.partitionBy("video_id").orderBy("frame_number")
-    marks = seen.select(*FRAME, F.lit("marker").alias("primitive"), c("center_x").alias("ax"), c("center_y").alias("ay"), c("center_x").alias("bx"), c("center_y").alias("by"), F.lit("ball").alias("caption"))
-    legs = seen.select(*FRAME, F.lag("center_x").over(before).alias("ax"), F.lag("center_y").over(before).alias("ay"), c("center_x").alias("bx"), c("center_y").alias("by")).where("ax IS NOT NULL")
-    # a leg is drawn on its own frame and on those after it while it is among the last ones
-    drawn = legs.select("video_id", F.explode(F.sequence(c("frame_number"), c("frame_number") + tail - 1)).alias("frame_number"), F.lit("tail").alias("primitive"), "ax", "ay", "bx", "by", F.lit("").alias("caption"))
-    every = boxes.unionByName(marks).unionByName(drawn)
-    return every.join(frames.select(*FRAME), list(FRAME), "left_semi")
+def frame_documents(boxes: DataFrame) -> DataFrame:
+    """A nested document for each frame of marked() boxes: players in order of label, and the ball or null; ready for write.json."""
+    player = F.when(c("player_label").isNotNull(), F.struct(c("player_label").alias("label"), F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence"))
+    ball = F.max(F.when(c("ball_rank") == 1, F.struct(c("center_x").alias("x"), c("center_y").alias("y"), "confidence")))
+    return boxes.groupBy(*FRAME).agg(F.sort_array(F.collect_list(player)).alias("players"), ball.alias("ball"))
+
+
+def overlay_plan(boxes: DataFrame, tail: int = 30) -> DataFrame:
+    """What a renderer draws on each frame of marked() boxes: primitive, coordinates, text. The tail of a ball is the steps it took in the
+    last frames, which each frame has as an array; rows are made of it at the end alone. With boxes partitioned by video, nothing is
+    exchanged here."""
+
+    def drawn(primitive, ax, ay, bx, by, caption):
+        return F.struct(F.lit(primitive).alias("primitive"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), caption.alias("caption"))
+
+    box = F.when(c("player_label").isNotNull(), drawn("box", c("x1"), c("y1"), c("x2"), c("y2"), c("player_label")))
+    ball = F.max(F.when(c("ball_rank") == 1, F.struct(c("center_x").alias("x"), c("center_y").alias("y"))))
+    frames = boxes.groupBy(*FRAME).agg(F.collect_list(box).alias("boxes"), ball.alias("ball"))
+    video = Window.partitionBy("video_id").orderBy("frame_number")
+    last = F.last("ball", ignorenulls=True).over(video.rowsBetween(Window.unboundedPreceding, -1))
+    leg = F.when(c("ball").isNotNull() & c("last").isNotNull(), drawn("tail", c("last.x"), c("last.y"), c("ball.x"), c("ball.y"), F.lit("")))
+    frames = frames.withColumn("last", last).withColumn("leg", leg).withColumn("tail", F.collect_list("leg").over(video.rangeBetween(1 - tail, 0)))
+    marker = F.array_compact(F.array(F.when(c("ball").isNotNull(), drawn("marker", c("ball.x"), c("ball.y"), c("ball.x"), c("ball.y"), F.lit("ball")))))
+    return frames.select(*FRAME, F.inline(F.concat("boxes", marker, "tail")))

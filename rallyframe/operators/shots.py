@@ -25,78 +25,97 @@ def rallies(points: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
     return kept.withColumn("rally_id", number.cast("long")).drop("starts", "part", "part_points")
 
 
-SHOT_POINT = "track_id long, rally_id long, shot_in_rally long, place long, frame_number long, timestamp_seconds double, x double, y double, predicted boolean"
-
-
-def split_rally(frames, times, xs, ys, config: ShotConfig) -> list[list[int]]:
-    """Shots as lists of point numbers. A sharp turn or a long duration starts a new shot with the last two points; steps
-    that are too small neither turn nor end a shot."""
-    shots, own, last = [], [0], None
-    for i in range(1, len(frames)):
-        dx, dy = xs[i] - xs[i - 1], ys[i] - ys[i - 1]
-        if math.sqrt(dx * dx + dy * dy) < config.minimum_motion_pixels:
-            own.append(i)
-            continue
-        angle = math.degrees(math.atan2(dy, dx))
-        turn = 0.0
-        if last is not None:
-            turn = abs(angle - last)
-            turn = min(turn, 360.0 - turn)
-        if (turn >= config.direction_change_degrees or times[i] - times[own[0]] >= config.maximum_shot_seconds) and len(own) >= config.minimum_shot_points:
-            shots.append(own)
-            own = [i - 1, i]
-        else:
-            own.append(i)
-        last = angle
-    if len(own) >= config.minimum_shot_points:
-        shots.append(own)
-    return shots
-
-
-class Rally:
-    """The points of a rally; its shots, or their number, are told at its end."""
-
-    def __init__(self, config: ShotConfig, count: bool = False):
-        self.config, self.count, self.points = config, count, []
+#: A point of a shot, with the points before it in the shot: one (p_) and two (pp_).
+SHOT_POINT = "track_id long, rally_id long, shot_in_rally long, shot_id long, place long, frame_number long, timestamp_seconds double, x double, y double, predicted boolean, p_timestamp_seconds double, p_x double, p_y double, pp_x double, pp_y double"
+
+
+class Splitter:
+    """Splits the points of a rally (frame_number, timestamp_seconds, x, y, ...), one by one. A sharp turn or a long duration starts a new
+    shot with the last two points; steps that are too small neither turn nor end a shot. Only the points of one shot are held."""
+
+    def __init__(self, config: ShotConfig):
+        self.config, self.own, self.last = config, [], None
+
+    def add(self, point: tuple) -> list | None:
+        """The shot that this point ends."""
+        done = None
+        if self.own:
+            dx, dy = point[2] - self.own[-1][2], point[3] - self.own[-1][3]
+            if math.sqrt(dx * dx + dy * dy) >= self.config.minimum_motion_pixels:
+                angle, turn = math.degrees(math.atan2(dy, dx)), 0.0
+                if self.last is not None:
+                    turn = abs(angle - self.last)
+                    turn = min(turn, 360.0 - turn)
+                ends = turn >= self.config.direction_change_degrees or point[1] - self.own[0][1] >= self.config.maximum_shot_seconds
+                if ends and len(self.own) >= self.config.minimum_shot_points:
+                    done, self.own = self.own, self.own[-1:]
+                self.last = angle
+        self.own.append(point)
+        return done
+
+    def rest(self) -> list | None:
+        return self.own if len(self.own) >= self.config.minimum_shot_points else None
+
+
+class TrackShots:
+    """The shots of all rallies of a track, numbered in each rally and through the track."""
+
+    def __init__(self, config: ShotConfig):
+        self.config, self.rally, self.splitter, self.in_rally, self.shots = config, None, None, 0, 0
+
+    def told(self, shot: list | None):
+        if not shot:
+            return []
+        self.in_rally += 1
+        self.shots += 1
+        lag = lambda k, back: shot[k - back][1:4] if k >= back else (None,) * 3
+        return [(self.rally, self.in_rally, self.shots, k, *point, *lag(k, 1), *lag(k, 2)[1:]) for k, point in enumerate(shot)]
+
+    def step(self, rally: int, *point):
+        if rally == self.rally:
+            return self.told(self.splitter.add(point))
+        out = self.end()
+        self.rally, self.splitter, self.in_rally = rally, Splitter(self.config), 0
+        self.splitter.add(point)
+        return out
+
+    def end(self):
+        return self.told(self.splitter.rest()) if self.splitter else []
+
+
+class RallyCounts:
+    """First and last time, points and shots of a rally, told at its end."""
+
+    def __init__(self, config: ShotConfig):
+        self.splitter, self.first, self.last, self.points, self.shots = Splitter(config), math.inf, -math.inf, 0, 0
 
     def step(self, *point):
-        self.points.append(point)
+        self.first, self.last = min(self.first, point[1]), max(self.last, point[1])
+        self.points += 1
+        self.shots += self.splitter.add(point) is not None
         return ()
 
     def end(self):
-        shots = split_rally(*zip(*(p[:4] for p in self.points)), self.config)
-        if self.count:
-            times = [p[1] for p in self.points]
-            return [(min(times), max(times), len(times), len(shots))]
-        return [(k, place, *self.points[i]) for k, s in enumerate(shots, 1) for place, i in enumerate(s)]
-
-
-IN_RALLY = ["track_id", "rally_id"], ["timestamp_seconds", "frame_number"], ["frame_number", "timestamp_seconds", "x", "y", "predicted"]
+        return [(self.first, self.last, self.points, self.shots + (self.splitter.rest() is not None))]
 
 
 def shot_points(rally_points: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
-    """The points of each shot in order; neighbouring shots share points. An ordered fold over each rally: where a shot ends
-    depends on where it began."""
-    return folds.folded(rally_points, *IN_RALLY, lambda: Rally(config), SHOT_POINT)
+    """The points of each shot in order; neighbouring shots share points. An ordered fold over each track: where a shot ends depends on
+    where it began, and its points bring what they follow."""
+    order = ["rally_id", "timestamp_seconds", "frame_number"]
+    return folds.folded(rally_points, ["track_id"], order, ["rally_id", "frame_number", "timestamp_seconds", "x", "y", "predicted"], lambda: TrackShots(config), SHOT_POINT)
 
 
 def shot_features(shot_rows: DataFrame) -> DataFrame:
     """The features of each shot, named as in the dataset; shot_id counts through all rallies of a track."""
-    w = Window.partitionBy("track_id", "rally_id", "shot_in_rally").orderBy("place")
     c = F.col
-    steps = shot_rows.withColumns({f"p_{k}": F.lag(k).over(w) for k in ("timestamp_seconds", "x", "y")})
     dt = c("timestamp_seconds") - c("p_timestamp_seconds")
-    steps = steps.withColumns(
-        {
-            "moved": G.distance(c("p_x"), c("p_y"), c("x"), c("y")),
-            "speed": F.when(dt > 0, F.try_divide(G.distance(c("p_x"), c("p_y"), c("x"), c("y")), dt)),
-            "angle": F.when(c("p_x").isNotNull(), G.heading(c("x") - c("p_x"), c("y") - c("p_y"))),
-        }
-    )
-    steps = steps.withColumn("turn", G.wrapped_difference(F.lag("angle").over(w), c("angle")))
+    heading = lambda x0, y0, x1, y1: F.when(c(x0).isNotNull(), G.heading(c(x1) - c(x0), c(y1) - c(y0)))
+    steps = shot_rows.withColumns({"moved": G.distance(c("p_x"), c("p_y"), c("x"), c("y")), "angle": heading("p_x", "p_y", "x", "y"), "p_angle": heading("pp_x", "pp_y", "p_x", "p_y")})
+    steps = steps.withColumns({"speed": F.when(dt > 0, F.try_divide(c("moved"), dt)), "turn": G.wrapped_difference(c("p_angle"), c("angle"))})
     first, last = (lambda k: F.min_by(k, "place")), (lambda k: F.max_by(k, "place"))
     r = lambda v: F.round(F.coalesce(v, F.lit(0.0)), 4)
-    out = steps.groupBy("track_id", "rally_id", "shot_in_rally").agg(
+    return steps.groupBy("track_id", "rally_id", "shot_in_rally", "shot_id").agg(
         first("frame_number").alias("start_frame"),
         last("frame_number").alias("end_frame"),
         r(first("timestamp_seconds")).alias("start_time"),
@@ -119,12 +138,11 @@ def shot_features(shot_rows: DataFrame) -> DataFrame:
         r(F.max("turn")).alias("max_direction_change_degrees"),
         r(F.avg(c("predicted").cast("int"))).alias("predicted_point_ratio"),
     )
-    return out.withColumn("shot_id", F.row_number().over(Window.partitionBy("track_id").orderBy("rally_id", "shot_in_rally")).cast("long"))
 
 
 def rally_summary(rally_points: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
     """A row for each rally, with its number of shots; one fold gives both."""
-    out = folds.folded(rally_points, *IN_RALLY, lambda: Rally(config, count=True), "track_id long, rally_id long, start_time double, end_time double, trajectory_points long, shot_count long")
+    out = folds.folded(rally_points, ["track_id", "rally_id"], ["timestamp_seconds", "frame_number"], ["frame_number", "timestamp_seconds", "x", "y"], lambda: RallyCounts(config), "track_id long, rally_id long, start_time double, end_time double, trajectory_points long, shot_count long")
     return out.withColumns({k: F.round(k, 3) for k in ("start_time", "end_time")})
 
 

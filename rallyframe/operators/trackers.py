@@ -30,11 +30,13 @@ def frames_with_candidates(frames: DataFrame, candidates: DataFrame) -> DataFram
     (ties: id). candidates: video_id, frame_number, id, x, y, confidence, score, and is_static where it is known."""
     if "is_static" not in candidates.columns:
         candidates = candidates.withColumn("is_static", F.lit(False))
-    c = candidates.select("video_id", "frame_number", F.struct((-F.col("score")).alias("minus"), "id", "x", "y", "confidence", "score", "is_static").alias("c"))
-    lists = c.groupBy("video_id", "frame_number").agg(F.sort_array(F.collect_list("c")).alias("list"))
-    joined = frames.join(lists, ["video_id", "frame_number"], "left")
+    rest = [k for k in frames.columns if k not in ("video_id", "frame_number")]
+    one = F.struct((-F.col("score")).alias("minus"), "id", "x", "y", "confidence", "score", "is_static").alias("c")
+    # frames and candidates meet by video, where the fold wants them: one exchange instead of a join by frame and another one
+    both = frames.withColumn("is_frame", F.lit(True)).unionByName(candidates.select("video_id", "frame_number", one), allowMissingColumns=True).repartition("video_id")
+    met = both.groupBy("video_id", "frame_number").agg(F.max("is_frame").alias("is_frame"), *(F.any_value(k, True).alias(k) for k in rest), F.sort_array(F.collect_list("c")).alias("list"))
     plain = F.transform("list", lambda v: F.struct(*(v[k].alias(k) for k in ("x", "y", "confidence", "score", "id", "is_static"))))
-    return joined.select(*frames.columns, F.coalesce(plain, F.array().cast(CANDIDATE)).alias("candidates"))
+    return met.where("is_frame").select(*frames.columns, plain.cast(CANDIDATE).alias("candidates"))
 
 
 class Kept:
@@ -344,7 +346,7 @@ def person_tracks(boxes: DataFrame, config: AssociationConfig = AssociationConfi
     one = F.struct((-F.col("confidence")).alias("minus"), "id", "confidence", "x1", "y1", "x2", "y2")
     lists = boxes.repartition("video_id").groupBy("video_id", "frame_number").agg(F.sort_array(F.collect_list(one)).alias("list"))
     plain = lists.select("video_id", "frame_number", F.transform("list", lambda b: F.struct(*(b[k].alias(k) for k in ("id", "confidence", "x1", "y1", "x2", "y2")))).alias("boxes"))
-    return folds.folded(plain, ["video_id"], ["frame_number"], ["frame_number", "boxes"], lambda: PersonTracks(config), "video_id long, frame_number long, id long, track_id long", placed=True)
+    return folds.folded(plain, ["video_id"], ["frame_number"], ["frame_number", "boxes"], lambda: PersonTracks(config), "video_id long, frame_number long, id long, track_id long")
 
 
 class StableLabels(Kept):

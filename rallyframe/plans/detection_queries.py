@@ -81,10 +81,7 @@ def _frames(spark, sf_dir) -> DataFrame:
 
 
 def detection_quality(spark, sf_dir):
-    players = D.select_players(D.court_people(boxes(spark, sf_dir))).groupBy("video_id", "frame_number").agg(F.bool_or(c("player_label") == "Player A").alias("has_a"), F.bool_or(c("player_label") == "Player B").alias("has_b"))
-    balls = D.ball_candidates(boxes(spark, sf_dir)).where("rank = 1").select("video_id", "frame_number", F.when(c("confidence") >= 0.5, "detected").otherwise("predicted").alias("ball"))
-    frames = _frames(spark, sf_dir).join(players, ["video_id", "frame_number"], "left").join(balls, ["video_id", "frame_number"], "left")
-    return D.detection_quality(frames.fillna(False, ["has_a", "has_b"]).fillna("lost", ["ball"]), "video_id")
+    return D.detection_quality(D.presence(D.marked(boxes(spark, sf_dir).repartition(*D.FRAME))), "video_id")
 
 
 def segments(spark, sf_dir) -> DataFrame:
@@ -116,14 +113,16 @@ def quality_flags(spark, sf_dir):
 
 
 def frame_documents(spark, sf_dir):
-    players = D.select_players(D.court_people(boxes(spark, sf_dir)))
-    docs = D.frame_documents(_frames(spark, sf_dir), players, D.ball_candidates(boxes(spark, sf_dir)))
+    docs = D.frame_documents(D.marked(boxes(spark, sf_dir).repartition(*D.FRAME)))
     return docs.select("frame_number", F.size("players").cast("long").alias("players"), F.array_join(F.transform("players", lambda p: p["label"]), ",").alias("labels"), F.round("ball.x", 3).alias("ball_x"), F.round("ball.y", 3).alias("ball_y"))
 
 
+def _overlay(spark, sf_dir) -> DataFrame:
+    return D.overlay_plan(D.marked(boxes(spark, sf_dir).repartition("video_id")))
+
+
 def overlay_plan(spark, sf_dir):
-    players = D.select_players(D.court_people(boxes(spark, sf_dir)))
-    return D.overlay_plan(_frames(spark, sf_dir), players, D.ball_candidates(boxes(spark, sf_dir))).groupBy("frame_number", "primitive").agg(F.count("*").alias("drawn"))
+    return _overlay(spark, sf_dir).groupBy("frame_number", "primitive").agg(F.count("*").alias("drawn"))
 
 
 def visible(spark, sf_dir) -> DataFrame:
@@ -173,9 +172,7 @@ def match_statistics_by_event(spark, sf_dir):
 
 
 def overlay_rows(spark, sf_dir):
-    players = D.select_players(D.court_people(boxes(spark, sf_dir)))
-    out = D.overlay_plan(_frames(spark, sf_dir), players, D.ball_candidates(boxes(spark, sf_dir)))
-    return out.select("frame_number", "primitive", *(F.round(k, 3).alias(k) for k in ("ax", "ay", "bx", "by")), "caption")
+    return _overlay(spark, sf_dir).select("frame_number", "primitive", *(F.round(k, 3).alias(k) for k in ("ax", "ay", "bx", "by")), "caption")
 
 
 #: The court's corners on a screen of 1280 by 720.

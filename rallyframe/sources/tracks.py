@@ -21,15 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One track for each user of the event table: POINT and event_id."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    user = Window.partitionBy("user_id")
+    """One track for each user of the event table: POINT and event_id. The key has its last name before the windows, so what follows finds
+    the rows where they are."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("track_id"), "event_type", "value", "props")
+    track = Window.partitionBy("track_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select(
-        F.col("user_id").alias("track_id"),
+        "track_id",
         "event_id",
-        (F.row_number().over(user.orderBy("ts", "event_id")) - 1).cast("long").alias("frame_number"),
-        ((us - F.min(us).over(user)) / F.lit(TIME_SCALE)).alias("timestamp_seconds"),
+        (F.row_number().over(track.orderBy("ts", "event_id")) - 1).cast("long").alias("frame_number"),
+        ((us - F.min(us).over(track)) / F.lit(TIME_SCALE)).alias("timestamp_seconds"),
         F.col("value").alias("x"),
         (F.get_json_object("props", "$.k").cast("double") * 5).alias("y"),
         (F.col("event_type") == "error").alias("predicted"),
