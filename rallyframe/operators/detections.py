@@ -193,6 +193,18 @@ def court_lines(found: DataFrame, horizontal: int = 6, vertical: int = 4) -> Dat
     return kept.withColumn("is_court", F.count("*").over(Window.partitionBy("video_id")) >= 6)
 
 
+def calibration_attempts(frames: DataFrame, least_lines: int = 6, first: int = 11, last: int = 99, patience: int = 50) -> DataFrame:
+    """When a video's court was found: the first frame of `first` to `last` with enough main lines (video_id, frame_number, lines). The
+    search gives up at a frame beyond `patience` without them, or at one whose lines couldn't be looked for (null). attempts: frames
+    tried; calibrated_at: null if it gave up or had no frame to try. Aggregates of one window: nothing is held or sorted."""
+    tried = frames.where(c("frame_number").between(first, last)).withColumn("found", F.coalesce(c("lines") >= least_lines, F.lit(False)))
+    ends = c("found") | c("lines").isNull() | (c("frame_number") > patience)
+    video = Window.partitionBy("video_id")
+    tried = tried.withColumn("end", F.min(F.when(ends, c("frame_number"))).over(video))
+    done = tried.groupBy("video_id").agg(F.count_if(c("end").isNull() | (c("frame_number") <= c("end"))).alias("attempts"), F.max(F.when(c("found") & (c("frame_number") == c("end")), c("frame_number"))).alias("calibrated_at"), F.max("end").alias("ended_at"))
+    return frames.select("video_id").distinct().join(done, "video_id", "left").fillna(0, ["attempts"])
+
+
 def line_summary(found: DataFrame, *by: str) -> DataFrame:
     n = lambda kind: F.count_if(c("orientation") == kind).alias(kind)
     return found.groupBy(*by).agg(F.count("*").alias("line_count"), n("horizontal"), n("vertical"), n("diagonal"), F.round(F.avg("length_pixels"), 2).alias("average_length"), F.max("length_pixels").alias("longest"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.config import ScoringConfig
@@ -72,6 +72,54 @@ def scoreboard(points: DataFrame, config: ScoringConfig = ScoringConfig()) -> Da
     return folds.folded(points, ["match_id"], ["point_number"], ["point_number", "winner"], lambda: Match(config), BOARD)
 
 
+def _after(config: ScoringConfig, s: Column, w: Column) -> Column:
+    """The state after a point for w (0 or 1), as Score.award gives it. won: -1 while the match goes on."""
+    own, other = ({k: F.when(w == one, s[f"{k}a"]).otherwise(s[f"{k}b"]) for k in "pgst"} for one in (0, 1))
+    over, tie = s["won"] >= 0, s["tie"]
+    tie_won = (own["t"] + 1 >= config.tiebreak_points_to_win) & (own["t"] + 1 - other["t"] >= config.tiebreak_minimum_difference)
+    game_won = ~tie & (own["p"] + 1 >= 4) & (own["p"] + 1 - other["p"] >= 2)
+    g = own["g"] + 1
+    starts_tie = game_won & F.lit(config.enable_tiebreak) & (g == config.tiebreak_trigger_games) & (other["g"] == config.tiebreak_trigger_games)
+    set_won = (tie & tie_won) | (game_won & ~starts_tie & (g >= config.games_to_win_set) & (g - other["g"] >= config.minimum_game_difference))
+    match_won = set_won & (own["s"] + 1 >= config.sets_to_win_match)
+    fresh = set_won & ~match_won  # a match's last set stays on the board
+    gained = (tie & tie_won) | game_won
+    new = {
+        "p": (F.when(fresh | game_won, 0).otherwise(F.when(tie, own["p"]).otherwise(own["p"] + 1)), F.when(fresh | game_won, 0).otherwise(other["p"])),
+        "g": (F.when(fresh, 0).when(gained, g).otherwise(own["g"]), F.when(fresh, 0).otherwise(other["g"])),
+        "s": (F.when(set_won, own["s"] + 1).otherwise(own["s"]), other["s"]),
+        "t": (F.when(fresh, 0).when(tie, own["t"] + 1).otherwise(own["t"]), F.when(fresh, 0).otherwise(other["t"])),
+    }
+    name = lambda when, text: F.when(when, text)
+    told = F.when(tie & ~tie_won, "").when(tie, F.concat_ws(",", F.lit("point"), F.lit("set"), name(match_won, "match"))).otherwise(F.concat_ws(",", name(game_won, "game"), name(set_won, "set"), name(match_won, "match"), F.lit("point")))
+    side = lambda k, a: F.when(over, s[f"{k}{a}"]).when(w == int(a == "b"), new[k][0]).otherwise(new[k][1])
+    return F.struct(
+        *(side(k, a).cast("int").alias(f"{k}{a}") for k in "pgst" for a in "ab"), F.when(over, tie).otherwise(F.when(tie, ~tie_won).otherwise(starts_tie)).alias("tie"), F.when(over, s["won"]).when(match_won, w).otherwise(-1).cast("int").alias("won"),
+        F.when(over, "").otherwise(told).alias("events"), over.alias("rejected"),
+    )
+
+
+def scoreboard_by_chunks(points: DataFrame, config: ScoringConfig = ScoringConfig(), chunk: int = 128) -> DataFrame:
+    """scoreboard() without Python: the points of a match are cut into chunks, aggregate() folds a chunk from a state, and a second fold carries
+    the state from chunk to chunk, so that no array of states is longer than a chunk's. Chunks of a match are one value while it is
+    folded; scoreboard() takes matches of any length."""
+    c = F.col
+    order = Window.partitionBy("match_id").orderBy("point_number")
+    rows = points.select("match_id", "point_number", (c("winner") == "B").cast("int").alias("w")).withColumn("n", F.row_number().over(order) - 1)
+    chunks = rows.groupBy("match_id", F.floor(c("n") / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("n", "point_number", "w"))).alias("points"))
+    zero = F.struct(*(F.lit(0).alias(f"{k}{a}") for k in "pgst" for a in "ab"), F.lit(False).alias("tie"), F.lit(-1).alias("won"), F.lit("").alias("events"), F.lit(False).alias("rejected"))
+    whole = chunks.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "points"))).alias("chunks"))
+    # the state before each chunk, then the states inside of it
+    step = lambda s, p: _after(config, s, p["w"])
+    starts = F.aggregate("chunks", F.array(zero), lambda acc, k: F.concat(acc, F.array(F.aggregate(k["points"], F.element_at(acc, -1), step))))
+    begun = whole.select("match_id", F.inline(F.zip_with("chunks", F.slice(starts, 1, F.size("chunks")), lambda k, s: F.struct(k["points"].alias("points"), s.alias("start")))))
+    states = F.aggregate("points", F.array("start"), lambda acc, p: F.concat(acc, F.array(step(F.element_at(acc, -1), p))), lambda acc: F.slice(acc, 2, F.greatest(F.size(acc) - 1, F.lit(1))))
+    out = begun.select("match_id", F.inline(F.zip_with("points", states, lambda p, s: F.struct(p["point_number"].alias("point_number"), p["w"].alias("w"), s.alias("s")))))
+    who = lambda v: F.when(v == 0, "A").when(v == 1, "B")
+    counts = (c(f"s.{k}{a}").alias(f"{long}_{a}") for k, long in zip("pgst", ("points", "games", "sets", "tie"), strict=True) for a in "ab")
+    return out.select("match_id", "point_number", who(c("w")).alias("winner"), c("s.rejected").alias("rejected"), c("s.tie").alias("in_tiebreak"), *counts, who(c("s.won")).alias("match_winner"), c("s.events").alias("events"))
+
+
 def point_display(own: Column, other: Column, in_tiebreak: Column, tie: Column) -> Column:
     """0, 15, 30, 40 or AD; the raw points in a tie-break."""
     plain = F.element_at(F.array(*map(F.lit, ("0", "15", "30", "40"))), F.least(own, F.lit(3)) + 1)

@@ -155,13 +155,16 @@ def visible_runs(frames: DataFrame, minimum_frames: int = 30) -> DataFrame:
     return runs.where(F.col("frames") >= minimum_frames).drop("island")
 
 
-def clip_windows(runs: DataFrame, fps: float = 30.0, every: float = 1.5, half: float = 0.5) -> DataFrame:
-    """Clips around centres every `every` seconds of each run, `half` seconds to either side, inside the run; numbered."""
+def clip_windows(runs: DataFrame, fps: float = 30.0, every: float = 1.5, half: float = 0.5, most: int | None = None) -> DataFrame:
+    """Clips around centres every `every` seconds of each run, `half` seconds to either side, inside the run; numbered. most: the first so
+    many of a track."""
     step, reach = int(every * fps), int(half * fps)
     centres = runs.where(F.col("end_frame") - F.col("start_frame") >= reach).select("track_id", "start_frame", "end_frame", F.explode(F.sequence(F.col("start_frame") + reach, F.col("end_frame"), F.lit(step).cast("long"))).alias("center_frame"))
     clips = centres.select("track_id", F.greatest("start_frame", F.col("center_frame") - reach).alias("clip_start"), F.least("end_frame", F.col("center_frame") + reach).alias("clip_end"), "center_frame")
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("center_frame"))
-    return clips.withColumn("clip_id", F.format_string("shot_%04d", number))
+    clips = clips.withColumn("number", number)
+    kept = clips if most is None else clips.where(F.col("number") <= most)
+    return kept.withColumn("clip_id", F.format_string("shot_%04d", "number")).drop("number")
 
 
 def clip_frames(frames: DataFrame, clips: DataFrame, bucket: int = 64) -> DataFrame:

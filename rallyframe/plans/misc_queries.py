@@ -102,11 +102,15 @@ def recent_points(spark, sf_dir):
     return out.select("track_id", "frame_number", F.size("history").cast("long").alias("points"), F.get("history", 0)["frame_number"].alias("oldest"), F.round(F.aggregate("history", F.lit(0.0), lambda a, h: a + h["x"]), 4).alias("sum_x"))
 
 
-def suggested_players(spark, sf_dir):
+def suggested_clips(spark, sf_dir):
     runs = shots.visible_runs(event_tracks(spark, sf_dir).withColumn("visible", ~c("predicted")), 8)
     seen = lambda k: F.when((c("event_id") + k) % 5 > 0, c("event_id") * (k + 7) % 24)
     positions = event_tracks(spark, sf_dir).select("track_id", "frame_number", seen(0).alias("a_y"), seen(2).alias("b_y"))
-    return overlay.suggested_players(shots.clip_windows(runs, fps=4.0), positions).select("track_id", "clip_id", "center_frame", "suggested_player")
+    return overlay.suggested_players(shots.clip_windows(runs, fps=4.0), positions)
+
+
+def suggested_players(spark, sf_dir):
+    return suggested_clips(spark, sf_dir).select("track_id", "clip_id", "center_frame", "suggested_player")
 
 
 QUERIES = {f.__name__: f for f in (video_metadata, first_frames, safe_names, captions, recent_points, suggested_players, frames_at, every_frame_at, camera_motion, stratified_split, session_rallies, detection_rate, called_bounces, call_rollup, frames_with_analytics, candidate_union)}

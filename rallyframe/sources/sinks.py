@@ -22,15 +22,21 @@ def write_calibrations(solved: DataFrame, path: str) -> None:
 
 
 def annotation_template(clips: DataFrame, fps: float) -> DataFrame:
-    """Rows to label by hand, in load_annotations' columns."""
+    """Rows to label by hand, in load_annotations' columns. Clips with a suggested_player (overlay.suggested_players) bring it along."""
     text = F.lit("")
+    guess = F.coalesce("suggested_player", text) if "suggested_player" in clips.columns else text
     return clips.select(
         F.col("clip_id").alias("shot_id"), F.col("track_id").cast("string").alias("video"), F.lit(None).cast("int").alias("rally_id"), F.col("clip_start").cast("int").alias("start_frame"),
         F.col("clip_end").cast("int").alias("end_frame"), F.col("center_frame").cast("int").alias("center_frame"), F.round((F.col("clip_end") - F.col("clip_start")) / fps, 3).alias("duration_sec"),
-        text.alias("suggested_player"), F.lit("unlabeled").alias("label"), text.alias("confidence"), text.alias("labeled_by"), text.alias("notes"),
+        guess.alias("suggested_player"), F.lit("unlabeled").alias("label"), text.alias("confidence"), text.alias("labeled_by"), text.alias("notes"),
     )
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One JSON line for each document."""
+    documents.write.json(path)
+
+
 def existing_clips(annotations: DataFrame, clips: DataFrame) -> DataFrame:
     """The annotations whose clip is there."""
     return annotations.join(clips.select("shot_id").distinct(), "shot_id", "left_semi")
