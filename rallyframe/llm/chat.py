@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are put in order (turn, then role, then text) and collected as structs; adjacent turns of one
-role share one block, so that the template marks a change of speaker once:
+The turns of a conversation are collected as structs and sorted (turn, then role, then text); adjacent turns of one role are
+merged into one block by functions of the array, so that the template marks a change of speaker once:
 
     <|im_start|>role\\ntext<|im_part|>text of the same role's next turn<|im_end|>\\n
 
@@ -9,8 +9,9 @@ Inside a text each `<`, any backslashes, `|` gets one more backslash, so no text
 away again restores the text. Roles are URL-encoded. The loss mask is a list of spans (code points, end exclusive) over
 the formatted string, one for each text of an assistant.
 
-Where a text lies in the string is a running sum of lengths, so long conversations cost as much a turn as short ones. A
-conversation is one value of the result, so its turns meet in one task; nothing else is grouped.
+Where a text lies in the string is a running sum of lengths, taken over chunks of the array and inside of each, so no array grows
+by copying for long. A conversation is one value of the result, so its turns meet in one task, as those without a conv_id do,
+which are one conversation: what fits into one row of the output bounds both. Nothing else is grouped.
 
 Cases: a null text or role is empty; a null conv_id is a conversation of its own; a null turn comes first; repeated rows
 are turns of their own; a conversation without an assistant has an empty mask; an empty table gives no rows.
@@ -18,7 +19,7 @@ are turns of their own; a conversation without an assistant has an empty mask; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.llm import common
@@ -36,19 +37,54 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
+#: Values that running() sums at once.
+CHUNK = 256
+
+
+def running(values: Column) -> Column:
+    """The running sums of an array of whole numbers."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def sums(of: Column, start: Column) -> Column:
+        """start, and the sums behind it"""
+        return F.aggregate(of, F.array(start), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda acc, v: acc + v))
+    before = sums(totals, F.lit(0).cast("long"))
+    return F.flatten(F.transform(parts, lambda p, k: F.slice(sums(p, before[k]), F.lit(2), F.size(p))))
+
+
 def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, end) of every conversation."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    header = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    last = F.lag("role").over(order)
-    rows = rows.withColumns({"place": F.row_number().over(order), "lead": F.when(last.isNull(), header).when(last == F.col("role"), F.lit(PART)).otherwise(F.concat(F.lit(END), header)), "shown": escaped(F.col("text"))})
-    rows = rows.withColumn("end", F.sum(F.length("lead") + F.length("shown")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.struct("place", F.concat("lead", "shown").alias("piece"), (F.col("end") - F.length("shown")).alias("start"), "end", (F.col("role") == loss_role).alias("loss"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    whole = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), F.lit(END))
-    spans = F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    convs = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    role = lambda i: F.get("turns", i)["role"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    convs = convs.withColumn("starts", starts)
+
+    def block(start: Column, k: Column) -> Column:
+        """The pieces of the turns of one role, from start up to the next block: the first opens it, the last closes it."""
+        n = F.coalesce(F.get("starts", k + 1), F.size("turns")) - start
+        opened = F.concat(F.lit(START), F.url_encode(role(start)), F.lit("\n"))
+
+        def piece(t: Column, i: Column) -> Column:
+            lead = F.when(i == 0, opened).otherwise(PART)
+            return F.struct(lead.alias("lead"), escaped(t["text"]).alias("shown"), F.when(i == n - 1, END).otherwise("").alias("tail"), (t["role"] == loss_role).alias("loss"))
+
+        return F.transform(F.slice("turns", start + 1, n), piece)
+
+    convs = convs.select("conv_id", F.flatten(F.transform("starts", block)).alias("pieces"))
+    # where each piece ends; its text ends before its tail
+    ends = running(F.transform("pieces", lambda p: (F.length(p["lead"]) + F.length(p["shown"]) + F.length(p["tail"])).cast("long")))
+    convs = convs.withColumn("ends", ends)
+
+    def span(p: Column, end: Column) -> Column:
+        end = end - F.length(p["tail"])
+        return F.struct(p["loss"].alias("loss"), (end - F.length(p["shown"])).alias("start"), end.alias("end"))
+
+    spans = F.transform(F.filter(F.zip_with("pieces", "ends", span), lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
+    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["shown"], p["tail"])), "")
     return convs.select("conv_id", whole.alias("formatted"), spans.alias("loss_spans"))
 
 

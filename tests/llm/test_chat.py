@@ -1,3 +1,5 @@
+import random
+
 from rallyframe.llm import chat
 from tests.llm.oracle import same
 
@@ -22,3 +24,19 @@ def test_sql(spark):
     for sf in ("sf0.001", "sf0.01"):
         path = f"/root/testdata/{sf}"
         assert same(chat.query(spark, path), chat.SQL, path) > 1
+
+
+def test_long_and_nameless_conversations(spark):
+    """Many turns of one conversation, and many without any id, which are one too."""
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "tool"]), rng.choice(["", "a<|b", "long " * 20, "é"])) for c in (1, None) for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.formatted(df)).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert [tuple(t) for t in r.turns] == [x[2:] for x in own]
+        assert r.loss == "".join(x[3] for x in own if x[2] == "assistant")
+
+
+def test_turns_are_merged_in_the_array(spark):
+    plan = chat.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
