@@ -10,8 +10,8 @@ Prediction counts, for each language, the trigrams of the text that its filter h
 chance: (hits - n * f) / (1 - f), where f is the language's measured rate of false positives. The largest corrected
 count wins (ties: the first language by name); the score is its share of the text's trigrams.
 
-The filters of PASS languages at a time go to the executors, which bounds what is broadcast; more languages take
-more scans, and the best of all scans wins.
+The filters are cut in tasks. Those of PASS languages at a time go to the executors, which bounds what is broadcast, and what
+the driver sees of them; more languages take more scans, and the best of all scans wins.
 
 Cases: a null text or one without a letter is `und` with score 0; so is every text if nothing was learned; a text with
 letters but no trigram (a single letter) goes to the first language by name with score 0; rows without lang or id are
@@ -81,18 +81,30 @@ def slots(v: np.ndarray) -> list[np.ndarray]:
     return [((a + np.uint64(i) * b) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
+def planes_of(number: int) -> np.ndarray:
+    """No trigrams yet for that many languages: 8 MB for every 64 of them."""
+    return np.zeros(((number + 63) // 64, 1 << SLOT_BITS), np.uint64)
+
+
+def put(planes: np.ndarray, lang: np.ndarray, gram: np.ndarray) -> None:
+    """Puts trigrams into the filters of languages, by their places."""
+    for s in slots(gram):
+        np.bitwise_or.at(planes, (lang // 64, s), np.uint64(1) << (lang % 64).astype(np.uint64))
+
+
 class Filters:
-    """The filters of all languages: planes of 64 languages, each a mask for every slot."""
-
-    def __init__(self, held: dict[str, np.ndarray]):
-        self.langs = sorted(held)
-        self.planes = np.zeros(((len(held) + 63) // 64, 1 << SLOT_BITS), np.uint64)
-        self.false_rate = np.zeros(len(held))
-        for i, lang in enumerate(self.langs):
-            for s in slots(held[lang]):
-                np.bitwise_or.at(self.planes[i // 64], s, np.uint64(1 << i % 64))
-        for i in range(len(held)):
-            self.false_rate[i] = ((self.planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** HASHES
+    """The filters of languages in order of their names: planes of 64 languages, each a mask for every slot."""
+
+    def __init__(self, langs: list[str], planes: np.ndarray):
+        self.langs, self.planes = langs, planes
+        self.false_rate = np.array([((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** HASHES for i in range(len(langs))])
+
+    @classmethod
+    def of(cls, held: dict[str, np.ndarray]) -> Filters:
+        langs, planes = sorted(held), planes_of(len(held))
+        for i, lang in enumerate(langs):
+            put(planes, np.full(len(held[lang]), i), held[lang])
+        return cls(langs, planes)
 
     def best(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The best language of each text (its place), the corrected count of its trigrams, and the text's trigrams and letters."""
@@ -144,11 +156,29 @@ def learned(train: DataFrame) -> list[Filters]:
     langs = common.written(totals.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).alias("k")))
     several = []
     for first in range(0, langs.count(), PASS):
-        names = langs.where(F.col("k").between(first, first + PASS - 1))
-        rows = held.join(F.broadcast(names), "lang").select("lang", "gram").toArrow()
-        lang, gram = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy()
-        several.append(Filters({r.lang: gram[lang == r.lang] for r in names.select("lang").collect()}))
-    return several or [Filters({})]
+        names = langs.where(F.col("k").between(first, first + PASS - 1)).withColumn("k", F.col("k") - first)
+        masks = sliced(held.join(F.broadcast(names), "lang").select("k", "gram")).toArrow()
+        of_names = [r.lang for r in names.orderBy("k").collect()]
+        planes = planes_of(len(of_names))
+        planes[masks["plane"].to_numpy(), masks["slot"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
+        several.append(Filters(of_names, planes))
+    return several or [Filters.of({})]
+
+
+def sliced(held: DataFrame) -> DataFrame:
+    """plane, slot, mask of the filters that hold trigrams (k: a language's place, gram). Tasks set the bits and bit_or adds them up, so the
+    driver sees masks, at most one for each slot of a plane, and no trigrams."""
+
+    def cut(it):
+        planes = planes_of(PASS)
+        for batch in it:
+            put(planes, batch["k"].to_numpy(), batch["gram"].to_numpy())
+        plane, slot = np.nonzero(planes)
+        mask = planes[plane, slot].view(np.int64)
+        for i in range(0, len(plane), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (plane, slot, mask)], ["plane", "slot", "mask"])
+
+    return held.mapInArrow(cut, "plane long, slot long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask"))
 
 
 def remainder(doc_id: Column, of: int) -> Column:

@@ -2,7 +2,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from rallyframe.llm import common, language
 
@@ -92,3 +94,16 @@ def test_held_out_accuracy(spark):
     for r in found.sort_values("score").head(5).itertuples():
         print(repr(r.text[:200]))
     assert len(wrong) <= 0.02 * len(found)
+
+
+def test_many_languages_in_bounded_memory(spark):
+    """The filters of 256 languages: the driver gets masks of slots, at most one for each slot of a plane."""
+    held = spark.range(256 * 2000).select((F.col("id") % 256).alias("k"), F.xxhash64("id").alias("gram"))
+    masks = language.sliced(held).toArrow()
+    assert len(masks) <= 4 << language.SLOT_BITS and masks.nbytes < 150_000_000
+    planes = language.planes_of(256)
+    rows = held.toArrow()
+    language.put(planes, rows["k"].to_numpy(), rows["gram"].to_numpy())
+    got = language.planes_of(256)
+    got[masks["plane"].to_numpy(), masks["slot"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
+    assert (got == planes).all()
