@@ -17,12 +17,12 @@ What is exchanged are arrays of numbers (sorted, as differences, in byte planes,
    word's probability; every pair with two or more customers, in all parts at the same time, then reseats them SWEEPS
    times given the tables of its context, and sends its tables up. A single customer has a single table. Entries reseat
    their customers one after the other up to SEATED, and in their Poisson limit beyond. The seats of the sweeps after
-   BURN are averaged, so the predictive probabilities are averages. Discounts follow the entries seen once and twice.
+   BURN are averaged, and so are the vocabulary's probabilities over its draws (all but the first), so the predictive
+   probabilities are averages. Discounts follow the entries seen once and twice.
 4. The parts answer the groups: tables of pairs and of contexts, and probabilities of words. Each group scores its texts;
    `perplexity` is 10 ** (-score / n_tokens).
 
-The pairs of a context lie in parts of bounded size, a part's size falls with the number of shuffle partitions, and the
-driver sees one row of sums for each part and one number for each split context (customers / SPLIT of them at most).
+The pairs of a context lie in parts of bounded size, there is a part for every PART_BYTES of text, and the driver sees one row of sums for each part and one number for each split context (customers / SPLIT of them at most).
 
 Words are compared by 64-bit hash. Cases: a null or wordless text is the end alone; rows without an id are scored, but
 not learned from and not held out; repeated rows and ids are texts of their own; without training texts every word is
@@ -31,6 +31,7 @@ the unknown one, with probability 1; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ NO_WORD = (1 << 32) - 1
 #: Customers of a context in one part.
 SPLIT = 1 << 20
 GROUP_BYTES = 6 << 20
+#: Text for each part of pairs: parts grow in number with the input, not in size.
+PART_BYTES = 16 << 20
 
 END_HASH = np.uint64(0x0E4D)
 
@@ -276,8 +279,8 @@ def added(first: np.ndarray) -> Callable:
     """Of a part's PAIRS, for each group: COUNTS, and ASKED (places among the pairs held, and among the contexts). HELD: the pairs of
     two customers and more with their number, the contexts and their different words; total and grp: pairs seen once and
     twice. TYPES: for
-    each vocabulary part the words, in how many contexts they are, and which are in a pair held. SPLITS: the split
-    contexts and their different words."""
+    each vocabulary part the words, in how many contexts they are, which are in a pair held, and their training counts. SPLITS: the split
+    contexts, their different words and their customers."""
 
     def work(part: int, rows: list[dict]) -> Iterator[tuple]:
         own = [risen(r["a"]) for r in rows]
@@ -294,15 +297,16 @@ def added(first: np.ndarray) -> Callable:
         yield row(HELD, part=part, grp=int((n == 2).sum()), total=int((n == 1).sum()), a=rising(keys[many]), b=squeezed(n[many]), c=rising(contexts), d=squeezed(types))
         split = np.unique(np.concatenate([risen(r["c"]) for r in rows]))
         if len(split):
-            yield row(SPLITS, part=part, a=rising(split), b=squeezed(types[np.searchsorted(contexts, split)]))
+            at = np.searchsorted(contexts, split)
+            yield row(SPLITS, part=part, a=rising(split), b=squeezed(types[at]), c=squeezed(np.bincount(ctx, n, len(contexts)).astype(np.int64)[at]))
         words, where = np.unique(keys[seen] & np.uint64(0xFFFFFFFF), return_inverse=True)
         in_held = np.zeros(len(words), np.uint8)
         in_held[where[many[seen]]] = 1
-        count = np.bincount(where, minlength=len(words))
+        count, tokens_ = np.bincount(where, minlength=len(words)), np.bincount(where, n[seen], len(words)).astype(np.int64)
         edge = np.searchsorted(words, first.astype(np.uint64))
         for p, (x, y) in enumerate(zip(edge, edge[1:])):
             if x < y:
-                yield row(TYPES, part=p, grp=part, total=int(count[x:y].sum()), a=rising(words[x:y] - np.uint64(first[p])), b=squeezed(count[x:y]), c=squeezed(in_held[x:y]))
+                yield row(TYPES, part=p, grp=part, total=int(count[x:y].sum()), a=rising(words[x:y] - np.uint64(first[p])), b=squeezed(count[x:y]), c=squeezed(in_held[x:y]), d=squeezed(tokens_[x:y]))
 
     return work
 
@@ -355,10 +359,10 @@ def seat(rng, c: np.ndarray, p: np.ndarray, others: np.ndarray, discount: float)
 
 
 class Root:
-    """The restaurant of no context, as far as the driver sees it: v words, customers, tables, and the discount."""
+    """The restaurant of no context, as far as the driver sees it: v words, training tokens, customers, tables, and the discount."""
 
-    def __init__(self, v: int, customers: float, discount: float):
-        self.v, self.customers, self.tables, self.discount = v, customers, float(v), discount
+    def __init__(self, v: int, tokens: int, customers: float, discount: float):
+        self.v, self.tokens, self.customers, self.tables, self.discount = v, tokens, customers, float(v), discount
 
     def chance(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The probability of known words with n customers at t tables."""
@@ -367,9 +371,6 @@ class Root:
     def new(self) -> float:
         return STRENGTH + self.discount * self.tables
 
-    def unknown(self) -> float:
-        return self.new() * (UNKNOWN if self.v else 1.0) / (STRENGTH + self.customers)
-
 
 def customers_of(rows: list[dict], words: int) -> np.ndarray:
     """The customers of each word of a vocabulary part: contexts it is in, and the further tables there."""
@@ -387,8 +388,8 @@ def customers_of(rows: list[dict], words: int) -> np.ndarray:
 
 
 def root_seats(root: Root, sizes: np.ndarray, sweep: int) -> Callable:
-    """ROOT (customers, tables; total: tables) of a vocabulary part, and CHANCES: the probabilities of those words that each part of
-    pairs holds."""
+    """ROOT (customers, tables, and the sum over all draws but the first of the words' probabilities without what new tables give; total:
+    tables) of a vocabulary part, and CHANCES: the probabilities of those words that each part of pairs holds."""
 
     def work(part: int, rows: list[dict]) -> Iterator[tuple]:
         n = customers_of(rows, sizes[part])
@@ -396,8 +397,15 @@ def root_seats(root: Root, sizes: np.ndarray, sweep: int) -> Callable:
         base = np.full(len(n), (1 - UNKNOWN) / max(1, root.v))
         t = seat(rng, np.rint(n).astype(np.int64), base, np.full(len(n), max(0.0, root.tables - 1)), root.discount)
         t = np.where(n > 0, np.maximum(t, 1), 0)
-        yield row(ROOT, part=part, total=int(t.sum()), a=floats(n), b=squeezed(t))
-        p = root.chance(n, t)
+        p, seated = root.chance(n, t), (n - root.discount * t) / (STRENGTH + root.customers)
+        if not sweep:  # the pairs first meet the words' shares of the training tokens: near where sampling leads to
+            p = (1 - UNKNOWN) / max(1, root.v) * STRENGTH * np.ones(len(n))
+            for r in rows:
+                if r["kind"] == TYPES:
+                    p[risen(r["a"]).astype(np.int64)] += restored(r["d"])
+            p /= STRENGTH + root.tokens
+        before = next((unfloat(r["c"]) for r in rows if r["kind"] == ROOT), np.zeros(len(n)))
+        yield row(ROOT, part=part, total=int(t.sum()), a=floats(n), b=squeezed(t), c=floats(before + seated * (sweep > 0)))
         for r in rows:
             if r["kind"] == TYPES:
                 at = risen(r["a"]).astype(np.int64)
@@ -406,10 +414,17 @@ def root_seats(root: Root, sizes: np.ndarray, sweep: int) -> Callable:
     return work
 
 
-def pair_seats(discount: float, split: dict[int, float], first: np.ndarray, sweep: int, sweeps: int) -> Callable:
+def expected_tables(c: float, discount: float) -> float:
+    """Of c customers, whatever they eat."""
+    grown = math.lgamma(STRENGTH + discount + c) - math.lgamma(STRENGTH + discount) - math.lgamma(STRENGTH + c) + math.lgamma(STRENGTH)
+    return STRENGTH / discount * math.expm1(grown)
+
+
+def pair_seats(discount: float, split: dict[int, float], customers: dict[int, float], first: np.ndarray, sweep: int, sweeps: int) -> Callable:
     """SEATS (mean tables of the pairs held, and of all contexts; total: thousandths of further tables), EXTRA (mean further tables of
-    each word held, for each vocabulary part) and SPLITS (mean tables of the split contexts) of a part. split: the
-    tables of split contexts as they were last."""
+    each word held, for each vocabulary part) and SPLITS (mean tables of the split contexts) of a part. It goes on from the SEATS of the
+    round before. split: the tables of split contexts in all parts, as they were last; those of the other parts stay
+    during a round."""
 
     def work(part: int, rows: list[dict]) -> Iterator[tuple]:
         held = next((r for r in rows if r["kind"] == HELD), None)
@@ -423,10 +438,17 @@ def pair_seats(discount: float, split: dict[int, float], first: np.ndarray, swee
         p = np.concatenate(chances)[where] if len(words) else np.zeros(0)
         ctx = np.searchsorted(contexts, keys >> np.uint64(32))
         shared = np.array([split.get(int(x), -1.0) for x in contexts]) if split else np.full(len(contexts), -1.0)
-        rng = np.random.default_rng([sweep, part, 1])
-        t, mean = np.ones(len(keys)), np.zeros(len(keys))
+        before = next((r for r in rows if r["kind"] == SEATS), None)
+        t = np.clip(np.rint(unfloat(before["a"])), 1, c) if before else np.ones(len(keys))
+        if before:
+            away = shared - unfloat(before["b"])
+        else:  # the tables that are expected of a split context, by where its customers are
+            mine = types + np.bincount(ctx, c - 1, len(contexts))
+            away = shared * (1 - mine / np.array([max(1.0, customers.get(int(x), 0.0)) for x in contexts]))
+        away = np.where(shared >= 0, np.maximum(0, away), 0)
+        rng, mean = np.random.default_rng([sweep, part, 1]), np.zeros(len(keys))
         for k in range(sweeps):
-            total = np.where(shared >= 0, shared, types + np.bincount(ctx, t - 1, len(contexts)))
+            total = away + types + np.bincount(ctx, t - 1, len(contexts))
             t = seat(rng, c, p, np.maximum(total[ctx] - t, 0), discount)
             mean += t * (k >= BURN) / (sweeps - BURN)
         tables = types + np.bincount(ctx, mean - 1, len(contexts))
@@ -445,13 +467,13 @@ def pair_seats(discount: float, split: dict[int, float], first: np.ndarray, swee
 # 4. Scores
 
 
-def word_answers(root: Root, sizes: np.ndarray) -> Callable:
-    """WORD_P: the probabilities of each group's words, from ROOT and IDS."""
+def word_answers(new: float, draws: int, v: int, sizes: np.ndarray) -> Callable:
+    """WORD_P: the probabilities of each group's words, from ROOT (averaged over its draws) and IDS. new: the mean chance of a new table."""
 
     def work(part: int, rows: list[dict]) -> Iterator[tuple]:
         state = next((r for r in rows if r["kind"] == ROOT), None)
-        n, t = (unfloat(state["a"]), restored(state["b"])) if state else (np.zeros(sizes[part]), np.zeros(sizes[part]))
-        p = np.where(n > 0, root.chance(n, t), root.unknown())
+        n, p = (unfloat(state["a"]), unfloat(state["c"]) / draws) if state else (np.zeros(sizes[part]), 0.0)
+        p = np.where(n > 0, p + new * (1 - UNKNOWN) / max(1, v), new * (UNKNOWN if v else 1.0))
         for r in rows:
             if r["kind"] == IDS:
                 yield row(WORD_P, part=part, grp=r["grp"], a=floats(p[risen(r["a"]).astype(np.int64)]))
@@ -518,9 +540,10 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, and on request token_scores, of every
     document; learned from those with an id that aren't held out."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vocabularies = max(1, parts // 4)
     rows = common.documents(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    vocabularies = max(1, parts // 4)
     rows = rows.withColumn("learn", ~F.col("held_out") & F.col("doc_id").isNotNull())
     of = lambda table, *kinds: table.where(F.col("kind").isin(*kinds))
 
@@ -538,22 +561,32 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     told = common.written(by_key(by_key(spoken, "grp", pairs_of(first, parts, split), parts), "part", added(first), parts), "none")
     once, twice = (x or 0 for x in of(told, HELD).agg(F.sum("total"), F.sum("grp")).first())
     discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-    shared = added_up((risen(r.a), restored(r.b)) for r in of(told, SPLITS).select("a", "b").collect())
+    splits = [(risen(r.a), restored(r.b), restored(r.c)) for r in of(told, SPLITS).select("a", "b", "c").collect()]
+    customers = added_up((x, k) for x, _, k in splits)
+    shared = {x: max(t, expected_tables(customers[x], discount)) for x, t in added_up((x, t) for x, t, _ in splits).items()}
     types = of(told, TYPES).agg(F.sum("total")).first()[0] or 0
-    root = Root(v, float(types), discount)
-    extra = seats = None
+    root = Root(v, n, float(types), discount)
+    seats, new = None, []
+
+    def draw(sweep: int, above: DataFrame | None) -> DataFrame:
+        """The vocabulary's seats, given those of the pairs."""
+        up = of(told, TYPES) if above is None else of(told, TYPES).unionByName(of(seats, EXTRA)).unionByName(of(above, ROOT))
+        found = common.written(by_key(up, "part", root_seats(root, sizes, sweep), vocabularies), "none")
+        root.tables = float(of(found, ROOT).agg(F.sum("total")).first()[0] or 0)
+        if sweep:
+            new.append(root.new() / (STRENGTH + root.customers))
+        return found
+
+    above = None
     for sweep in range(rounds):
-        up = of(told, TYPES) if extra is None else of(told, TYPES).unionByName(extra)
-        above = common.written(by_key(up, "part", root_seats(root, sizes, sweep), vocabularies), "none")
-        root.tables = float(of(above, ROOT).agg(F.sum("total")).first()[0] or 0)
+        above = draw(sweep, above)
         below = of(told, HELD).unionByName(of(above, CHANCES))
-        seats = common.written(by_key(below, "part", pair_seats(discount, shared, first, sweep, sweeps), parts), "none")
-        extra = of(seats, EXTRA)
+        below = below if seats is None else below.unionByName(of(seats, SEATS))
+        seats = common.written(by_key(below, "part", pair_seats(discount, shared, customers, first, sweep, sweeps), parts), "none")
         root.customers = types + (of(seats, SEATS).agg(F.sum("total")).first()[0] or 0) / 1000
         shared = added_up((risen(r.a), unfloat(r.b)) for r in of(seats, SPLITS).select("a", "b").collect())
-    above = common.written(by_key(of(told, TYPES).unionByName(extra), "part", root_seats(root, sizes, rounds), vocabularies), "none")
-    root.tables = float(of(above, ROOT).agg(F.sum("total")).first()[0] or 0)
-    chances = by_key(of(above, ROOT).unionByName(of(words, IDS)), "part", word_answers(root, sizes), vocabularies)
+    above = draw(rounds, above)
+    chances = by_key(of(above, ROOT).unionByName(of(words, IDS)), "part", word_answers(float(np.mean(new)), rounds, v, sizes), vocabularies)
     tables = by_key(of(seats, SEATS).unionByName(of(told, ASKED)), "part", pair_answers, parts)
     every = spoken.unionByName(of(told, COUNTS)).unionByName(chances).unionByName(tables)
     found = by_key(every, "grp", group_scores(first, parts, split, discount, shared, with_tokens), parts, SCORES, lambda x: x)

@@ -137,7 +137,6 @@ def test_arrays_survive():
         assert (pitman_yor.risen(pitman_yor.rising(np.sort(x))) == np.sort(x)).all()
 
 
-@pytest.mark.xfail(strict=False, reason="pairs are seated at the same time: 0.027 to 0.053 away on average, 0.04 is asked")
 def test_scores_against_gibbs_by_the_book(spark):
     train = toy()
     want = gibbs(train, 200, 50)
@@ -166,3 +165,42 @@ def test_table(spark):
     held = found.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens"), F.sum((F.col("score") > F.col("base_score")).cast("int")), F.count("*")).first()
     print("perplexity a token, model and base:", 10 ** (-held[0] / held[2]), 10 ** (-held[1] / held[2]), held[3], held[4])
     assert 10 ** (-held[0] / held[2]) < 0.95 * 10 ** (-held[1] / held[2])
+
+
+def test_production_settings_come_as_near(spark):
+    train = toy()
+    want = gibbs(train, 200, 50)
+    probes = [(1000 + i, f"{u} {w}") for i, (u, w) in enumerate((u, w) for u in "abcdef" for w in "abcdef")]
+    df = spark.createDataFrame(train + probes, "doc_id long, text string")
+    for split_at in (pitman_yor.SPLIT, 40):
+        off = []
+        for r in pitman_yor.scored(df, F.col("doc_id") >= 1000, split=split_at, with_tokens=True).where("doc_id >= 1000").collect():
+            words = split(probes[r.doc_id - 1000][1])
+            off += [abs(x - math.log10(want[pair])) for pair, x in zip(zip([b"start", *words], words), r.token_scores)]
+        assert np.mean(off) < 0.04
+
+
+def test_parts_grow_with_the_text(spark, monkeypatch):
+    docs = [(i, f"word{i % 7} next{i % 3} " * 40) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    plain = pitman_yor.by_key
+    monkeypatch.setattr(pitman_yor, "by_key", lambda rows_, key, work, parts, *more: seen.append(parts) or plain(rows_, key, work, parts, *more))
+    for size in (1 << 30, 2000, 1000):
+        monkeypatch.setattr(pitman_yor, "PART_BYTES", size)
+        seen.append(0)
+        assert rows(pitman_yor.scored(df, held())) == brute(docs)
+    most = [max(x) for x in np.split(seen, np.flatnonzero(np.array(seen) == 0)) if len(x)]
+    text = sum(len(t) for _, t in docs)
+    assert most == [8, -(-text // 2000), -(-text // 1000)]
+
+
+def test_expected_tables():
+    rng, d = np.random.default_rng(4), 0.6
+    drawn = []
+    for _ in range(3000):
+        t = 0
+        for c in range(50):
+            t += rng.random() * (c + pitman_yor.STRENGTH) < pitman_yor.STRENGTH + d * t
+        drawn.append(t)
+    assert abs(np.mean(drawn) - pitman_yor.expected_tables(50, d)) < 0.5
