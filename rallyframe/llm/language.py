@@ -20,6 +20,8 @@ never learned from; repeated rows and ids are predicted one by one; an empty tab
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,6 +125,14 @@ class Filters:
         return found.argmax(axis=0), found.max(axis=0), n, letters
 
 
+def let_go() -> None:
+    """Gives back what a task has used: its Python worker lives on beside other tasks'."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def learned(train: DataFrame) -> list[Filters]:
     """train: text, lang. The filters of its languages, from all its rows, PASS languages at a time."""
 
@@ -137,6 +147,7 @@ def learned(train: DataFrame) -> list[Filters]:
                 own.setdefault(x, []).append((gram, k))
                 if len(own[x]) > 16:
                     own[x] = [merged(own[x])]
+        let_go()
         for x, parts in own.items():
             gram, k = merged(parts)
             for i in range(0, len(gram), 100_000):
@@ -157,20 +168,20 @@ def learned(train: DataFrame) -> list[Filters]:
     several = []
     for first in range(0, langs.count(), PASS):
         names = langs.where(F.col("k").between(first, first + PASS - 1)).withColumn("k", F.col("k") - first)
-        masks = sliced(held.join(F.broadcast(names), "lang").select("k", "gram")).toArrow()
         of_names = [r.lang for r in names.orderBy("k").collect()]
+        masks = sliced(held.join(F.broadcast(names), "lang").select("k", "gram"), len(of_names)).toArrow()
         planes = planes_of(len(of_names))
         planes[masks["plane"].to_numpy(), masks["slot"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
         several.append(Filters(of_names, planes))
     return several or [Filters.of({})]
 
 
-def sliced(held: DataFrame) -> DataFrame:
-    """plane, slot, mask of the filters that hold trigrams (k: a language's place, gram). Tasks set the bits and bit_or adds them up, so the
+def sliced(held: DataFrame, number: int = PASS) -> DataFrame:
+    """plane, slot, mask of the filters that hold trigrams (k: a language's place below number, gram). Tasks set the bits and bit_or adds them up, so the
     driver sees masks, at most one for each slot of a plane, and no trigrams."""
 
     def cut(it):
-        planes = planes_of(PASS)
+        planes = planes_of(number)
         for batch in it:
             put(planes, batch["k"].to_numpy(), batch["gram"].to_numpy())
         plane, slot = np.nonzero(planes)
@@ -198,6 +209,7 @@ def judged(docs: DataFrame, several: list[Filters]) -> DataFrame:
                 some = (letters > 0) & (len(shared.value.langs) > 0)
                 lang = [shared.value.langs[b] if k else "und" for b, k in zip(best, some)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(some, score_of(found, n), 0.0))], [*batch.schema.names, "lang_pred", "score"])
+            let_go()
 
         return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]))
     rows = common.written(docs.select(F.struct("*").alias("row"), "text", F.monotonically_increasing_id().alias("rid")))
