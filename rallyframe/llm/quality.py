@@ -1,14 +1,17 @@
 """Quality rules: base rules, and a log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 Both multinomials are over the hashed 4-byte n-grams of whole texts: the raw one counts every document of the corpus,
-the target one the documents of good quality among at most `SAMPLE` labelled rows (those with the smallest hash of
-doc_id; a bounded sample of labels is all that is ever on the driver besides the `2 ** BITS` bucket weights). The score
+the target one every document with a label of good quality, found by a join of ids, whatever their number. The score
 of a document is the mean log ratio of its n-grams, so it doesn't depend on its length; a document is kept where it
-reaches the threshold. If none is given, the threshold is the one that best separates the sampled good and bad labels.
-Two scans of the texts; counts are combined in each task before the shuffle, and texts are never shuffled.
+reaches the threshold. If none is given, the threshold is the one that best separates all good and bad labels.
+Three scans of the texts. That for the target sends only texts to the join whose id hashes to the slot of a good label's,
+in a table of `2 ** SLOT_BITS` bits (more labels fill it, and more texts are sent, but the join decides). Counts are
+combined in each task before the shuffle; the driver sees that table, the `2 ** BITS` bucket weights and the counts of
+`BINS` scores, and no label.
 
 Cases: a null or wordless text has no words and fails the base rules; texts of fewer than 4 bytes score 0; repeated rows
-and ids are judged one by one, and a label goes to every row with its id; without good labels every document that
+and ids are judged one by one, and a label goes to every row with its id (an id with a good label among others is of
+the target; for the threshold each of its labels counts); without good labels every document that
 passes the base rules is kept; an empty table gives no rows.
 """
 
@@ -16,8 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.llm import common
@@ -26,11 +28,10 @@ NAME, SQL = "op5_ngram_ratio", None
 
 BITS = 16
 GRAM = 4
-#: Labelled rows that the target and the threshold are fitted on, at most.
-SAMPLE = 50_000
 #: Counts, spread as the raw corpus is, that the target starts from.
 PRIOR = 2_000.0
 BINS = 4096
+SLOT_BITS = 24
 LEAST, WIDTH = -12.0, 24.0 / BINS
 
 _SYMBOL = np.zeros(256, bool)
@@ -95,32 +96,54 @@ def base_features(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def label_sample(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", sample: int = SAMPLE) -> list[tuple[int, int]]:
-    rows = labels.select(F.col(id_col).cast("long").alias("i"), F.col(quality_col).cast("int").alias("q")).dropna()
-    return [tuple(r) for r in rows.orderBy(F.xxhash64("i"), "i", "q").limit(sample).collect()]
+def known_labels(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """doc_id, good, bad: how many good and bad labels each labelled id has."""
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(quality_col).cast("int").alias("q")).dropna()
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("q") > 0).alias("good"), F.count_if(F.col("q") <= 0).alias("bad"))
 
 
-def weights(docs: DataFrame, good: list[int]) -> np.ndarray | None:
-    """The log ratio of each bucket; None where there is no target."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(good, np.int64)))
+def bucket_counts(docs: DataFrame, name: str) -> np.ndarray:
+    """How often each bucket occurs in the texts. name: of the column of counts, so plans tell the raw from the target's."""
 
     def count(it):
-        raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        own = np.zeros(1 << BITS, np.int64)
         for batch in common.batches(it):
-            v, n = buckets(*common.flat(batch["text"]))
-            raw += np.bincount(v, minlength=1 << BITS)
-            known = np.asarray(pc.is_valid(batch["doc_id"]).to_numpy(zero_copy_only=False), bool)
-            ids = pc.fill_null(batch["doc_id"], 0).to_numpy()  # a null beside them would turn ids into floats
-            target += np.bincount(v[np.repeat(known & np.isin(ids, wanted.value), n)], minlength=1 << BITS)
-        k = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(raw[k]), pa.array(target[k])], ["bucket", "raw", "target"])
-
-    total = docs.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for k, r, t in total.collect():  # a row for each bucket at most
-        raw[k], target[k] = r, t
+            own += np.bincount(buckets(*common.flat(batch["text"]))[0], minlength=1 << BITS)
+        k = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[k])], ["bucket", name])
+
+    out = np.zeros(1 << BITS)
+    for k, n in docs.select("text").mapInArrow(count, f"bucket long, {name} long").groupBy("bucket").agg(F.sum(name)).collect():  # a row for each bucket at most
+        out[k] = n
+    return out
+
+
+def slot() -> Column:
+    return F.xxhash64("doc_id").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of all rows whose id is among ids, and of some others."""
+    masks = ids.select(slot().alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("mask")).toArrow()
+    table = np.zeros(1 << SLOT_BITS - 6, np.int64)
+    table[masks["word"].to_numpy()] = masks["mask"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def sift(it):
+        for batch in it:
+            s = batch["slot"].to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array(shared.value[s >> 6] >> (s & 63) & 1 == 1))
+
+    return docs.select("doc_id", "text", slot().alias("slot")).mapInArrow(sift, "doc_id long, text string")
+
+
+def weights(docs: DataFrame, known: DataFrame) -> np.ndarray | None:
+    """The log ratio of each bucket; None where there is no target."""
+    good = known.where("good > 0").select("doc_id")
+    target = bucket_counts(likely(docs, good).join(good.hint("merge"), "doc_id", "left_semi"), "target")  # ids aren't broadcast, however few
     if not target.sum():
         return None
+    raw = bucket_counts(docs, "raw")
     p = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
     return np.log((target + PRIOR * p) / (target.sum() + PRIOR) / p)
 
@@ -145,24 +168,23 @@ def scored(docs: DataFrame, log_ratio: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(score, "doc_id long, " + ", ".join(f"{k} long" for k in FEATURES) + ", llr double")
 
 
-def best_threshold(found: DataFrame, sample: list[tuple[int, int]]) -> float:
+def best_threshold(found: DataFrame, known: DataFrame) -> float:
     """The border of two bins of llr that best separates good from bad labels (mean of both rates; the lowest of equals)."""
-    labels = F.broadcast(found.sparkSession.createDataFrame(sample, "doc_id long, quality int"))
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("llr") - LEAST) / WIDTH).cast("int")))
     counts = np.zeros((2, BINS))
-    for q, k, n in found.where(~F.col("base_failed")).join(labels, "doc_id").groupBy((F.col("quality") > 0).cast("int"), bin_).count().collect():
-        counts[q, k] += n
+    for k, good, bad in found.where(~F.col("base_failed")).join(known, "doc_id").groupBy(bin_).agg(F.sum("good"), F.sum("bad")).collect():
+        counts[:, k] = bad, good
     if not counts.sum(axis=1).all():
         return LEAST
     below = np.concatenate([[[0], [0]], np.cumsum(counts, axis=1)], axis=1) / counts.sum(axis=1, keepdims=True)
     return LEAST + WIDTH * int(np.argmax(below[0] - below[1]))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, sample: int = SAMPLE) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """doc_id, the base features, base_failed, llr and kept of every document."""
     docs = common.documents(docs, id_col, text_col)
-    known = label_sample(labels, sample=sample)
-    log_ratio = weights(docs, [i for i, q in known if q > 0])
+    known = known_labels(labels)
+    log_ratio = weights(docs, known)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = common.written(scored(docs, log_ratio).withColumn("base_failed", failed))
     if threshold is None:

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from rallyframe.llm import common, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +105,32 @@ def test_large_ids_beside_a_null(spark):
         llr.append({r.doc_id: r.llr for r in quality.judged(df, labels).collect()})
     assert llr[0] == {k: v for k, v in llr[1].items() if k is not None}
     assert llr[0][2**53] > 0 > llr[0][2**53 + 1] == llr[0][0]
+
+
+def test_all_labels_count(spark):
+    """Of 60,000 labels, those whose ids have the largest hashes decide too, on the target and on the threshold."""
+    ids = [r.id for r in spark.range(60_000).orderBy(F.xxhash64("id")).collect()]
+    text = {i: " ".join(f"{word}{k}" for k in range(80)) for i, word in ((ids[0], "fine"), (ids[-1], "junk"))}
+    docs = spark.createDataFrame([*text.items(), (-1, "")], "doc_id long, text string")
+
+    for good, bad in ((ids[0], ids[-1]), (ids[-1], ids[0])):
+        labels = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") == good).cast("int").alias("quality"))
+        found = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+        assert found[good].llr > 0 > found[bad].llr
+        assert found[good].kept and not found[bad].kept
+    # each label of an id counts for the threshold, and one good label among others puts its text into the target
+    twice = spark.createDataFrame([(ids[0], 1), (ids[0], 0), (ids[0], 1), (ids[-1], 0), (ids[-1], None)], "doc_id long, quality int")
+    assert [tuple(r) for r in quality.known_labels(twice).orderBy("good").collect()] == [(ids[-1], 0, 1), (ids[0], 2, 1)]
+    found = {r.doc_id: r for r in quality.judged(docs, twice).collect()}
+    assert found[ids[0]].llr > 0 and found[ids[0]].kept and not found[ids[-1]].kept
+
+
+def test_only_likely_texts_meet_the_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(-2000, 2000)] + [(None, "x")], "doc_id long, text string")
+    ids = spark.range(0, 4000, 40).select(F.col("id").alias("doc_id"))
+    for bits, most in ((24, 60), (6, 4001)):  # the second table is nearly full
+        monkeypatch.setattr(quality, "SLOT_BITS", bits)
+        found = [r.doc_id for r in quality.likely(docs, ids).collect()]
+        assert set(range(0, 2000, 40)) <= set(found) and len(found) <= most
+    monkeypatch.setattr(quality, "SLOT_BITS", 24)
+    assert quality.likely(docs, ids.limit(0)).count() == 0
