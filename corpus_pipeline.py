@@ -17,12 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rallyframe.llm import common, decontaminate, language, mixing, simhash, token_files
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language.stage),
-    ("near_duplicates", simhash.stage),
-    ("decontaminate", decontaminate.stage),
-    ("mix", mixing.stage),
-    ("token_files", token_files.stage),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage, with batches that are bounded by bytes: one session runs all stages, and executors keep what their largest batch took."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", bounded(language.stage)),
+    ("near_duplicates", bounded(simhash.stage)),
+    ("decontaminate", bounded(decontaminate.stage)),
+    ("mix", bounded(mixing.stage)),
+    ("token_files", bounded(token_files.stage)),
 ]
 
 #: Trigram filters, fingerprints and token ids can't be expressed in SQL; the tests hold run() against brute force.

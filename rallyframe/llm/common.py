@@ -6,6 +6,7 @@ reach it. Rows are documents: rows that repeat an id stay separate rows.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds at once, but for a single longer text.
 CHUNK_BYTES = 2 << 20
+#: The same where a byte takes some hundred of memory meanwhile; powers() of it fill 2 ** 20 places.
+SMALL_CHUNK = (1 << 20) - 1
+#: Bytes of rows that Spark sends to a Python task at once, in a session of the pipeline.
+BATCH_BYTES = 4 << 20
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -59,6 +64,22 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python tasks are cut by their bytes too, not by 10,000 rows alone, in this session from now on; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    if own is None or not own.isdigit() or int(own) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def let_go() -> None:
+    """Gives back what a task has used: its Python worker lives on beside other tasks'."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text, or one row."""
     for batch in it:

@@ -236,6 +236,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_co
         def scan(it):
             for batch in common.batches(it, text_col):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *found_in(batch, text_col, shared)], [*batch.schema.names, "n_words", *LISTS])
+            common.let_go()
 
         return docs.mapInArrow(scan, schema)
     rows = common.written(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid")))

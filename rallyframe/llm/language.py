@@ -20,8 +20,6 @@ never learned from; repeated rows and ids are predicted one by one; an empty tab
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,14 +123,6 @@ class Filters:
         return found.argmax(axis=0), found.max(axis=0), n, letters
 
 
-def let_go() -> None:
-    """Gives back what a task has used: its Python worker lives on beside other tasks'."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def learned(train: DataFrame) -> list[Filters]:
     """train: text, lang. The filters of its languages, from all its rows, PASS languages at a time."""
 
@@ -147,7 +137,7 @@ def learned(train: DataFrame) -> list[Filters]:
                 own.setdefault(x, []).append((gram, k))
                 if len(own[x]) > 16:
                     own[x] = [merged(own[x])]
-        let_go()
+        common.let_go()
         for x, parts in own.items():
             gram, k = merged(parts)
             for i in range(0, len(gram), 100_000):
@@ -209,7 +199,7 @@ def judged(docs: DataFrame, several: list[Filters]) -> DataFrame:
                 some = (letters > 0) & (len(shared.value.langs) > 0)
                 lang = [shared.value.langs[b] if k else "und" for b, k in zip(best, some)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(some, score_of(found, n), 0.0))], [*batch.schema.names, "lang_pred", "score"])
-            let_go()
+            common.let_go()
 
         return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]))
     rows = common.written(docs.select(F.struct("*").alias("row"), "text", F.monotonically_increasing_id().alias("rid")))

@@ -71,8 +71,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = ["doc_id", *more]
 
     def scan(it):
-        for batch in common.batches(it):
+        for batch in common.batches(it, limit=common.SMALL_CHUNK):
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in own), pa.array(fingerprint_texts(batch["text"]))], [*own, "fp"])
+        common.let_go()
 
     return common.documents(docs, id_col, text_col, **more).mapInArrow(scan, ", ".join(f"{k} long" for k in [*own, "fp"]))
 
@@ -198,6 +199,8 @@ def compare(it):
         held.append((key[cut:], fp[cut:]))
     if held:
         yield from told(*map(np.concatenate, zip(*held)))
+    held.clear()
+    common.let_go()
 
 
 def told(key: np.ndarray, fp: np.ndarray):

@@ -176,6 +176,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """A worker that goes on to code or decode encodes no more: its tokenizers and pieces go."""
+    if _encoders:
+        _encoders.clear()
+        common.let_go()
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Lengths of an optimal prefix code of at most `limit` bits (0 where the count is 0), by package-merge."""
     used = np.flatnonzero(counts)
@@ -279,27 +286,28 @@ def written_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     def tokenize(it):
         enc = encoder(tokenizer)
         counts = np.zeros(enc.size, np.int64)
-        for batch in common.batches(it):
+        for batch in common.batches(it, limit=common.SMALL_CHUNK):
             ids, n = enc.encode(batch["text"])
             counts += np.bincount(ids, minlength=enc.size)
             at = np.concatenate([[0], np.cumsum(n)]) * enc.type.itemsize
             held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), held.cast(pa.binary()), pa.nulls(len(n), pa.binary())], IDS_NAMES)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], IDS_NAMES)
+        common.let_go()
 
     found = common.documents(docs, id_col, text_col).mapInArrow(tokenize, IDS).withColumns({"hash": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
     table = common.written(found)
-    ids, kind = table.where("ids IS NOT NULL").drop("counts"), encoder(tokenizer).type
+    ids, kind, size = table.where("ids IS NOT NULL").drop("counts"), encoder(tokenizer).type, encoder(tokenizer).size
 
     def count(it):
-        own = np.zeros(encoder(tokenizer).size, np.int64)
+        own = np.zeros(size, np.int64)
         for batch in it:
             for x in batch["counts"].to_pylist():
                 own += np.frombuffer(x, np.int64)
         k = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[k])], ["id", "n"])
 
-    counts = np.zeros(encoder(tokenizer).size, np.int64)
+    counts = np.zeros(size, np.int64)
     for i, n in table.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
     lengths = code_lengths(counts)
@@ -308,11 +316,13 @@ def written_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
 
     def code(it):
         lengths, codes = shared.value
-        for batch in common.batches(it, "ids"):
+        forget()
+        for batch in common.batches(it, "ids", common.SMALL_CHUNK):
             data, off = common.flat(batch["ids"])
             n = np.diff(off) // kind.itemsize
             bits, checks = to_bits(np.frombuffer(data.tobytes(), kind).astype(np.int64), n, lengths, codes)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in CODED[:4]), pa.array(checks, pa.binary()), pa.array(bits, pa.binary())], CODED)
+        common.let_go()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PART_IDS)
     # Ranges are found by a first look at the rows, so the ids are coded after they have been brought into order. They are cut
@@ -346,6 +356,8 @@ def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, block, rows, held = first + held, block + 1, [], 0
     if rows:
         yield out()
+    rows.clear()
+    common.let_go()
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -369,6 +381,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(it):
         before, lengths = shared.value
+        forget()
         table = decode_table(lengths)
         for batch in common.batches(it, "payload"):
             rows = batch.to_pylist()
@@ -386,6 +399,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
             doc = np.concatenate([np.frombuffer(r["doc_ids"], "<i8") for r in rows])
             null = np.concatenate([np.arange(len(t)) < r["n_null"] for r, t in zip(rows, tokens)])
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        common.let_go()
 
     return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

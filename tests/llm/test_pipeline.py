@@ -1,7 +1,9 @@
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from rallyframe.llm import common, mixing
+from rallyframe.llm import common, mixing, token_files
 from tests.llm import test_decontaminate, test_simhash, test_token_files
 from tests.llm.oracle import connection
 
@@ -95,3 +97,33 @@ def test_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    """10,000 rows of 3,000 bytes come to a Python task in pieces once a stage has been planned; a lower bound of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def sizes(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        for own, most in ((None, 2 * common.BATCH_BYTES), (str(1 << 20), 2 << 20)):
+            spark.conf.unset(key)
+            if own:
+                spark.conf.set(key, own)
+            corpus_pipeline.STAGES[0][1](spark, docs, SF)
+            texts = spark.range(10_000).coalesce(1).selectExpr("repeat('x', 3000) AS text")
+            found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) >= 30_000_000 and max(found) <= most
+    finally:
+        spark.conf.unset(key)
+
+
+def test_workers_that_decode_forget_their_tokenizers():
+    import public_tokenizers
+
+    token_files.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.forget()
+    assert not token_files._encoders
